@@ -80,15 +80,19 @@ def repeated_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
     return bits, counters
 
 
+def contains(h: np.ndarray, bits: np.ndarray, counters: int) -> np.ndarray:
+    found = np.ones(len(h), bool)
+    for at in _positions(h, counters):
+        found &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
 def maybe_repeated(h: Column, bits: Broadcast, counters: int) -> Column:
     """Pass two: false only for hashes that occur once."""
 
     @F.pandas_udf("boolean")
     def ask(x: pd.Series) -> pd.Series:
-        found = np.ones(len(x), bool)
-        for at in _positions(x.to_numpy(np.int64), counters):
-            found &= (bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(found)
+        return pd.Series(contains(x.to_numpy(np.int64), bits.value, counters))
 
     return ask(h)
 

@@ -32,10 +32,11 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weir.llm.common import join_groups, materialise, mix, texts
 from weir.llm.components import components
-from weir.llm.exact_dedup import maybe_repeated, repeated_filter
+from weir.llm.exact_dedup import contains, maybe_repeated, repeated_filter
 
 COUNTERS, SLICES, FRAGMENTS = 1 << 22, 16, 8
 _LOW = np.uint64((1 << 56) - 1)
@@ -87,19 +88,13 @@ def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
         names = ["doc_id", "n", "cls", "slice", "blob"]
         seen = False
         for b in batches:
-            sizes, classes, held = [], [], []
-            for t in texts(b.column(1)):
-                g = ngrams(t, n)
-                sizes.append(len(g))
-                classes.append(class_of(g))
-                held.append(g & (COUNTERS - 1))
-                if len(held) == 256:
-                    counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
-                    held = []
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
-            seen = seen or bool(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                grams = [ngrams(t, n) for t in texts(part.column(1))]
+                at, times = np.unique(np.concatenate(grams) & (COUNTERS - 1), return_counts=True)
+                counts[at] += times.astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(g) for g in grams], pa.int32()), pa.array([class_of(g) for g in grams], pa.int64()), pa.nulls(len(grams), pa.int32()), pa.nulls(len(grams), pa.binary())], names)
+                seen = True
         if seen:
             for k, part in enumerate(np.split(counts, SLICES)):
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], names)
@@ -127,26 +122,26 @@ def _order(counts: DataFrame) -> Order:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
-    """g, cls, n, pos, k: the first k n-grams of each class; a task emits a class once."""
+    """g, cls, n, pos: the first n-grams of each class, as many as two similar sets can't both miss; a task emits a class once."""
 
     def run(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             out = []
             for t in texts(b.column(0)):
                 grams = ngrams(t, n)
                 if len(grams) and (c := class_of(grams)) not in seen:
                     seen.add(c)
                     k = len(grams) - -(-percent * len(grams) // 100) + 1
-                    out.append((order.value(grams)[:k], c, len(grams), k))
+                    out.append((order.value(grams)[:k].copy(), c, len(grams), k))
             if out:
                 ks = [x[3] for x in out]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in out])), *(pa.array(np.repeat(np.array([x[i] for x in out], kind), ks)) for i, kind in ((1, np.int64), (2, np.int32))), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in ks])), pa.array(np.repeat(np.array(ks, np.int32), ks))],
-                    ["g", "cls", "n", "pos", "k"],
+                    [pa.array(np.concatenate([x[0] for x in out])), *(pa.array(np.repeat(np.array([x[i] for x in out], kind), ks)) for i, kind in ((1, np.int64), (2, np.int32))), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in ks]))],
+                    ["g", "cls", "n", "pos"],
                 )
 
-    return docs.select("text").mapInArrow(run, "g long, cls long, n int, pos int, k int")
+    return docs.select("text").mapInArrow(run, "g long, cls long, n int, pos int")
 
 
 def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
@@ -157,65 +152,75 @@ def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                rows = [(class_of(g), order.value.fragments(order.value(g))) for g in (ngrams(t, n) for t in texts(b.column(0).slice(i, 256))) if len(g)]
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            maybe = contains(b.column(0).to_numpy(), shared.value, counters)
+            rows = [(class_of(g), order.value.fragments(order.value(g))) for g in (ngrams(t, n) for t in texts(b.column(1).filter(pa.array(maybe)))) if len(g)]
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows for _ in range(FRAGMENTS)], pa.int64()), pa.array(list(range(FRAGMENTS)) * len(rows), pa.int32()), pa.array([x for _, f in rows for x in f], pa.list_(pa.int64()))], ["cls", "frag", "keys"])
 
-    found = docs.filter(maybe_repeated(key, shared, counters)).select("text").mapInArrow(run, "cls long, frag int, keys array<long>")
-    return found.dropDuplicates(["cls", "frag"])
+    found = docs.select(key.alias("h"), "text").mapInArrow(run, "cls long, frag int, keys array<long>")
+    return materialise(found)
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, difference: bool) -> DataFrame:
     """Partial overlaps by fragment, summed for each pair (a, b); with ``difference`` also the n-grams of only one of the two."""
-    left = sets.select(F.col("cls").alias("a"), "frag", F.col("keys").alias("ka"))
-    right = sets.select(F.col("cls").alias("b"), "frag", F.col("keys").alias("kb"))
-    parts = pairs.join(left, "a").join(right, ["b", "frag"])
+    left = sets.join(pairs.withColumnRenamed("a", "cls"), "cls").select(F.col("cls").alias("a"), *(c for c in pairs.columns if c != "a"), "frag", F.col("keys").alias("ka"))
+    right = sets.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("b"), "frag", F.col("keys").alias("kb"))
     keep = [c for c in pairs.columns if c not in ("a", "b")]
-    if not difference:
-        parts = parts.select("a", "b", *keep, F.size(F.array_intersect("ka", "kb")).alias("o"))
-        return parts.groupBy("a", "b", *keep).agg(F.sum("o").alias("overlap"))
-    parts = parts.select("a", "b", *keep, F.array_except("ka", "kb").alias("more"), F.array_except("kb", "ka").alias("less"), F.size("ka").alias("size"))
-    return parts.groupBy("a", "b", *keep).agg(F.sum(F.col("size") - F.size("more")).alias("overlap"), F.flatten(F.collect_list(F.concat("more", "less"))).alias("delta"))
+    more, less = F.array_except("ka", "kb"), F.array_except("kb", "ka")
+    delta = [F.concat(more, less).alias("delta")] if difference else []
+    parts = left.join(right, ["b", "frag"]).select("a", "b", "frag", *keep, (F.size("ka") - F.size(more)).alias("o"), *delta)
+    # A class read from two documents gives a fragment's overlap twice.
+    parts = parts.groupBy("a", "b", *keep, "frag").agg(F.first("o").alias("o"), *(F.first("delta").alias("delta") for _ in delta))
+    return parts.groupBy("a", "b", *keep).agg(F.sum("o").alias("overlap"), *(F.flatten(F.collect_list("delta")).alias("delta") for _ in delta))
 
 
 def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose links make up the groups."""
     linked = lambda na, nb, d: d * (100 + percent) <= (100 - percent) * (na + nb)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = _prefixes(docs, n, percent, order).repartition(parts, "g").groupBy("g", "cls").agg(*(F.first(c).alias(c) for c in ("n", "pos", "k")))
-    many = lists.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
-    lists = materialise(lists.join(many, "g"))
-    # Hubs: the class with the largest share of shared prefix n-grams leads a list; a class takes its most frequent leader.
-    rank = lists.groupBy("cls").agg(F.struct((F.count("*") / F.first("n")).alias("share"), (-F.col("cls")).alias("minus")).alias("rank"))
-    leader = lists.join(rank, "cls").groupBy("g").agg(F.max(F.struct("rank", "cls", "n")).alias("lead"))
-    votes = lists.join(leader, "g").groupBy("cls", "n", "k", "lead").agg(F.count("*").alias("votes"))
-    hub = votes.groupBy("cls", "n", "k").agg(F.max(F.struct("votes", "lead")).alias("best"))
-    star = hub.select(F.col("cls").alias("a"), F.col("best.lead.cls").alias("b"), F.col("n").alias("na"), F.col("best.lead.n").alias("nb"), "k", "best.votes")
-    star = materialise(star.filter("a <> b and (votes > 1 or k <= 4) and 4 * abs(na - nb) <= na + nb").select("a", "b", "na", "nb"))
+    same = W.partitionBy("g").orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    lists = _prefixes(docs, n, percent, order).select("*", F.min("cls").over(same).alias("lo"), F.max("cls").over(same).alias("hi"))
+    lists = lists.filter("lo <> hi").drop("lo", "hi").dropDuplicates(["g", "cls"])
+    # Most lists hold two classes by chance, whose sizes and places already rule out a link.
+    whole = {"size": F.count("*"), "least": F.min("n"), "most": F.max("n"), "left": F.min(F.col("n") - F.col("pos")), "both": F.sum("n")}
+    lists = lists.select("*", *(f.over(same).alias(k) for k, f in whole.items()))
+    lists = lists.filter(f"size > 2 or (100 * least >= {percent} * most and left * {100 + percent} >= {percent} * both)")
+    lists = materialise(lists.drop(*whole))
+    # Hubs: in each list the class with the largest share of shared prefix n-grams leads; a class takes the
+    # best of the leaders that it meets in a fifth of its prefix or in a long list. (Fewer n-grams in
+    # common are no hint at a copy; a class without a hub costs nothing but time.)
+    by = lambda c: W.partitionBy(c).orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ranked = lists.select("g", "cls", "n", (F.count("*").over(by("cls")) / F.col("n")).alias("share"))
+    led = ranked.select("cls", "n", F.max(F.struct("share", (-F.col("cls")).alias("minus"), "n")).over(same).alias("lead"), F.count("*").over(same).alias("size"))
+    votes = led.groupBy("cls", "n", "lead").agg(F.count("*").alias("votes"), F.max("size").alias("size")).filter(f"500 * votes >= {100 - percent} * n or size >= 16")
+    hub = votes.groupBy("cls", "n").agg(F.max("lead").alias("lead"))
+    star = hub.select(F.col("cls").alias("a"), (-F.col("lead.minus")).alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
+    star = materialise(star.filter("a <> b and 4 * abs(na - nb) <= na + nb"))
     of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls")
-    sets = materialise(_sets(docs, n, order, of(star)))
+    sets = _sets(docs, n, order, of(star))
     d = F.col("na") + F.col("nb") - 2 * F.col("overlap")
     star = _overlaps(star, sets, True).withColumn("d", d).filter(4 * F.col("d") <= F.col("na") + F.col("nb"))
     star = materialise(star.select("a", "b", "na", "nb", "d", "delta").withColumn("near", linked(F.col("na"), F.col("nb"), F.col("d"))))
     # Same hub, not both linked to it: prefixes of the differences.
     far = star.filter("not near").select("b").distinct()
     own = star.join(far, "b")
-    df = own.select("b", F.explode("delta").alias("e")).groupBy("b", "e").agg(F.count("*").alias("df"))
-    ranked = own.select("a", "b", "na", "d", "near", F.explode("delta").alias("e")).join(df, ["b", "e"])
-    ranked = materialise(ranked.groupBy("a", "b", "na", "d", "near").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es")))
+    df = own.select("b", F.explode("delta").alias("e")).groupBy("b", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    common = own.select("a", "b", F.explode("delta").alias("e")).join(df, ["b", "e"])
+    common = common.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "e"))), lambda x: x["e"]).alias("es"))
+    ranked = materialise(own.select("a", "b", "na", "d", "near").join(common, ["a", "b"]))
+    # In order of frequency, those that only one class of the hub has come first and meet nothing.
     half = F.col("d") - F.floor(F.col("d") * percent / (100 + percent))
     long_ = F.col("d") - F.greatest(F.lit(1), F.col("d") - F.floor(F.col("na") * (100 - percent) / percent)) + 1
-    shared = lambda take: F.explode(F.filter(F.slice("es", 1, F.least(take, F.col("d")).cast("int")), lambda x: x["df"] > 1))
-    right = ranked.filter("d > 0").select(F.col("a").alias("y"), "b", F.col("na").alias("ny"), F.col("d").alias("dy"), shared(half).alias("e"))
+    shared = lambda take: F.explode(F.slice("es", 1, F.greatest(F.lit(0), take - F.col("d") + F.size("es")).cast("int")))
+    right = ranked.select(F.col("a").alias("y"), "b", F.col("na").alias("ny"), F.col("d").alias("dy"), shared(half).alias("e"))
     left = ranked.filter("not near").select(F.col("a").alias("x"), "b", F.col("na").alias("nx"), F.col("d").alias("dx"), shared(long_).alias("e"))
     near_enough = linked(F.col("nx"), F.col("ny"), F.abs(F.col("dx") - F.col("dy")))
     pairs = left.join(right, ["b", "e"]).filter((F.col("x") != F.col("y")) & near_enough).select("b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    one = ranked.select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("es.e").alias("ex"))
-    two = ranked.select("b", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("es.e").alias("ey"))
+    one = ranked.select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("d").alias("dx"), F.col("es").alias("ex"))
+    two = ranked.select("b", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("d").alias("dy"), F.col("es").alias("ey"))
     checked = pairs.join(one, ["b", "x"]).join(two, ["b", "y"])
-    d = F.size("ex") + F.size("ey") - 2 * F.size(F.array_intersect("ex", "ey"))
-    same = checked.filter(linked(F.col("nx"), F.col("ny"), d)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    d = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
+    linked_same = checked.filter(linked(F.col("nx"), F.col("ny"), d)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     # Different hubs: lists that have classes of more than one.
     hubs = star.select(F.col("a").alias("cls"), F.col("b").alias("hub"))
     lists = lists.join(hubs, "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
@@ -228,8 +233,15 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> D
     least = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb"))
     cross = cross.filter((F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (least * (100 + percent) >= percent * (F.col("n") + F.col("nb"))))
     cross = materialise(cross.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"), (F.col("n") + F.col("nb")).alias("both")).distinct())
-    cross = _overlaps(cross, _sets(docs, n, order, of(cross)), False).filter((100 + percent) * F.col("overlap") >= percent * F.col("both"))
-    return star.filter("near").select("a", "b").unionByName(same).unionByName(cross.select("a", "b"))
+    # A pair that differs too much in its first fragment alone needs no other.
+    sets = _sets(docs, n, order, of(cross))
+    first = sets.filter("frag = 0")
+    size = first.groupBy("cls").agg(F.max(F.size("keys")).alias("size"))
+    cross = _overlaps(cross, first, False).join(size.select(F.col("cls").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("cls").alias("b"), F.col("size").alias("sb")), "b")
+    cross = cross.filter((F.col("sa") + F.col("sb") - 2 * F.col("overlap")) * (100 + percent) <= (100 - percent) * F.col("both"))
+    cross = materialise(cross.select("a", "b", "both", F.col("overlap").alias("first")))
+    cross = _overlaps(cross, sets.filter("frag > 0"), False).filter((100 + percent) * (F.col("first") + F.col("overlap")) >= percent * F.col("both"))
+    return star.filter("near").select("a", "b").unionByName(linked_same).unionByName(cross.select("a", "b"))
 
 
 def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
