@@ -34,7 +34,7 @@ from weir.llm.common import materialise, mix, texts
 
 FREQUENT = 1 << 17
 #: Words that a task packs at once, and n-grams that a partition holds.
-CHUNK, PART = 2_000_000, 4_000_000
+CHUNK, PART = 2_000_000, 3_000_000
 RARE = np.uint64(1 << 63)
 START = np.uint64((1 << 63) - 1)
 
@@ -60,6 +60,16 @@ def _get(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
+def _times(x: np.ndarray) -> np.ndarray:
+    """How often each element occurs in ``x``."""
+    by = np.argsort(x)
+    y = x[by]
+    edge = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1], [True]]))
+    out = np.empty(len(x), np.int64)
+    out[by] = np.repeat(np.diff(edge), np.diff(edge))
+    return out
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """h, n (occurrences), followed (occurrences before another word)."""
 
@@ -99,6 +109,7 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
     order = np.argsort(np.array([r.h for r in rows], np.int64).view(np.uint64), kind="stable")
     table = spark.sparkContext.broadcast(tuple(np.array([r[i] for r in rows], np.int64)[order] for i in range(3)))
     parts = max(12, -(-total // PART))
+    second = max(12, -(-total // (4 * PART)))  # partitions of the second round, which has far less
     log_back = math.log(alpha) - math.log(max(1, total))
 
     def pack(batches):
@@ -114,7 +125,9 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
             before = np.concatenate([[START], code[:-1]])
             before[first] = START
             to = mix(before * np.uint64(0x9E3779B97F4A7C15) + np.where(before < RARE, code + np.uint64(1), np.uint64(0))) % np.uint64(parts)
-            by = np.argsort((to << np.uint64(48)) | (before >> np.uint64(16)) if parts < 1 << 16 else to)
+            # By partition and, roughly, by both words: equal n-grams lie together, which packs best.
+            rough = lambda x: np.where(x < RARE, np.minimum(x, np.uint64((1 << 23) - 1)), (x >> np.uint64(40)) & np.uint64((1 << 24) - 1))
+            by = np.argsort((to << np.uint64(48)) | (rough(before) << np.uint64(24)) | rough(code), kind="stable") if parts < 1 << 16 else np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[by], np.arange(parts + 1).astype(np.uint64))
             own = np.array(keys, np.uint64)
             for p in range(parts):
@@ -153,25 +166,25 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
         for b in batches:
             for p, grams, docs_, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if grams is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([None], pa.binary()), pa.array([docs_], pa.binary()), pa.array([base], pa.binary())], ["part", "grams", "docs", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p % second], pa.int32()), pa.array([None], pa.binary()), pa.array([docs_], pa.binary()), pa.array([base], pa.binary())], ["part", "grams", "docs", "sums"])
                 else:
                     blobs.setdefault(p, []).append((grams, docs_))
-        for p, own in blobs.items():
+        for p in list(blobs):
+            own = blobs.pop(p)
             before, code, doc, keys, offset = [], [], [], [], 0
             for grams, docs_ in own:
                 x, y, z = _get(grams)
                 k = _get(docs_)[0]
-                before.append(x), code.append(y), doc.append(z + np.uint64(offset)), keys.append(k)
+                before.append(x), code.append(y), doc.append((z + np.uint64(offset)).astype(np.uint32)), keys.append(k)
                 offset += len(k)
+            own = None
             before, code, doc, keys = map(np.concatenate, (before, code, doc, keys))
-            pair = mix(before * np.uint64(0x9E3779B97F4A7C15) ^ mix(code))
-            _, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-            c2 = n[inverse]
-            _, inverse, n = np.unique(before, return_inverse=True, return_counts=True)
-            followed = n[inverse]
+            c2 = _times(mix(before * np.uint64(0x9E3779B97F4A7C15) ^ mix(code)))
+            followed = _times(before)
             known = before < START
             followed[known] = followed_of[before[known].astype(np.int64)]
             followed[before == START] = starts
+            del before
             hit = c2 >= min_count
             value = np.full(len(code), log_back)
             value[hit] = np.log(c2[hit]) - np.log(followed[hit])
@@ -179,13 +192,13 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
             value[known] += np.log(n_of[code[known].astype(np.int64)])
             sums = np.bincount(doc.astype(np.int64), value, len(keys))
             back = np.bincount(doc.astype(np.int64), ~hit, len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([None], pa.binary()), pa.array([_put(keys)], pa.binary()), pa.array([_put(sums.view(np.uint64), back.astype(np.uint64))], pa.binary())], ["part", "grams", "docs", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([p % second], pa.int32()), pa.array([None], pa.binary()), pa.array([_put(keys)], pa.binary()), pa.array([_put(sums.view(np.uint64), back.astype(np.uint64))], pa.binary())], ["part", "grams", "docs", "sums"])
             rare = ~hit & (code >= RARE)
-            to = mix(code[rare]) % np.uint64(parts)
+            to = mix(code[rare]) % np.uint64(second)
             by = np.lexsort((code[rare], to))
             w, d, to = code[rare][by], doc[rare][by].astype(np.int64), to[by]
-            cuts = np.searchsorted(to, np.arange(parts + 1).astype(np.uint64))
-            for q in range(parts):
+            cuts = np.searchsorted(to, np.arange(second + 1).astype(np.uint64))
+            for q in range(second):
                 if cuts[q] < cuts[q + 1]:
                     used, local = np.unique(d[cuts[q] : cuts[q + 1]], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([_put(w[cuts[q] : cuts[q + 1]], local.astype(np.uint64))], pa.binary()), pa.array([_put(keys[used])], pa.binary()), pa.array([None], pa.binary())], ["part", "grams", "docs", "sums"])
@@ -215,13 +228,13 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
         frame = pd.concat(out) if out else pd.DataFrame(columns=cols)
         return frame.reindex(columns=cols).astype({c: "Int64" for c in cols[:-1]} | {"log_score": "float64"}).fillna({"log_score": 0.0})
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "part int, grams binary, docs binary, base binary").repartition(parts, "part")
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "part int, grams binary, docs binary, base binary").repartitionById(parts, F.col("part"))  # one part in each task
     looked = packed.mapInArrow(look_up, "part int, grams binary, docs binary, sums binary")
     own = counts.filter(F.col("n") * FREQUENT < total)
 
     @F.pandas_udf("int")
     def part_of(h: pd.Series) -> pd.Series:
-        return pd.Series((mix((h.to_numpy(np.int64).view(np.uint64) >> np.uint64(1)) | RARE) % np.uint64(parts)).astype(np.int32))
+        return pd.Series((mix((h.to_numpy(np.int64).view(np.uint64) >> np.uint64(1)) | RARE) % np.uint64(second)).astype(np.int32))
 
     own = own.select(part_of("h").alias("part"), "h", "n")
     partial = looked.groupBy("part").cogroup(own.groupBy("part")).applyInPandas(add_up, "key long, doc_id long, n_words long, copies long, n_backoff long, log_score double")
