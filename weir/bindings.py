@@ -1,0 +1,121 @@
+"""Logical tables (commits, diffs, pull requests, ...) as projections of the given tables.
+
+Every operator works on the logical schemas; only this module knows the given ones. ``SQL`` has the
+same projections as common table expressions, for the SQL of the queries.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def unix(c: str) -> Column:
+    return F.unix_timestamp(F.col(c).cast("timestamp"))
+
+
+def commits(spark: SparkSession, d: str) -> DataFrame:
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("id"), (F.col("c_nationkey") % 5).cast("long").alias("repo_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("hash"),
+        F.col("c_name").alias("author"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("message"), unix("o_orderdate").alias("timestamp"))
+
+
+def diffs(spark: SparkSession, d: str) -> DataFrame:
+    item, p = _t(spark, d, "lineitem"), _t(spark, d, "part")
+    return item.join(p, item.l_partkey == p.p_partkey).select(F.col("l_orderkey").alias("commit_id"), F.concat_ws("/", F.translate("p_brand", "#", "_"), F.translate("p_type", " ", "_")).alias("path")).distinct()
+
+
+def pull_requests(spark: SparkSession, d: str) -> DataFrame:
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    at, day = unix("o_orderdate"), 86400
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title"), F.col("c_name").alias("author"),
+        F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "F", "merged").otherwise("closed").alias("state"), at.alias("created_at"),
+        F.when(F.col("o_orderstatus") == "F", at + 5 * day).alias("merged_at"), (at + 3 * day).alias("updated_at"))
+
+
+def pr_comments(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("pr_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("author"),
+        F.when(F.col("l_returnflag") != "N", F.concat(F.lit("ship/"), "l_linestatus")).alias("path"), unix("l_shipdate").alias("created_at"), "l_linenumber")
+
+
+def pr_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Every third pull request has none; every fifth part number points to a commit that may not exist."""
+    item = _t(spark, d, "lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 3 != 0))
+    return item.select(F.col("l_orderkey").alias("pr_id"), F.lpad((F.col("l_orderkey") + F.when(F.col("l_partkey") % 5 == 0, 100_000_000).otherwise(0)).cast("string"), 12, "0").alias("sha"))
+
+
+def murmurs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return _t(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("author"), F.col("ts").cast("timestamp").alias("ts"), unix("ts").alias("sec"),
+        F.col("event_type").alias("topic"), F.concat(F.lit("pkg"), (k % 7).cast("string"), F.lit("/d/f"), k.cast("string")).alias("file"), F.col("props").alias("content"), "value")
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """Call edges src -> dst between part numbers, with cycles."""
+    item = _t(spark, d, "lineitem")
+    return item.select((F.col("l_partkey") % 500).alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 500).alias("dst")).distinct()
+
+
+def work_items(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "closed").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("open").alias("status"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.col("o_custkey").alias("owner"))
+
+
+def dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """An item depends on the owner's item before it."""
+    from pyspark.sql import Window as W
+
+    o = _t(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("before"))
+    return o.filter("before is not null").select(F.col("o_orderkey").alias("issue_id"), F.col("before").alias("depends_on_id"), F.when(F.col("o_orderkey") % 4 == 0, "related").otherwise("blocks").alias("type"))
+
+
+def transcript(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("role").alias("type"), F.col("text").alias("content"))
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang")
+
+
+TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (commits, diffs, pull_requests, pr_comments, pr_commits, murmurs, edges, work_items, dependencies, transcript, ledger)
+}
+
+_U = "CAST(floor(epoch({})) AS BIGINT)"
+SQL = {
+    "commits": f"SELECT o_orderkey AS id, CAST(c_nationkey % 5 AS BIGINT) AS repo_id, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS hash, c_name AS author, o_orderpriority || ' ' || o_orderstatus AS message, {_U.format('o_orderdate')} AS timestamp FROM orders JOIN customer ON o_custkey = c_custkey",
+    "diffs": "SELECT DISTINCT l_orderkey AS commit_id, replace(p_brand, '#', '_') || '/' || replace(p_type, ' ', '_') AS path FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "pull_requests": f"SELECT o_orderkey AS id, o_orderkey AS number, o_orderpriority AS title, c_name AS author, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'merged' ELSE 'closed' END AS state, {_U.format('o_orderdate')} AS created_at, CASE WHEN o_orderstatus = 'F' THEN {_U.format('o_orderdate')} + 432000 END AS merged_at, {_U.format('o_orderdate')} + 259200 AS updated_at FROM orders JOIN customer ON o_custkey = c_custkey",
+    "pr_comments": f"SELECT l_orderkey AS pr_id, 's' || l_suppkey AS author, CASE WHEN l_returnflag <> 'N' THEN 'ship/' || l_linestatus END AS path, {_U.format('l_shipdate')} AS created_at, l_linenumber FROM lineitem",
+    "pr_commits": "SELECT l_orderkey AS pr_id, lpad(CAST(l_orderkey + CASE WHEN l_partkey % 5 = 0 THEN 100000000 ELSE 0 END AS VARCHAR), 12, '0') AS sha FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 <> 0",
+    "murmurs": f"SELECT event_id AS id, 'u' || (user_id % 40) AS author, ts, {_U.format('ts')} AS sec, event_type AS topic, 'pkg' || (k % 7) || '/d/f' || k AS file, props AS content, value FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
+    "edges": "SELECT DISTINCT l_partkey % 500 AS src, (l_partkey * 7 + l_suppkey) % 500 AS dst FROM lineitem",
+    "work_items": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS status, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS created_at, o_custkey AS owner FROM orders",
+    "dependencies": "SELECT o_orderkey AS issue_id, before AS depends_on_id, CASE WHEN o_orderkey % 4 = 0 THEN 'related' ELSE 'blocks' END AS type FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS NOT NULL",
+    "transcript": "SELECT conv_id AS session, turn AS seq, role AS type, text AS content FROM conversations",
+    "ledger": "SELECT doc_id AS id, text AS content, source, lang FROM documents",
+}
+
+
+def with_tables(sql: str) -> str:
+    """``sql`` with the common table expressions that it names as ``{commits}`` and so on put before it."""
+    used = [k for k in SQL if "{" + k + "}" in sql]
+    body = sql
+    for k in used:
+        body = body.replace("{" + k + "}", f"t_{k}")
+    ctes = ", ".join(f"t_{k} AS ({SQL[k]})" for k in used)
+    recursive = body.lstrip().upper().startswith("RECURSIVE ")
+    body = body.lstrip()[len("RECURSIVE ") :] if recursive else body
+    head = f"WITH {'RECURSIVE ' if recursive else ''}{ctes}"
+    return f"{head}, {body.lstrip()[5:]}" if body.lstrip().upper().startswith("WITH ") else f"{head} {body}"

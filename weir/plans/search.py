@@ -1,0 +1,125 @@
+"""The search language: words, quoted phrases and ``key:value`` filters, compiled to a DataFrame plan.
+
+``type:commit author:ann -message:wip after:2024-01-01 count:20``: filters are joined by AND, groups of
+words by OR. Conditions become columns, so that the optimiser pushes them to the scan; a filter always
+comes before the limit.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The language's filter names, and those that may be negated.
+KEYS = frozenset("type repo file lang language l rev revision count case patterntype author before after message select calls calledby returns depth ckind comment-kind state confidence".split())
+NEGATABLE = frozenset("repo file lang author message".split())
+ALIASES = {"language": "lang", "l": "lang", "revision": "rev", "comment-kind": "ckind"}
+LEVELS = ("extracted", "inferred", "ambiguous")
+LIMIT = 20
+
+
+def tokenize(query: str) -> list[str]:
+    """Splits at white space; a quoted run is one token, or the value of the key before it. A missing closing quote is forgiven."""
+    return [re.sub(r'^([^\s":]+:)?"([^"]*)"?$', lambda m: (m[1] or "") + m[2], t) for t in re.findall(r'[^\s":]+:"[^"]*"?|"[^"]*"?|[^\s"]+', query)]
+
+
+@dataclass
+class Query:
+    kind: str = "code"
+    groups: list[str] = field(default_factory=list)
+    filters: dict[str, list[tuple[str, bool]]] = field(default_factory=dict)
+    regex: bool = False
+    limit: int = LIMIT
+    case: bool = False
+    depth: int = 1
+
+    def one(self, key: str) -> str | None:
+        return self.filters[key][-1][0] if key in self.filters else None
+
+
+def parse(query: str) -> Query:
+    out, words = Query(), [[]]
+    for token in tokenize(query):
+        m = re.match(r"(-?)([A-Za-z-]+):(.*)$", token, re.S)
+        key = ALIASES.get(m[2].lower(), m[2].lower()) if m else ""
+        if token == "OR":
+            words.append([])
+        elif not m or key not in KEYS:
+            words[-1].append(token)
+        elif m[1] and key not in NEGATABLE:
+            raise ValueError(f"{key} can't be negated")
+        else:
+            out.filters.setdefault(key, []).append((m[3], bool(m[1])))
+    out.groups = [" ".join(w) for w in words if w]
+    out.kind = out.one("type") or ("symbol" if any(k in out.filters for k in ("calls", "calledby", "returns")) else "code")
+    out.case = (out.one("case") or "no").lower() == "yes"
+    if (n := out.one("count")) is not None:
+        if not n.isdigit() or int(n) < 1:
+            raise ValueError("count takes a number above 0")
+        out.limit = int(n)
+    if (n := out.one("depth")) is not None:
+        if not n.isdigit() or not 1 <= int(n) <= 10:
+            raise ValueError("depth takes 1 to 10")
+        out.depth = int(n)
+    if (level := out.one("confidence")) is not None and level not in LEVELS:
+        raise ValueError(f"confidence takes one of {', '.join(LEVELS)}")
+    slashed = [g for g in out.groups if len(g) > 1 and g[0] == g[-1] == "/"]
+    if out.one("patterntype") == "regexp" or slashed:
+        if len(out.groups) > 1:
+            raise ValueError("a regular expression can't be joined by OR")
+        out.regex, out.groups = True, [g.strip("/") if g in slashed else g for g in out.groups]
+        if not all(out.groups):
+            raise ValueError("the regular expression is empty")
+    return out
+
+
+def matches(column: Column, pattern: str, case: bool = False, regex: bool = False) -> Column:
+    """Substring (any case unless ``case``), ``*`` and ``?`` as wildcards over the whole value, or a Java regular expression."""
+    if regex:
+        return column.rlike(pattern)
+    if "*" in pattern or "?" in pattern:
+        glob = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern.lower())
+        return F.lower(column).rlike(f"(?s)^{glob}$")
+    return column.contains(pattern) if case else F.contains(F.lower(column), F.lit(pattern.lower()))
+
+
+def condition(query: Query, columns: dict[str, str], exact: frozenset[str] = frozenset()) -> Column:
+    """All filters whose key is in ``columns`` (key: column name); a negated filter drops null values too."""
+    out = F.lit(True)
+    for key, column in columns.items():
+        for value, negated in query.filters.get(key, []):
+            c = F.col(column) == value if key in exact else matches(F.col(column), value, query.case)
+            out = out & (~c if negated else c)
+    return out
+
+
+def any_group(query: Query, column: Column) -> Column:
+    return reduce(lambda a, b: a | b, [matches(column, g, query.case, query.regex) for g in query.groups], F.lit(False)) if query.groups else F.lit(True)
+
+
+def times(query: Query, column: Column) -> Column:
+    """before: and after:, strict; a value that is no time matches nothing."""
+    out = F.lit(True)
+    if (v := query.one("after")) is not None:
+        out = out & F.coalesce(column > F.unix_timestamp(F.try_to_timestamp(F.lit(v))), F.lit(False))
+    if (v := query.one("before")) is not None:
+        out = out & F.coalesce(column < F.unix_timestamp(F.try_to_timestamp(F.lit(v))), F.lit(False))
+    return out
+
+
+def search_commits(query: Query, commits: DataFrame) -> DataFrame:
+    if not query.groups and not set(query.filters) - {"type", "count", "case"}:
+        raise ValueError("a commit search needs a word or a filter")
+    found = commits.filter(any_group(query, F.col("message")) & condition(query, {"author": "author", "message": "message"}) & times(query, F.col("timestamp")))
+    return found.select(F.substring("hash", 1, 10).alias("hash"), "author", F.substring("message", 1, 80).alias("message"), "timestamp", "id").orderBy(F.desc("timestamp"), "id").limit(query.limit)
+
+
+def search_pull_requests(query: Query, prs: DataFrame) -> DataFrame:
+    if query.regex:
+        raise ValueError("pull requests take no regular expression")
+    found = prs.filter(any_group(query, F.col("title")) & condition(query, {"author": "author", "state": "state"}, frozenset({"author", "state"})) & times(query, F.col("created_at")))
+    return found.select("number", "title", "author", "state", "created_at").orderBy(F.desc("created_at"), "number").limit(query.limit)
