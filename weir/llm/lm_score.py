@@ -204,28 +204,29 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([_put(w[cuts[q] : cuts[q + 1]], local.astype(np.uint64))], pa.binary()), pa.array([_put(keys[used])], pa.binary()), pa.array([None], pa.binary())], ["part", "grams", "docs", "sums"])
 
     def add_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
         rare = (right["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(1)) | RARE
         order = np.argsort(rare)
         rare, n = rare[order], right["n"].to_numpy(np.int64)[order]
+        own, values, backs, base = [], [], [], []
         for grams, docs_, sums in zip(left["grams"], left["docs"], left["sums"], strict=True):
             keys = _get(docs_)[0]
-            frame = pd.DataFrame({"key": keys.view(np.int64)})
             if grams is not None:
                 w, d = _get(grams)
-                value = np.log(n[np.searchsorted(rare, w)])
-                frame["log_score"] = np.bincount(d.astype(np.int64), value, len(keys))
+                got = [np.bincount(d.astype(np.int64), np.log(n[np.searchsorted(rare, w)]), len(keys)), np.zeros(len(keys), np.int64)]
             else:
                 got = _get(sums)
-                if len(got) == 2:
-                    frame["log_score"], frame["n_backoff"] = got[0].view(np.float64), got[1].astype(np.int64)
-                else:
+                if len(got) == 3:
                     ids = pd.array(got[0].view(np.int64), "Int64")
                     ids[got[2].astype(bool)] = pd.NA
-                    frame["doc_id"], frame["n_words"], frame["copies"] = ids, got[1].astype(np.int64), 1
-            out.append(frame)
+                    base.append(pd.DataFrame({"key": keys.view(np.int64), "doc_id": ids, "n_words": got[1].astype(np.int64), "copies": 1}))
+                    continue
+                got = [got[0].view(np.float64), got[1].astype(np.int64)]
+            own.append(keys), values.append(got[0]), backs.append(got[1])
         cols = ["key", "doc_id", "n_words", "copies", "n_backoff", "log_score"]
-        frame = pd.concat(out) if out else pd.DataFrame(columns=cols)
+        if own:  # one row for each document
+            keys, inverse = np.unique(np.concatenate(own), return_inverse=True)
+            base.append(pd.DataFrame({"key": keys.view(np.int64), "n_backoff": np.bincount(inverse, np.concatenate(backs)).astype(np.int64), "log_score": np.bincount(inverse, np.concatenate(values))}))
+        frame = pd.concat(base) if base else pd.DataFrame(columns=cols)
         return frame.reindex(columns=cols).astype({c: "Int64" for c in cols[:-1]} | {"log_score": "float64"}).fillna({"log_score": 0.0})
 
     packed = docs.select("doc_id", "text").mapInArrow(pack, "part int, grams binary, docs binary, base binary").repartitionById(parts, F.col("part"))  # one part in each task
