@@ -8,20 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_BY = W.partitionBy("session").orderBy("seq")
-_SO_FAR = _BY.rowsBetween(W.unboundedPreceding, 0)
+
+def _by():
+    return W.partitionBy("session").orderBy("seq")
+
+
+def _so_far():
+    return _by().rowsBetween(W.unboundedPreceding, 0)
 
 
 def blocks(t: DataFrame) -> DataFrame:
     """Islands of entries of one type: first and last entry and size."""
-    change = (F.coalesce(F.lag("type").over(_BY), F.lit("")) != F.col("type")).cast("int")
-    rows = t.withColumn("change", change).withColumn("block", F.sum("change").over(_SO_FAR))
+    change = (F.coalesce(F.lag("type").over(_by()), F.lit("")) != F.col("type")).cast("int")
+    rows = t.withColumn("change", change).withColumn("block", F.sum("change").over(_so_far()))
     return rows.groupBy("session", "block").agg(F.min("type").alias("type"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
 
 
 def chapters(t: DataFrame) -> DataFrame:
     """A chapter starts at each user entry."""
-    rows = t.withColumn("chapter", F.sum((F.col("type") == "user").cast("int")).over(_SO_FAR))
+    rows = t.withColumn("chapter", F.sum((F.col("type") == "user").cast("int")).over(_so_far()))
     return rows.groupBy("session", "chapter").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
 
 
