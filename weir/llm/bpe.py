@@ -28,7 +28,7 @@ from weir.llm.common import texts
 
 #: Marks the end of a word, for vocabularies whose last symbols have a suffix. No byte's letter is this.
 END = "\0"
-#: Words that a task remembers; then it starts anew.
+#: Words and pairs of tokens that a task remembers; then it starts anew.
 REMEMBERED = 1 << 20
 #: Beyond these letters the library's own normaliser and splitter are asked, for its Unicode tables.
 COMMON = regex.compile(r"[\x00-ɏ‐-‧₠-₿]*")
@@ -90,6 +90,8 @@ class Bpe:
                 limit, a = ra, self.halves[a][1]
             else:
                 limit, b = rb + 0.5, self.halves[b][0]
+        if len(self.fits) >= REMEMBERED:
+            self.fits.clear()
         self.fits[left, right] = good
         return good
 

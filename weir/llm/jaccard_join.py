@@ -159,7 +159,9 @@ def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows for _ in range(FRAGMENTS)], pa.int64()), pa.array(list(range(FRAGMENTS)) * len(rows), pa.int32()), pa.array([x for _, f in rows for x in f], pa.list_(pa.int64()))], ["cls", "frag", "keys"])
 
     found = docs.select(key.alias("h"), "text").mapInArrow(run, "cls long, frag int, keys array<long>")
-    return materialise(found)
+    found = materialise(found)
+    shared.unpersist()
+    return found
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, difference: bool) -> DataFrame:
@@ -252,6 +254,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     total = rows.count()
     classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     parts = components(links(docs, n, percent, order, classes))
+    order.unpersist()  # all that needs it is written
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialise(named.join(smallest, "component").select("cls", "size", F.col("rep").alias("class_id"), "component_id"))

@@ -70,34 +70,41 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(sample: list[tuple[str, np.ndarray]], dim: int = 16, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Model:
-    """``sample``: (language, counts). Rows in any order give the same model only if sorted before."""
-    languages = sorted({lang for lang, _ in sample})
+def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Model:
+    """``sample``: (language, buckets, their counts), in a fixed order. Only a batch at a time is made dense."""
+    languages = sorted({lang for lang, _, _ in sample})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    x = np.array([c / max(1, c.sum()) for _, c in sample], np.float32)
-    y = np.array([languages.index(lang) for lang, _ in sample])
-    order = rng.permutation(len(x))
-    apart = order[: len(x) // 5] if len(x) >= 50 else order
-    fit = order[len(x) // 5 :] if len(x) >= 50 else order
+    y = np.array([languages.index(lang) for lang, _, _ in sample])
+
+    def dense(k: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(k), BUCKETS), np.float32)
+        for row, i in enumerate(k):
+            x[row, sample[i][1]] = sample[i][2] / sample[i][2].sum()
+        return x
+
+    order = rng.permutation(len(y))
+    apart = order[: len(y) // 5] if len(y) >= 50 else order
+    fit = order[len(y) // 5 :] if len(y) >= 50 else order
     e = rng.normal(0, 0.3, (BUCKETS, dim)).astype(np.float32)
     w = rng.normal(0, 0.3, (dim, len(languages))).astype(np.float32)
-    scale = np.sqrt(BUCKETS) / 8  # a mean of many embeddings is small
+    scale = np.float32(np.sqrt(BUCKETS) / 8)  # a mean of many embeddings is small
     for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
+        step = np.float32(rate * (1 - epoch / epochs))
         for i in range(0, len(fit), 64):
             k = fit[i : i + 64]
-            a = x[k] @ e * scale
+            x = dense(k)
+            a = x @ e * scale
             d = softmax(a @ w)
             d[np.arange(len(k)), y[k]] -= 1
             d /= len(k)
-            de = x[k].T @ (d @ w.T) * scale
+            de = x.T @ (d @ w.T) * scale
             w -= step * (a.T @ d)
             e -= step * de
         fit = rng.permutation(fit)
     table = (e @ w * scale).astype(np.float64)
-    logits = x[apart] @ table
+    logits = np.concatenate([dense(apart[i : i + 64]) @ table for i in range(0, len(apart), 64)])
     right = logits.argmax(1) == y[apart]
     at = np.arange(len(apart))
     temperature = min((0.25 * 1.25**k for k in range(16)), key=lambda t: -np.log(softmax(logits / t)[at, y[apart]] + 1e-12).mean())
@@ -120,12 +127,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         rows = [(np.flatnonzero(c).astype(np.uint16).tobytes(), c[c > 0].astype(np.float32).tobytes()) for c in map(counts, text)]
         return pd.DataFrame(rows, columns=["at", "n"])
 
-    rows = []
-    for r in drawn.select("doc_id", "lang", sparse("text").alias("c")).orderBy("doc_id", "lang").collect():
-        c = np.zeros(BUCKETS, np.float32)
-        c[np.frombuffer(r.c.at, np.uint16)] = np.frombuffer(r.c.n, np.float32)
-        rows.append((r.lang, c))
-    return train(rows)
+    rows = drawn.select("doc_id", "lang", sparse("text").alias("c")).orderBy("doc_id", "lang")
+    # Partition by partition, so that the driver never holds more than one besides the arrays.
+    return train([(r.lang, np.frombuffer(r.c.at, np.uint16), np.frombuffer(r.c.n, np.float32)) for r in rows.toLocalIterator()])
 
 
 def predict(text: Column, model: Model) -> Column:

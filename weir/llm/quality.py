@@ -73,8 +73,8 @@ class Trees:
 
 def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, ridge: float = 1.0) -> Trees:
     inner, leaves = 2**depth - 1, 2**depth
-    if not len(x) or y.min() == y.max():
-        start = 0.0 if not len(x) else (3.0 if y[0] else -3.0)
+    if not len(y) or y.min() == y.max():
+        start = 0.0 if not len(y) else (3.0 if y[0] else -3.0)
         return Trees(np.zeros((0, inner), int), np.zeros((0, inner)), np.zeros((0, leaves)), start)
     features = x.shape[1]
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS)[1:-1])) for f in range(features)]
@@ -114,12 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     total = own.count()
     drawn = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(1, total)))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("binary")
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([statistics(t or "") for t in text])
+        return pd.Series([np.array(statistics(t or "")).tobytes() for t in text])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", run("text").alias("x")).orderBy("doc_id", "x").collect()
-    return grow(np.array([r.x for r in rows]), np.array([float(r.label > 0) for r in rows]))
+    return grow(np.frombuffer(b"".join(r.x for r in rows)).reshape(len(rows), -1) if rows else np.zeros((0, 0)), np.array([float(r.label > 0) for r in rows]))
 
 
 def score(text: Column, trees: Trees) -> Column:
