@@ -147,7 +147,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
 def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
     """cls, frag, keys of the classes whose documents are wanted (doc_id), and a few more."""
     key = F.xxhash64(F.col("doc_id").cast("long"))
-    ids = materialise(wanted.select(key.alias("h")).distinct())
+    ids = wanted.select(key.alias("h")).distinct()
     bits, counters = repeated_filter(ids.unionAll(ids), 2 * ids.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -213,10 +213,12 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> D
     # In order of frequency, those that only one class of the hub has come first and meet nothing.
     half = F.col("d") - F.floor(F.col("d") * percent / (100 + percent))
     long_ = F.col("d") - F.greatest(F.lit(1), F.col("d") - F.floor(F.col("na") * (100 - percent) / percent)) + 1
-    shared = lambda take: F.explode(F.slice("es", 1, F.greatest(F.lit(0), take - F.col("d") + F.size("es")).cast("int")))
-    right = ranked.select(F.col("a").alias("y"), "b", F.col("na").alias("ny"), F.col("d").alias("dy"), shared(half).alias("e"))
-    left = ranked.filter("not near").select(F.col("a").alias("x"), "b", F.col("na").alias("nx"), F.col("d").alias("dx"), shared(long_).alias("e"))
-    near_enough = linked(F.col("nx"), F.col("ny"), F.abs(F.col("dx") - F.col("dy")))
+    shared = lambda take: F.posexplode(F.slice("es", 1, F.greatest(F.lit(0), take - F.col("d") + F.size("es")).cast("int")))
+    right = ranked.select(F.col("a").alias("y"), "b", F.col("na").alias("ny"), F.col("d").alias("dy"), F.size("es").alias("my"), shared(half).alias("j", "e"))
+    left = ranked.filter("not near").select(F.col("a").alias("x"), "b", F.col("na").alias("nx"), F.col("d").alias("dx"), F.size("es").alias("mx"), shared(long_).alias("i", "e"))
+    # What can still be in common from this place on must be enough.
+    most = 2 * F.least(F.col("mx") - F.col("i"), F.col("my") - F.col("j"))
+    near_enough = linked(F.col("nx"), F.col("ny"), F.greatest(F.abs(F.col("dx") - F.col("dy")), F.col("dx") + F.col("dy") - most))
     pairs = left.join(right, ["b", "e"]).filter((F.col("x") != F.col("y")) & near_enough).select("b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     one = ranked.select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("d").alias("dx"), F.col("es").alias("ex"))
     two = ranked.select("b", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("d").alias("dy"), F.col("es").alias("ey"))
