@@ -88,8 +88,44 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang")
 
 
+def refs(spark: SparkSession, d: str) -> DataFrame:
+    """Every commit is the tip of a branch: main, master or dev."""
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    k = F.col("o_orderkey") % 3
+    return o.join(c, o.o_custkey == c.c_custkey).select((F.col("c_nationkey") % 5).cast("long").alias("repo_id"), F.when(k == 0, "refs/heads/main").when(k == 1, "refs/heads/master").otherwise("refs/heads/dev").alias("name"), F.col("o_orderkey").alias("commit_id"))
+
+
+def file_revs(spark: SparkSession, d: str) -> DataFrame:
+    part = F.col("l_partkey")
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("src/"), (part % 7).cast("string"), F.lit("/p"), part.cast("string"), F.lit(".go")).alias("path"), part.alias("blob_id")).distinct()
+
+
+def blobs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_size") % 4
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(k == 0, "go").when(k == 1, "python").when(k == 2, "rust").alias("language"))
+
+
+def symbols(spark: SparkSession, d: str) -> DataFrame:
+    line = F.col("l_quantity").cast("int")
+    return _t(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("blob_id"), F.concat(F.lit("f"), (F.col("l_suppkey") % 100).cast("string")).alias("name"),
+        F.when(F.col("l_returnflag") == "A", "function").when(F.col("l_returnflag") == "R", "method").otherwise("class").alias("kind"), line.alias("line"),
+        (line + F.col("l_linenumber") * 10).alias("end_line"), F.when(F.col("l_linestatus") == "F", "error").otherwise("string").alias("return_type"))
+
+
+def symbol_refs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("blob_id"), F.concat(F.lit("f"), (F.col("l_orderkey") % 100).cast("string")).alias("ref_name"),
+        (F.col("l_orderkey") % 60).cast("int").alias("line"))
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of fifty documents: host, label and time."""
+    return _t(spark, d, "pages").select((F.col("page_id") % 50).alias("document"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.col("url").alias("label"), F.col("page_id").alias("seen"))
+
+
 TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (commits, diffs, pull_requests, pr_comments, pr_commits, murmurs, edges, work_items, dependencies, transcript, ledger)
+    f.__name__: f for f in (commits, diffs, pull_requests, pr_comments, pr_commits, murmurs, edges, work_items, dependencies, transcript, ledger, refs, file_revs, blobs, symbols, symbol_refs, links)
 }
 
 _U = "CAST(floor(epoch({})) AS BIGINT)"
@@ -104,6 +140,12 @@ SQL = {
     "work_items": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS status, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS created_at, o_custkey AS owner FROM orders",
     "dependencies": "SELECT o_orderkey AS issue_id, before AS depends_on_id, CASE WHEN o_orderkey % 4 = 0 THEN 'related' ELSE 'blocks' END AS type FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE before IS NOT NULL",
     "transcript": "SELECT conv_id AS session, turn AS seq, role AS type, text AS content FROM conversations",
+    "refs": "SELECT CAST(c_nationkey % 5 AS BIGINT) AS repo_id, CASE o_orderkey % 3 WHEN 0 THEN 'refs/heads/main' WHEN 1 THEN 'refs/heads/master' ELSE 'refs/heads/dev' END AS name, o_orderkey AS commit_id FROM orders JOIN customer ON o_custkey = c_custkey",
+    "file_revs": "SELECT DISTINCT l_orderkey AS commit_id, 'src/' || (l_partkey % 7) || '/p' || l_partkey || '.go' AS path, l_partkey AS blob_id FROM lineitem",
+    "blobs": "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'rust' END AS language FROM part",
+    "symbols": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS blob_id, 'f' || (l_suppkey % 100) AS name, CASE l_returnflag WHEN 'A' THEN 'function' WHEN 'R' THEN 'method' ELSE 'class' END AS kind, CAST(trunc(l_quantity) AS INTEGER) AS line, CAST(trunc(l_quantity) AS INTEGER) + l_linenumber * 10 AS end_line, CASE l_linestatus WHEN 'F' THEN 'error' ELSE 'string' END AS return_type FROM lineitem",
+    "symbol_refs": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS blob_id, 'f' || (l_orderkey % 100) AS ref_name, CAST(l_orderkey % 60 AS INTEGER) AS line FROM lineitem",
+    "links": "SELECT page_id % 50 AS document, regexp_extract(url, '://([^/?#]+)', 1) AS host, url AS label, page_id AS seen FROM pages",
     "ledger": "SELECT doc_id AS id, text AS content, source, lang FROM documents",
 }
 

@@ -123,3 +123,22 @@ def search_pull_requests(query: Query, prs: DataFrame) -> DataFrame:
         raise ValueError("pull requests take no regular expression")
     found = prs.filter(any_group(query, F.col("title")) & condition(query, {"author": "author", "state": "state"}, frozenset({"author", "state"})) & times(query, F.col("created_at")))
     return found.select("number", "title", "author", "state", "created_at").orderBy(F.desc("created_at"), "number").limit(query.limit)
+
+
+def branches(query: Query) -> list[str]:
+    """The refs that ``rev:`` names: a branch, or a full name; main and master where it is left out."""
+    rev = query.one("rev")
+    return ["refs/heads/main", "refs/heads/master"] if rev is None else [rev if rev.startswith("refs/") else f"refs/heads/{rev}"]
+
+
+def search_symbols(query: Query, symbols: DataFrame, blobs: DataFrame, file_revs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Symbols of files at the tips of branches; ``returns:`` keeps functions and methods only."""
+    if not query.groups and not set(query.filters) & {"select", "lang", "file", "returns"}:
+        raise ValueError("a symbol search needs a word, or lang, file or returns")
+    own = symbols.filter(any_group(query, F.col("name")))
+    if (returns := query.one("returns")) is not None:
+        own = own.filter(matches(F.col("return_type"), returns, query.case) & F.col("kind").isin("function", "method"))
+    kept = blobs.filter(condition(query, {"lang": "language"}, frozenset({"lang"}))).select(F.col("id").alias("blob_id"), "language")
+    tips = file_revs.filter(condition(query, {"file": "path"})).join(refs.filter(F.col("name").isin(branches(query))).select("commit_id"), "commit_id", "left_semi").select("path", "blob_id").distinct()
+    found = own.join(kept, "blob_id").join(tips, "blob_id").select("path", "line", "name", "kind", "language").distinct()
+    return found.orderBy("path", "line", "name", "kind").limit(query.limit)

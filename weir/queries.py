@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.bindings import TABLES, with_tables
 from weir.operators import activity as A
 from weir.operators import collaboration as C
 from weir.operators import sessions as S
 from weir.operators import work as K
 from weir.plans import search as Q
+from weir.registry import ORACLES, QUERIES, register
 
 #: Anchors inside the data's range, in place of the present.
 AS_OF = 893462400  # 1998-04-25
@@ -22,22 +19,6 @@ BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
 STOP = frozenset("the and for with that this que las los una des les und der die das".split())
 RULES = [("@", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "[EMAIL]"), ("key", r"(?i)key[=:] ?[A-Za-z0-9_-]+", "[KEY]"), ("", r"[0-9]{3,}", "[NUMBER]")]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str):
-    """Registers a query whose parameters are logical tables, with its SQL."""
-
-    def put(f):
-        names = f.__code__.co_varnames[: f.__code__.co_argcount]
-        QUERIES[f.__name__] = lambda spark, d: f(*(TABLES[n](spark, d) for n in names))
-        ORACLES[f.__name__] = with_tables(sql)
-        return f
-
-    return put
-
-
 def _recent(days: int) -> str:
     return f"SELECT d.path, c.* FROM {{diffs}} d JOIN {{commits}} c ON d.commit_id = c.id WHERE c.timestamp BETWEEN {AS_OF - days * 86400} AND {AS_OF}"
 
@@ -281,3 +262,8 @@ def a33_by_week(murmurs):
 def u4_tagged_union(commits, pull_requests):
     a = commits.select(F.lit("commit").alias("type"), "id", "author")
     return a.unionByName(pull_requests.select(F.lit("pr").alias("type"), F.col("number").alias("id"), "author", "state"), allowMissingColumns=True)
+
+
+from weir import queries_code, queries_text  # noqa: E402, F401  (they register their own)
+
+__all__ = ["ORACLES", "QUERIES"]
