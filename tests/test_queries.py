@@ -4,11 +4,13 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from weir import bindings, queries
 from weir.plans import search
 from weir.sources import io
-from weir.streaming import windows
+from weir.operators import collaboration
+from weir.streaming import silence, windows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -72,3 +74,25 @@ def test_streams_equal_batch(spark, sf, tmp_path):
         assert q.awaitTermination(120)
         got, want = set(map(tuple, spark.table(f"out{k}").collect())), set(map(tuple, f(events).collect()))
         assert got <= want and len(got) > 0.9 * len(want)  # the last windows stay open
+
+
+def test_silence_with_state(spark, sf, tmp_path):
+    events = bindings.murmurs(spark, sf)
+    first, last = events.selectExpr("min(sec)", "max(sec)").first()
+    part = ((F.col("sec") - first) * 4 / (last - first + 1)).cast("int")
+    late = F.when((F.col("id") % 10 == 0) & (part < 3), part + 1).otherwise(part)  # a tenth of the rows come a batch later
+    for k in range(4):
+        events.filter(late == k).orderBy(F.rand(k)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = silence.silences(stream, "click", 3600, f"{(last - first) // 2} seconds")
+    q = out.writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    got, want = set(map(tuple, spark.table("silent").collect())), set(map(tuple, collaboration.silences(events, "click", 3600).collect()))
+    middle = (first + last) // 2 - 2 * 3600  # what the last watermark has passed
+    assert got <= want and {r for r in want if r[2] < middle} <= got
+
+
+def test_silence_rule():
+    events = [(0, 1, True), (5, 2, True), (30, 3, False), (40, 4, True), (45, 5, False), (80, 6, True)]
+    assert silence.settled(events, 20, 100) == ([(2, 5), (6, 80)], [])
+    assert silence.settled(events[::-1], 20, 60) == ([(2, 5)], [(45, 5, False), (80, 6, True)])
