@@ -72,3 +72,9 @@ def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - both
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+
+
+def diff_text(name: Column, old: Column, new: Column, most: int = 100) -> Column:
+    """Both sides of a change as text: a header, then lines that were there and lines that are, at most ``most`` each."""
+    side = lambda c, sign: F.transform(F.slice(F.split(c, "\n"), 1, most), lambda x: F.concat(F.lit(sign), x))
+    return F.concat_ws("\n", F.array(F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name)), side(old, "-"), side(new, "+"))

@@ -72,3 +72,22 @@ def masked(entries: DataFrame, ranges: DataFrame) -> DataFrame:
     hidden = entries.join(r, inside, "left_semi").groupBy("author").agg(F.count("*").alias("masked"))
     total = entries.groupBy("author").agg(F.count("*").alias("n"))
     return total.join(hidden, "author", "left").select("author", "n", F.coalesce("masked", F.lit(0)).alias("masked"))
+
+
+def completed_weeks(rows: DataFrame, as_of: int) -> DataFrame:
+    """Rows of each ISO week that has ended by ``as_of``."""
+    w = rows.groupBy(F.date_trunc("week", "ts").alias("w")).agg(F.count("*").alias("n")).filter(F.unix_timestamp("w") + 7 * 86400 <= as_of)
+    year, week = F.extract(F.lit("YEAROFWEEK"), F.col("w")), F.weekofyear("w")
+    return w.select(F.concat(year.cast("string"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0")).alias("week"), "n")
+
+
+def completed_months(rows: DataFrame, as_of: int) -> DataFrame:
+    """Rows of each calendar month that has ended by ``as_of``."""
+    m = rows.groupBy(F.date_trunc("month", "ts").alias("m")).agg(F.count("*").alias("n"))
+    return m.filter(F.unix_timestamp(F.add_months("m", 1).cast("timestamp")) <= as_of).select(F.date_format("m", "yyyy-MM").alias("month"), "n")
+
+
+def relevance(rows: DataFrame, files: list[str], topics: list[str], weight: float) -> DataFrame:
+    """1.0 for a row on one of the files, 0.6 for one on one of the topics, times the weight; others are left out."""
+    score = F.when(F.col("file").isin(files), 1.0).when(F.col("topic").isin(topics), 0.6)
+    return rows.withColumn("score", F.round(score * weight, 6)).filter("score is not null").select("id", "score")

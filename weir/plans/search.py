@@ -142,3 +142,12 @@ def search_symbols(query: Query, symbols: DataFrame, blobs: DataFrame, file_revs
     tips = file_revs.filter(condition(query, {"file": "path"})).join(refs.filter(F.col("name").isin(branches(query))).select("commit_id"), "commit_id", "left_semi").select("path", "blob_id").distinct()
     found = own.join(kept, "blob_id").join(tips, "blob_id").select("path", "line", "name", "kind", "language").distinct()
     return found.orderBy("path", "line", "name", "kind").limit(query.limit)
+
+
+def search_diffs(query: Query, diffs: DataFrame, commits: DataFrame) -> DataFrame:
+    """Changed paths that match the words, with the filters of commits and ``file:``."""
+    if not query.groups:
+        raise ValueError("a diff search needs a word")
+    own = diffs.filter(any_group(query, F.col("path")) & condition(query, {"file": "path"}))
+    kept = commits.filter(condition(query, {"author": "author", "message": "message"}) & times(query, F.col("timestamp"))).select(F.col("id").alias("commit_id"), "hash", "author", "timestamp")
+    return own.join(kept, "commit_id").select("path", F.substring("hash", 1, 10).alias("hash"), "author", "timestamp", "commit_id").orderBy(F.desc("timestamp"), "commit_id", "path").limit(query.limit)

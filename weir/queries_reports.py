@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weir.functions import text as T
 from weir.operators import activity as A
 from weir.operators import code as D
 from weir.operators import reports as R
 from weir.operators import texts as X
+from weir.plans import search as Q
 from weir.plans.detectors import annotations, detector
 from weir.queries_text import _JAC, _LOW, _PAIRS
 from weir.registry import register
@@ -98,3 +100,36 @@ def expert(commits, diffs):
 @register("WITH o AS (SELECT path, author, count(*) AS n, max(timestamp) AS last FROM {diffs} d JOIN {commits} c ON d.commit_id = c.id GROUP BY 1, 2 HAVING count(*) >= 2) SELECT 'people' AS section, 'expert' AS kind, author || ' knows ' || path AS why FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, last DESC, author) = 1) UNION SELECT 'files', 'collision', file || ' has ' || count(DISTINCT author) || ' authors' FROM {murmurs} GROUP BY file HAVING count(DISTINCT author) >= 30")
 def x2_r2_annotations(murmurs, commits, diffs):
     return annotations(["shared_file", "expert"], murmurs=murmurs, commits=commits, diffs=diffs)
+
+
+_AS_OF = 1704067200 + 25 * 86400
+
+
+@register(f"SELECT isoyear(w) || '-W' || lpad(CAST(week(w) AS VARCHAR), 2, '0') AS week, n FROM (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM {{murmurs}} GROUP BY 1) WHERE epoch(CAST(w AS TIMESTAMP)) + 604800 <= {_AS_OF}")
+def r7_completed_weeks(murmurs):
+    return R.completed_weeks(murmurs, _AS_OF)
+
+
+@register("SELECT strftime(m, '%Y-%m') AS month, n FROM (SELECT date_trunc('month', to_timestamp(timestamp) AT TIME ZONE 'UTC') AS m, count(*) AS n FROM {commits} GROUP BY 1) WHERE epoch(CAST(m + INTERVAL 1 MONTH AS TIMESTAMP)) <= 893462400")
+def r7_completed_months(commits):
+    return R.completed_months(commits.select(F.timestamp_seconds("timestamp").alias("ts")), 893462400)
+
+
+@register("SELECT author, strftime(max(ts), '%Y-%m-%d') AS mark FROM {murmurs} GROUP BY 1")
+def r6_high_water_mark(murmurs):
+    return murmurs.groupBy("author").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("mark"))
+
+
+@register("SELECT id, round(CAST(CASE WHEN file IN ('pkg3/d/f3', 'pkg4/d/f11') THEN 1.0 ELSE 0.6 END AS DOUBLE) * 0.5, 6) AS score FROM {murmurs} WHERE file IN ('pkg3/d/f3', 'pkg4/d/f11') OR topic = 'error'")
+def f13_relevance(murmurs):
+    return R.relevance(murmurs, ["pkg3/d/f3", "pkg4/d/f11"], ["error"], 0.5)
+
+
+@register(f"WITH p AS ({_PAIRS}) SELECT session, seq, array_to_string(list_concat(list_concat(['--- a/' || session, '+++ b/' || session], list_transform(string_split(ref, chr(10))[1:100], lambda x: '-' || x)), list_transform(string_split(cand, chr(10))[1:100], lambda x: '+' || x)), chr(10)) AS diff FROM p")
+def f8_diff_text(transcript):
+    return X.answers(transcript).select("session", "seq", T.diff_text(F.col("session").cast("string"), F.col("ref"), F.col("cand")).alias("diff"))
+
+
+@register("SELECT path, substr(hash, 1, 10) AS hash, author, timestamp, commit_id FROM {diffs} d JOIN {commits} c ON c.id = d.commit_id WHERE contains(lower(path), 'economy') AND NOT contains(lower(path), 'brand_1/') AND contains(lower(author), '00001') AND timestamp > epoch(TIMESTAMP '1995-01-01') ORDER BY timestamp DESC, commit_id, path LIMIT 60")
+def ql_diff(diffs, commits):
+    return Q.search_diffs(Q.parse("type:diff economy -file:brand_1/ author:00001 after:1995-01-01 count:60"), diffs, commits)
