@@ -124,8 +124,31 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select((F.col("page_id") % 50).alias("document"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.col("url").alias("label"), F.col("page_id").alias("seen"))
 
 
+def issues(spark: SparkSession, d: str) -> DataFrame:
+    o, c = _t(spark, d, "orders"), _t(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title"), F.col("c_mktsegment").alias("body"), F.col("c_name").alias("author"),
+        F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), unix("o_orderdate").alias("updated_at"))
+
+
+def issue_comments(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("issue_id"), F.concat(F.lit("quantity "), F.col("l_quantity").cast("int").cast("string"), F.lit(" flag "), "l_returnflag").alias("body"))
+
+
+def comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments of source files, line or block."""
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("blob_id"), F.col("p_type").alias("text"), F.when(F.col("p_partkey") % 3 == 0, "block").otherwise("line").alias("kind"), F.col("p_size").alias("line"))
+
+
+def history(spark: SparkSession, d: str) -> DataFrame:
+    """Dated entries of teams, with ids that start with the date."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return _t(spark, d, "events").select(
+        F.concat_ws("-", day, F.col("event_id").cast("string")).alias("id"), day.alias("date"), unix("ts").alias("created_at"), F.concat(F.lit("team"), (F.col("user_id") % 5).cast("string")).alias("team"), F.col("event_type").alias("kind"))
+
+
 TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (commits, diffs, pull_requests, pr_comments, pr_commits, murmurs, edges, work_items, dependencies, transcript, ledger, refs, file_revs, blobs, symbols, symbol_refs, links)
+    f.__name__: f for f in (commits, diffs, pull_requests, pr_comments, pr_commits, murmurs, edges, work_items, dependencies, transcript, ledger, refs, file_revs, blobs, symbols, symbol_refs, links, issues, issue_comments, comments, history)
 }
 
 _U = "CAST(floor(epoch({})) AS BIGINT)"
@@ -146,6 +169,10 @@ SQL = {
     "symbols": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS blob_id, 'f' || (l_suppkey % 100) AS name, CASE l_returnflag WHEN 'A' THEN 'function' WHEN 'R' THEN 'method' ELSE 'class' END AS kind, CAST(trunc(l_quantity) AS INTEGER) AS line, CAST(trunc(l_quantity) AS INTEGER) + l_linenumber * 10 AS end_line, CASE l_linestatus WHEN 'F' THEN 'error' ELSE 'string' END AS return_type FROM lineitem",
     "symbol_refs": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS blob_id, 'f' || (l_orderkey % 100) AS ref_name, CAST(l_orderkey % 60 AS INTEGER) AS line FROM lineitem",
     "links": "SELECT page_id % 50 AS document, regexp_extract(url, '://([^/?#]+)', 1) AS host, url AS label, page_id AS seen FROM pages",
+    "issues": f"SELECT o_orderkey AS number, o_orderpriority AS title, c_mktsegment AS body, c_name AS author, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'closed' END AS state, {_U.format('o_orderdate')} AS updated_at FROM orders JOIN customer ON o_custkey = c_custkey",
+    "issue_comments": "SELECT l_orderkey AS issue_id, 'quantity ' || CAST(trunc(l_quantity) AS INTEGER) || ' flag ' || l_returnflag AS body FROM lineitem",
+    "comments": "SELECT p_partkey AS blob_id, p_type AS text, CASE WHEN p_partkey % 3 = 0 THEN 'block' ELSE 'line' END AS kind, p_size AS line FROM part",
+    "history": f"SELECT strftime(ts, '%Y-%m-%d') || '-' || event_id AS id, strftime(ts, '%Y-%m-%d') AS date, {_U.format('ts')} AS created_at, 'team' || (user_id % 5) AS team, event_type AS kind FROM events",
     "ledger": "SELECT doc_id AS id, text AS content, source, lang FROM documents",
 }
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -63,6 +65,47 @@ def bullet_score(ref: Column, cand: Column, least: float = 0.3) -> Column:
     return F.when((F.size(ref) == 0) & (F.size(cand) == 0), 1.0).when((F.size(ref) == 0) | (F.size(cand) == 0), 0.0).when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)
 
 
+def moments_score(n_ref: Column, n_cand: Column, types_ref: Column, types_cand: Column) -> Column:
+    """Of marked moments: how near the two counts are (0.6), and the Jaccard of their types (0.4)."""
+    near = 1 - F.abs(n_ref - n_cand) / F.greatest(n_ref, n_cand)
+    score = 0.6 * near + 0.4 * T.jaccard(types_ref, types_cand)
+    return F.when((n_ref == 0) & (n_cand == 0), 1.0).when(n_ref == 0, 0.5).when(n_cand == 0, 0.0).otherwise(score)
+
+
+def doc_score(text: Column, terms: list[str], weight: float = 0.85) -> Column:
+    """Half the weight and the share of words that are among the terms; null without any."""
+    w = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
+    hits = F.size(F.filter(w, lambda x: x.isin(*terms)))
+    return F.when(hits > 0, weight * (0.5 + hits / F.size(w)))
+
+
+def excerpt(text: str | None, term: str, size: int = 160) -> str | None:
+    """About ``size`` bytes around the first ``term``, any case, in whole words; "..." where text was left out."""
+    at = (text or "").lower().encode().find(term.lower().encode())
+    if not term or at < 0:
+        return None
+    raw = text.encode()
+    start = max(0, at - size // 2)
+    end = min(len(raw), start + size)
+    words = whole = raw[start:end]
+    if start:
+        words = re.sub(rb"^\S*\s*", b"", words)
+    if end < len(raw):
+        words = re.sub(rb"\s*\S*$", b"", words)
+    out = " ".join((words or whole).decode("utf-8", "ignore").split())
+    return out and ("..." if start else "") + out + ("..." if end < len(raw) else "")
+
+
+def excerpts(docs: DataFrame, term: str, size: int = 160) -> DataFrame:
+    """id and snippet of the texts that have the term."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: excerpt(t, term, size))
+
+    return docs.filter(F.contains(F.lower("content"), F.lit(term.lower()))).select("id", run("content").alias("snippet"))
+
+
 def collapse(t: DataFrame, skip: str = "system") -> DataFrame:
     """Runs of equal entries as one with its length; entries of type ``skip`` are left out and don't end a run."""
     by = W.partitionBy("session").orderBy("seq")

@@ -151,3 +151,36 @@ def search_diffs(query: Query, diffs: DataFrame, commits: DataFrame) -> DataFram
     own = diffs.filter(any_group(query, F.col("path")) & condition(query, {"file": "path"}))
     kept = commits.filter(condition(query, {"author": "author", "message": "message"}) & times(query, F.col("timestamp"))).select(F.col("id").alias("commit_id"), "hash", "author", "timestamp")
     return own.join(kept, "commit_id").select("path", F.substring("hash", 1, 10).alias("hash"), "author", "timestamp", "commit_id").orderBy(F.desc("timestamp"), "commit_id", "path").limit(query.limit)
+
+
+def search_issues(query: Query, issues: DataFrame, comments: DataFrame) -> DataFrame:
+    """Issues whose title, text or any comment has one of the groups of words."""
+    if query.regex:
+        raise ValueError("issues take no regular expression")
+    own = issues.filter(condition(query, {"author": "author", "state": "state"}, frozenset({"author", "state"})) & times(query, F.col("updated_at")))
+    if query.groups:
+        said = comments.filter(any_group(query, F.col("body"))).select(F.col("issue_id").alias("number"), F.lit(True).alias("said")).distinct()
+        own = own.join(said, "number", "left").filter(F.col("said") | any_group(query, F.col("title")) | any_group(query, F.col("body")))
+    return own.select("number", "title", "author", "state", "updated_at").orderBy(F.desc("updated_at"), "number").limit(query.limit)
+
+
+def search_comments(query: Query, comments: DataFrame, blobs: DataFrame, file_revs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Comments in files at the tips of branches, a row for each path that has the file."""
+    if not query.groups and not set(query.filters) & {"ckind", "lang", "file"}:
+        raise ValueError("a comment search needs a word, or ckind, lang or file")
+    own = comments.filter(any_group(query, F.col("text")) & condition(query, {"ckind": "kind"}, frozenset({"ckind"})))
+    kept = blobs.filter(condition(query, {"lang": "language"}, frozenset({"lang"}))).select(F.col("id").alias("blob_id"), "language")
+    tips = file_revs.filter(condition(query, {"file": "path"})).join(refs.filter(F.col("name").isin(branches(query))).select("commit_id"), "commit_id", "left_semi").select("path", "blob_id").distinct()
+    found = own.join(kept, "blob_id").join(tips, "blob_id")
+    return found.select("path", F.col("text").alias("snippet"), "kind", "line", "language").orderBy("path", "line", "kind", "snippet").limit(query.limit)
+
+
+def search_code(query: Query, files: DataFrame) -> DataFrame:
+    """Files (path, language, content) with one of the groups of words, and the first line that has it."""
+    if not query.groups:
+        raise ValueError("a code search needs a word")
+    own = files.filter(condition(query, {"file": "path", "lang": "language"}, frozenset({"lang"})) & any_group(query, F.col("content")))
+    lines = F.split("content", "\n")
+    line = F.array_position(F.transform(lines, lambda x: any_group(query, x)), True).cast("int")
+    found = own.select("path", "language", line.alias("line"), F.element_at(lines, F.greatest(line, F.lit(1))).alias("text")).orderBy("path").limit(query.limit)
+    return found.select("path", "language", "line", F.when(F.col("line") > 0, F.substring(F.trim("text"), 1, 120)).alias("snippet"))
