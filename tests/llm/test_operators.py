@@ -154,6 +154,17 @@ def test_url_words(spark, sf):
     assert all(v == "allow" for h, v in got.items() if h not in bad)
 
 
+def test_url_rare_words_count(spark):
+    """Words far rarer than 1/65536 of all still split hosts and have a weight."""
+    page = lambda k: f"http://plain.org/{'/'.join(f'w{chr(97 + k % 26)}{chr(97 + j % 26)}' for j in range(52))}/x{chr(97 + k % 26)}"
+    urls = [page(k) + "/" + "".join(chr(97 + int(d)) for d in str(k)) for k in range(3000)] + ["http://cheappharma.com/", "http://cheapgadget.com/"]
+    html = ["filler " * 200_000 + "cheap gadget cheap gadget"]
+    df = spark.createDataFrame([(i, u, html[i] if i < len(html) else None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.judge(df, ()).filter("host <> 'plain.org'").collect()}
+    assert got["cheappharma.com"].host_words == ["cheap", "pharma"] and got["cheapgadget.com"].host_words == ["cheap", "gadget"]
+    assert got["cheappharma.com"].verdict == "block"
+
+
 # 6 -------------------------------------------------------------------------------------------------
 def brute_groups(docs, n, percent):
     sets = {}

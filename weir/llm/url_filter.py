@@ -5,6 +5,12 @@ A multinomial naive Bayes model then scores the words of host and path. It learn
 distinct addresses: one whose host has a word of ``LEXICON`` counts as unwanted, all others as wanted,
 so words that go with such hosts count against an address too.
 
+All word counts stay in tables: the substrings of each distinct host meet the words of the pages, and
+the words of each distinct address meet their counts there, so no word is left out for being rare
+among many. (A run of letters that the pages have only once, at any size, is no word to split by.)
+What is held in one place is bounded: the words of one host or address, a Counter of at most
+``MOST_HELD`` words in a task, and the groups that ``join_groups`` broadcasts.
+
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict
 allow. Rows are independent: repeated rows get equal verdicts. Very long urls are split whole. Empty
 tables give no rows; extra columns don't matter.
@@ -21,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.common import join_groups, materialise
+
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LEXICON = frozenset("casino poker slots bet bets betting gambling jackpot pills pharma viagra porn xxx escort ads adserver track tracker tracking banner popup".split())
-#: Words that are kept have at least this share of all, so there are at most as many; that bounds what is broadcast.
-MOST_WORDS = 1 << 16
+#: Bound of what a task counts before it passes that on.
+MOST_HELD = 1 << 20
 LONGEST = 24
+_RUN = re.compile(r"[^\W\d_]+|\d+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,21 +62,13 @@ def rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Segmenter:
-    """Viterbi split of a run of letters into the most likely words."""
+    """Viterbi split of a run of letters into the most likely words, of ``total`` occurrences in all."""
 
-    def __init__(self, words: dict[str, int]):
-        self.total = max(1, sum(words.values()))
+    def __init__(self, words: dict[str, int], total: int | None = None):
+        self.total = max(1, sum(words.values()) if total is None else total)
         self.cost = {w: -math.log(n / self.total) for w, n in words.items()}
-        self.known: dict[str, tuple[str, ...]] = {}
 
     def split(self, s: str) -> tuple[str, ...]:
-        if s not in self.known:
-            if len(self.known) >= 1 << 16:
-                self.known.clear()
-            self.known[s] = self._split(s)
-        return self.known[s]
-
-    def _split(self, s: str) -> tuple[str, ...]:
         best, back = [0.0] + [math.inf] * len(s), [0] * (len(s) + 1)
         for j in range(1, len(s) + 1):
             for i in range(max(0, j - LONGEST), j):
@@ -81,74 +82,125 @@ class Segmenter:
             j = back[j]
         return tuple(out[::-1])
 
-    def tokens(self, host_: str, path_: str) -> tuple[list[str], list[str]]:
-        """Words of the host without its last label, and of the path; numbers count as one word."""
-        labels = host_.split(":")[0].split(".")[:-1]
-        own = [w for label in labels for run in re.findall(r"[^\W\d_]+|\d+", label) for w in (("0",) if run[0].isdigit() else self.split(run))]
-        rest = ["0" if run[0].isdigit() else run.lower() for run in re.findall(r"[^\W\d_]+|\d+", path_)]
-        return own, ["/" + w for w in rest]
+
+def runs(host_: str) -> list[str]:
+    """Runs of letters or of digits of a host without its last label."""
+    return [run for label in host_.split(":")[0].split(".")[:-1] for run in _RUN.findall(label)]
+
+
+def path_words(path_: str) -> list[str]:
+    """Words of a path; numbers count as one word."""
+    return ["/0" if run[0].isdigit() else "/" + run.lower() for run in _RUN.findall(path_)]
 
 
-def word_counts(pages: DataFrame) -> dict[str, int]:
-    """Words of all pages with at least a 65,536th of all occurrences."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, n: the words of all pages."""
 
     def run(batches):
         seen: Counter[str] = Counter()
         for b in batches:
             for html in b.column(0).to_pylist():
                 seen.update(re.findall(r"[a-z]{1,24}", re.sub(r"<[^>]*>", " ", (html or "").lower())))
-                if len(seen) > 1 << 20:  # bounded memory: what is counted so far goes on its way
+                if len(seen) > MOST_HELD:  # bounded memory: what is counted so far goes on its way
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    counts = pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = {r.word: r.n for r in counts.filter(F.col("n") >= max(2, -(-total // MOST_WORDS))).collect()}
-    counts.unpersist()
-    return kept | {w: max(kept.get(w, 0), 2, total // 1000) for w in LEXICON}
+    return pages.select("html").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(pages: DataFrame, segmenter: Segmenter) -> tuple[dict[str, tuple[float, float]], float]:
-    """Log probabilities of each word (unwanted, wanted), and the log odds of unwanted."""
+def _substrings(hosts: DataFrame) -> DataFrame:
+    """id, word: the runs of at most ``LONGEST`` plain letters inside each host (some twice in a very long one)."""
 
     def run(batches):
-        seen: Counter[tuple[str, bool]] = Counter()
         for b in batches:
-            for h, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own, rest = segmenter.tokens(h, p)
-                bad = not LEXICON.isdisjoint(own)
-                seen.update([(w, bad) for w in own + rest])
-                seen[" ", bad] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["word", "bad", "n"])
-
-    distinct = pages.select(host(F.col("url")).alias("h"), F.regexp_replace(path(F.col("url")), r"[0-9]+", "0").alias("p")).filter("h <> ''").distinct()
-    counts = distinct.mapInArrow(run, "word string, bad boolean, n long").groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
-    counts = counts.persist()
-    total = counts.agg(F.sum(F.col("bad") + F.col("good"))).first()[0] or 0
-    rows = counts.filter((F.col("bad") + F.col("good") >= max(1, total // MOST_WORDS)) | (F.col("word") == " ")).collect()
+            ids: list[int] = []
+            words: list[str] = []
+            for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found: set[str] = set()
+                for part in re.findall("[a-z]+", " ".join(runs(h))):
+                    for i in range(len(part)):
+                        found.update(part[i:j] for j in range(i + 1, min(len(part), i + LONGEST) + 1))
+                        if len(found) > 1 << 16:
+                            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(list(found))], ["id", "word"])
+                            found.clear()
+                ids += [k] * len(found)
+                words += found
+                if len(ids) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["id", "word"])
+                    ids, words = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["id", "word"])
+
+    return hosts.select("id", "h").mapInArrow(run, "id long, word string")
+
+
+def split_hosts(hosts: DataFrame, pages: DataFrame) -> DataFrame:
+    """``hosts`` (id, h, size) with own, the words of each."""
+    counts = word_counts(pages).persist()
+    everything = counts.agg(F.sum("n")).first()[0] or 0
+    in_lexicon = F.col("word").isin(sorted(LEXICON))
+    seen = {r.word: r.n for r in counts.filter(in_lexicon).collect()}
+    lexicon = {w: max(seen.get(w, 0), 2, everything // 1000) for w in sorted(LEXICON)}
+    kept = counts.filter((F.col("n") >= 2) & ~in_lexicon)
+    total = (kept.agg(F.sum("n")).first()[0] or 0) + sum(lexicon.values())
+    kept = kept.unionByName(hosts.sparkSession.createDataFrame(list(lexicon.items()), "word string, n long"))
+    parts = _substrings(hosts)
+    # Substrings that are no words stay in, so that the common ones are known as such.
+    known = materialise(parts.groupBy("word").agg(F.count("*").alias("size")).join(kept, "word", "left"))
     counts.unpersist()
-    docs = next(((r.bad, r.good) for r in rows if r.word == " "), (0, 0))
-    rows = [r for r in rows if r.word != " "]
-    bad, good = sum(r.bad for r in rows) + len(rows) + 1, sum(r.good for r in rows) + len(rows) + 1
-    return {r.word: (math.log((r.bad + 1) / bad), math.log((r.good + 1) / good)) for r in rows}, math.log((docs[0] + 1) / (docs[1] + 1))
+    met = join_groups(parts, known, "word", "size", known.agg(F.sum("size")).first()[0] or 0).filter("n is not null")
+    met = met.groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+
+    @F.pandas_udf("array<string>")
+    def own(h: pd.Series, words: pd.Series, ns: pd.Series) -> pd.Series:
+        out = []
+        for x, w, n in zip(h, words, ns, strict=True):
+            s = Segmenter({} if w is None else dict(zip(w, map(int, n), strict=True)), total)
+            out.append([word for run in runs(x) for word in (("0",) if run[0].isdigit() else s.split(run))])
+        return pd.Series(out, dtype=object)
+
+    return materialise(hosts.join(met, "id", "left").select("id", "h", "size", own("h", "words", "ns").alias("own")))
+
+
+def address(host_: Column, path_: Column) -> Column:
+    """Host and path in one, numbers in the path as 0."""
+    return F.concat(host_, F.regexp_replace(path_, r"[0-9]+", "0"))
+
+
+def score(pages: DataFrame) -> DataFrame:
+    """at, pages, own, log_odds: each distinct address with a host, its pages, the words of its host and the log odds of unwanted."""
+    h, p = host(F.col("url")), path(F.col("url"))
+    urls = pages.select(h.alias("h"), address(h, p).alias("at")).filter("h <> ''").groupBy("h", "at").agg(F.count("*").alias("pages"))
+    urls = materialise(urls.withColumn("id", F.monotonically_increasing_id()))
+    hosts = materialise(urls.groupBy("h").agg(F.count("*").alias("size")).withColumn("id", F.monotonically_increasing_id()))
+    hosts = split_hosts(hosts, pages)
+
+    @F.pandas_udf("array<string>")
+    def rest(x: pd.Series) -> pd.Series:
+        return pd.Series([path_words(p) for p in x], dtype=object)
+
+    own = join_groups(urls, hosts.select("h", "size", "own"), "h", "size", urls.count())
+    own = own.select("id", "at", "pages", "own", rest(F.expr("substring(at, length(h) + 1)")).alias("rest"), F.exists("own", lambda w: w.isin(sorted(LEXICON))).alias("bad"))
+    own = materialise(own)
+    words = own.select("id", "bad", F.posexplode(F.concat("own", "rest")).alias("pos", "word"))
+    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    counts = materialise(words.groupBy("word").agg(one(F.col("bad")).alias("bad"), one(~F.col("bad")).alias("good"), F.count("*").alias("size")))
+    urls_of, words_of = own.agg(one(F.col("bad")).alias("bad"), one(~F.col("bad")).alias("good")).first(), counts.agg(one(F.col("bad")).alias("bad"), one(F.col("good")).alias("good"), F.count("*").alias("n")).first()
+    prior = math.log((urls_of.bad + 1) / (urls_of.good + 1))
+    log = lambda c, total: F.log((F.col(c) + 1) / F.lit(float(total + words_of.n + 1)))
+    weights = counts.select("word", "size", (log("bad", words_of.bad) - log("good", words_of.good)).alias("weight"))
+    met = join_groups(words, weights, "word", "size", words_of.bad + words_of.good).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("w"))
+    sums = met.select("id", F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("s"))  # in one order, so that it is the same in each run
+    return materialise(own.join(sums, "id", "left").select("at", "pages", "own", (F.lit(prior) + F.coalesce("s", F.lit(0.0))).alias("log_odds")))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_words, log_odds."""
-    segmenter = Segmenter(word_counts(pages))
-    words, prior = train(pages, segmenter)
-    @F.pandas_udf("struct<host_words: array<string>, log_odds: double>")
-    def bayes(h: pd.Series, p: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(h, p, strict=True):
-            own, rest = segmenter.tokens(x, y)
-            out.append((own, prior + sum(words[w][0] - words[w][1] for w in own + rest if w in words) if x else -math.inf))
-        return pd.DataFrame(out, columns=["host_words", "log_odds"])
-
-    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    found = score(pages)
+    rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("at", address(F.col("host"), F.col("path")))
+    known = join_groups(rows.filter("host <> ''"), found, "at", "pages", found.agg(F.sum("pages")).first()[0] or 0).select("page_id", "host", "path", "own", "log_odds")
+    empty = rows.filter("host = ''").select("page_id", "host", "path", F.array().cast("array<string>").alias("own"), F.lit(-math.inf).alias("log_odds"))
+    rows = known.unionByName(empty)
     name, action = rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("b", bayes("host", "path"))
-    method = F.when(F.col("b.log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, method).alias("verdict"), F.col("b.host_words").alias("host_words"), F.col("b.log_odds").alias("log_odds"))
+    method = F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select("page_id", "host", "path", name.alias("rule"), F.coalesce(action, method).alias("verdict"), F.col("own").alias("host_words"), "log_odds")
