@@ -219,6 +219,18 @@ def test_groups_empty_and_keep_one(make, empty, sf, spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, c in brute_groups(docs, 5, 80) if d == c)
 
 
+def test_keep_one_equal_and_null_ids(make):
+    """One row of each group stays, and no row goes because another with its id does."""
+    a, b, c, d = (near_copies(seed, 3, 200, 1) for seed in (11, 12, 13, 14))
+    alone = [f"{k} has nothing in common with any other text at all" for k in ("first", "second", "third")]
+    docs = [(3, a[0]), (7, a[1]), (None, a[2]), (7, alone[0]), (None, alone[1]), *((None, x) for x in b), *((5, x) for x in c), (5, c[0]), (9, d[0]), (9, d[0]), (9, alone[2]), (None, None), (7, "")]
+    kept = [tuple(r) for r in rows(jaccard_join.keep_one(make(docs), 5, 80), "doc_id", "text")]
+    singles = [(3, a[0]), (7, alone[0]), (None, alone[1]), (9, d[0]), (9, alone[2]), (None, None), (7, "")]
+    assert [kept.count(x) for x in singles] == [1] * len(singles)
+    others = [x for x in kept if x not in singles]
+    assert len(others) == 2 and {i for i, _ in others} == {None, 5} and all(x in (b if i is None else c) for i, x in others)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (300, 100)] + [(1000, k) for k in range(1001, 1300)] + [(7, 7)]
     got = dict(rows(components.components(spark.createDataFrame(chain, "a long, b long"))))

@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weir.llm.common import join_groups, materialise, mix, texts
+from weir.llm.common import HOT_GROUPS, join_groups, materialise, mix, texts
 from weir.llm.components import components
 from weir.llm.exact_dedup import contains, maybe_repeated, repeated_filter
 
@@ -80,12 +80,17 @@ class Order:
         return np.split(keys, np.searchsorted(keys, self.cuts))
 
 
+def row_key() -> Column:
+    """64 bits of a document's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (doc_id, n, cls) and the counters of each task (slice, blob)."""
+    """A row for each document (doc_id, key of id and text, n, cls) and the counters of each task (slice, blob)."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
-        names = ["doc_id", "n", "cls", "slice", "blob"]
+        names = ["doc_id", "key", "n", "cls", "slice", "blob"]
         seen = False
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -93,13 +98,13 @@ def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
                 grams = [ngrams(t, n) for t in texts(part.column(1))]
                 at, times = np.unique(np.concatenate(grams) & (COUNTERS - 1), return_counts=True)
                 counts[at] += times.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(g) for g in grams], pa.int32()), pa.array([class_of(g) for g in grams], pa.int64()), pa.nulls(len(grams), pa.int32()), pa.nulls(len(grams), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(g) for g in grams], pa.int32()), pa.array([class_of(g) for g in grams], pa.int64()), pa.nulls(len(grams), pa.int32()), pa.nulls(len(grams), pa.binary())], names)
                 seen = True
         if seen:
             for k, part in enumerate(np.split(counts, SLICES)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, cls long, slice int, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", row_key()).mapInArrow(run, "doc_id long, key long, n int, cls long, slice int, blob binary")
 
 
 def _order(counts: DataFrame) -> Order:
@@ -248,34 +253,57 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> D
     return star.filter("near").select("a", "b").unionByName(linked_same).unionByName(cross.select("a", "b"))
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, component_id."""
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, key, n_shingles, cls), their number, and the classes of those that aren't empty.
+
+    Of a class: size, class_id, and of its group component_id, rows and best, which is the key of the
+    row with the smallest id; a null id comes after all others, and the key decides between equal ones.
+    """
     found = materialise(_sets_and_counts(docs, n))
     order = docs.sparkSession.sparkContext.broadcast(_order(found.filter("slice is not null")))
-    rows = found.filter("slice is null").select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    rows = found.filter("slice is null").select("doc_id", "key", F.col("n").alias("n_shingles"), "cls")
     total = rows.count()
-    classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
+    classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), first))
     parts = components(links(docs, n, percent, order, classes))
     order.unpersist()  # all that needs it is written
     named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialise(named.join(smallest, "component").select("cls", "size", F.col("rep").alias("class_id"), "component_id"))
-    full = join_groups(rows.filter("n_shingles > 0"), named, "cls", "size", total).select("doc_id", "n_shingles", "class_id", "component_id")
+    whole = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("size").alias("rows"), F.min("best").alias("least"))
+    named = materialise(named.join(whole, "component").select("cls", "size", F.col("rep").alias("class_id"), "component_id", "rows", F.col("least.key").alias("best")))
+    return rows, named, total
+
+
+def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id, component_id."""
+    rows, named, total = _classes(docs, n, percent)
+    rows = rows.drop("key")
+    full = join_groups(rows.filter("n_shingles > 0"), named.select("cls", "size", "class_id", "component_id"), "cls", "size", total).select("doc_id", "n_shingles", "class_id", "component_id")
     empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; the columns stay.
+    """``docs`` with exactly one row of each group, the one with the smallest id; the columns stay.
 
-    Rows with equal ids stand or fall together. Only rows that a bounded filter can't tell from
-    dropped ones are shuffled.
+    Rows are told apart by id and text together, so other texts under a dropped row's id stay. A null
+    id comes after all others; of rows with the same id one stays, whatever their texts in the group,
+    and of rows that are equal in both any one. Documents without n-grams are in no group and all stay.
+    Only rows that a bounded filter can't tell from decided ones are shuffled.
     """
-    dropped = materialise(groups(docs, n, percent).filter("doc_id <> component_id").select("doc_id").distinct())
-    h = F.xxhash64(F.col("doc_id").cast("long"))
-    ids = dropped.select(h.alias("h"))
-    bits, counters = repeated_filter(ids.unionAll(ids), 2 * dropped.count())
+    rows, named, total = _classes(docs, n, percent)
+    shared_by = join_groups(rows.filter("n_shingles > 0"), named.filter("rows > 1").select("cls", "size", "best"), "cls", "size", total)
+    decided = shared_by.groupBy("key").agg(F.count("*").alias("size"), F.first(F.col("key") == F.col("best")).alias("keep"))
+    decided = materialise(decided.filter("not keep or size > 1"))
+    ids = decided.select(F.col("key").alias("h"))
+    bits, counters = repeated_filter(ids.unionAll(ids), 2 * decided.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    marked = docs.withColumn("_maybe_dropped", maybe_repeated(h, shared, counters))
-    rest = marked.filter("_maybe_dropped").drop("_maybe_dropped").join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    return marked.filter("not _maybe_dropped").drop("_maybe_dropped").unionByName(rest)
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), row_key().alias("key"))
+    marked = marked.withColumn("maybe", maybe_repeated(F.col("key"), shared, counters))
+    maybe = marked.filter("maybe").select("r", "key")
+    # As in join_groups, but rows that the filter marked in error stay.
+    least = max(2, -(-total // HOT_GROUPS))
+    hot = F.broadcast(decided.filter(F.col("size") >= least))
+    cold = maybe.join(hot.select("key"), "key", "left_anti").join(decided.filter(F.col("size") < least), "key", "left")
+    equal = maybe.join(hot.filter("keep").select("key"), "key").unionByName(cold.filter("keep").select("key", "r"))
+    equal = equal.groupBy("key").agg(F.first("r").alias("r"))
+    return marked.filter("not maybe").select("r.*").unionByName(cold.filter("keep is null").select("r.*")).unionByName(equal.select("r.*"))
