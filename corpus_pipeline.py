@@ -19,14 +19,20 @@ from weir.llm.queries import tokenizer_file
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is rejected."""
-    found = language.predict(F.col("text"), language.fit(docs))
+    """Drops documents whose language is rejected; all stay where no document has a language to learn from."""
+    model = language.fit(docs)
+    if not model.languages:
+        return docs
+    found = language.predict(F.col("text"), model)
     return docs.withColumn("_language", found).filter("not _language.rejected").select(*docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that score below the classifier's threshold."""
-    found = quality.score(F.col("text"), quality.fit(docs, table(spark, sf_dir, "labels")))
+    """Drops documents that score below the classifier's threshold; all stay where there is no label to learn from."""
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not trees.learned:
+        return docs
+    found = quality.score(F.col("text"), trees)
     return docs.withColumn("_quality", found).filter(F.col("_quality") >= quality.KEEP).select(*docs.columns)
 
 

@@ -399,6 +399,16 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in pieces} == kept["near_dedup"] and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
 
 
+@pytest.mark.parametrize("labels", [[], [(None, 1, 0), (4, None, 0)], [(6, 1, 0)]])
+def test_stages_without_anything_to_learn_keep_all(spark, odd, tmp_path, monkeypatch, labels):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(quality, "held_out", lambda doc_id: F.coalesce(doc_id == 6, F.lit(False)))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for stage in (p.language_id, p.quality_filter):
+        assert Counter(map(str, stage(spark, odd, str(tmp_path)).collect())) == Counter(map(str, odd.collect()))
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as p
 

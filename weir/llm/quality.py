@@ -5,9 +5,9 @@ histograms of at most ``BINS`` bins a statistic, from a sample of at most about
 documents, and kept as flat arrays that numpy walks for all rows and trees at once.
 
 Defined cases: a null text counts as empty and has a score like any other. A document with several
-labels counts with the highest; null labels are left out. Without labels every score is 0.5. Repeated
-rows get equal scores; very long texts are read whole; empty tables give no rows; extra columns don't
-matter.
+labels counts with the highest; null labels are left out. Without labels to learn from (none, or of held-out documents alone) every score is 0.5 and the
+trees are not ``learned``, so that a filter can let all documents pass. Repeated rows get equal scores;
+very long texts are read whole; empty tables give no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -57,6 +57,7 @@ class Trees:
     cut: np.ndarray
     leaf: np.ndarray
     start: float
+    learned: bool = True
 
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
@@ -75,7 +76,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
     inner, leaves = 2**depth - 1, 2**depth
     if not len(y) or y.min() == y.max():
         start = 0.0 if not len(y) else (3.0 if y[0] else -3.0)
-        return Trees(np.zeros((0, inner), int), np.zeros((0, inner)), np.zeros((0, leaves)), start)
+        return Trees(np.zeros((0, inner), int), np.zeros((0, inner)), np.zeros((0, leaves)), start, bool(len(y)))
     features = x.shape[1]
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS)[1:-1])) for f in range(features)]
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], 1)  # bin b: x > edge b - 1
