@@ -53,6 +53,20 @@ def test_parse():
             search.parse(bad)
 
 
+def test_searches_refuse_filters_they_ignore():
+    q = search.parse
+    for query, run in (
+        ("type:commit x repo:a", lambda x: search.search_commits(x, None)), ("type:commit x -repo:a", lambda x: search.search_commits(x, None)),
+        ("type:pr x file:a", lambda x: search.search_pull_requests(x, None)), ("f lang:go calls:g", lambda x: search.search_symbols(x, None, None, None, None)),
+        ("type:symbol f calledby:g", lambda x: search.search_symbols(x, None, None, None, None)), ("type:symbol f depth:2", lambda x: search.search_symbols(x, None, None, None, None)),
+        ("type:symbol f select:file", lambda x: search.search_symbols(x, None, None, None, None)), ("type:diff x lang:go", lambda x: search.search_diffs(x, None, None)),
+        ("type:issue x confidence:inferred", lambda x: search.search_issues(x, None, None)), ("type:comment x author:a", lambda x: search.search_comments(x, None, None, None, None)),
+        ("x rev:dev", lambda x: search.search_code(x, None)),
+    ):
+        with pytest.raises(ValueError, match="doesn't apply"):
+            run(q(query))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "v": "a"}\nnot json\n{"id": 2}\n')
     rows = io.read_ndjson(spark, str(tmp_path / "a.jsonl"), "id long, v string")

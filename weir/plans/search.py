@@ -2,7 +2,7 @@
 
 ``type:commit author:ann -message:wip after:2024-01-01 count:20``: filters are joined by AND, groups of
 words by OR. Conditions become columns, so that the optimiser pushes them to the scan; a filter always
-comes before the limit.
+comes before the limit. Each search applies some filters and raises ValueError for all others.
 """
 
 from __future__ import annotations
@@ -97,6 +97,12 @@ def condition(query: Query, columns: dict[str, str], exact: frozenset[str] = fro
     return out
 
 
+def applies(query: Query, *keys: str) -> None:
+    """Raises ValueError for a filter that isn't in ``keys``, which are those that a search applies, besides those of any search."""
+    if unknown := sorted(set(query.filters) - {"type", "count", "case", "patterntype", *keys}):
+        raise ValueError(f"this search doesn't apply {', '.join(unknown)}")
+
+
 def any_group(query: Query, column: Column) -> Column:
     return reduce(lambda a, b: a | b, [matches(column, g, query.case, query.regex) for g in query.groups], F.lit(False)) if query.groups else F.lit(True)
 
@@ -112,6 +118,7 @@ def times(query: Query, column: Column) -> Column:
 
 
 def search_commits(query: Query, commits: DataFrame) -> DataFrame:
+    applies(query, "author", "message", "before", "after")
     if not query.groups and not set(query.filters) - {"type", "count", "case"}:
         raise ValueError("a commit search needs a word or a filter")
     found = commits.filter(any_group(query, F.col("message")) & condition(query, {"author": "author", "message": "message"}) & times(query, F.col("timestamp")))
@@ -119,6 +126,7 @@ def search_commits(query: Query, commits: DataFrame) -> DataFrame:
 
 
 def search_pull_requests(query: Query, prs: DataFrame) -> DataFrame:
+    applies(query, "author", "state", "before", "after")
     if query.regex:
         raise ValueError("pull requests take no regular expression")
     found = prs.filter(any_group(query, F.col("title")) & condition(query, {"author": "author", "state": "state"}, frozenset({"author", "state"})) & times(query, F.col("created_at")))
@@ -133,7 +141,8 @@ def branches(query: Query) -> list[str]:
 
 def search_symbols(query: Query, symbols: DataFrame, blobs: DataFrame, file_revs: DataFrame, refs: DataFrame) -> DataFrame:
     """Symbols of files at the tips of branches; ``returns:`` keeps functions and methods only."""
-    if not query.groups and not set(query.filters) & {"select", "lang", "file", "returns"}:
+    applies(query, "lang", "file", "returns", "rev")
+    if not query.groups and not set(query.filters) & {"lang", "file", "returns"}:
         raise ValueError("a symbol search needs a word, or lang, file or returns")
     own = symbols.filter(any_group(query, F.col("name")))
     if (returns := query.one("returns")) is not None:
@@ -146,6 +155,7 @@ def search_symbols(query: Query, symbols: DataFrame, blobs: DataFrame, file_revs
 
 def search_diffs(query: Query, diffs: DataFrame, commits: DataFrame) -> DataFrame:
     """Changed paths that match the words, with the filters of commits and ``file:``."""
+    applies(query, "file", "author", "message", "before", "after")
     if not query.groups:
         raise ValueError("a diff search needs a word")
     own = diffs.filter(any_group(query, F.col("path")) & condition(query, {"file": "path"}))
@@ -155,6 +165,7 @@ def search_diffs(query: Query, diffs: DataFrame, commits: DataFrame) -> DataFram
 
 def search_issues(query: Query, issues: DataFrame, comments: DataFrame) -> DataFrame:
     """Issues whose title, text or any comment has one of the groups of words."""
+    applies(query, "author", "state", "before", "after")
     if query.regex:
         raise ValueError("issues take no regular expression")
     own = issues.filter(condition(query, {"author": "author", "state": "state"}, frozenset({"author", "state"})) & times(query, F.col("updated_at")))
@@ -166,6 +177,7 @@ def search_issues(query: Query, issues: DataFrame, comments: DataFrame) -> DataF
 
 def search_comments(query: Query, comments: DataFrame, blobs: DataFrame, file_revs: DataFrame, refs: DataFrame) -> DataFrame:
     """Comments in files at the tips of branches, a row for each path that has the file."""
+    applies(query, "ckind", "lang", "file", "rev")
     if not query.groups and not set(query.filters) & {"ckind", "lang", "file"}:
         raise ValueError("a comment search needs a word, or ckind, lang or file")
     own = comments.filter(any_group(query, F.col("text")) & condition(query, {"ckind": "kind"}, frozenset({"ckind"})))
@@ -177,6 +189,7 @@ def search_comments(query: Query, comments: DataFrame, blobs: DataFrame, file_re
 
 def search_code(query: Query, files: DataFrame) -> DataFrame:
     """Files (path, language, content) with one of the groups of words, and the first line that has it."""
+    applies(query, "file", "lang")
     if not query.groups:
         raise ValueError("a code search needs a word")
     own = files.filter(condition(query, {"file": "path", "lang": "language"}, frozenset({"lang"})) & any_group(query, F.col("content")))
