@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,35 +18,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared checkpoint folder and returns it without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is taken. Lost executors don't lose what was written.
+    Only where that is unset and Spark runs inside one process (tests) a temporary folder is taken; on
+    a cluster without one it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once to the shared folder and returns it without its lineage, partitions and their order kept.
+
+    Lost executors don't lose what was written.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: as ``materialise``, but packed by columns and in new partitions."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that no name can clash with those that an operator adds; ``select("r.*")`` takes them out again."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("r")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents that no model may learn from; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of many rows to one row per group, where one group may hold a third of all rows.
 
     Groups of at least ``total / HOT_GROUPS`` rows are at most ``HOT_GROUPS``; they are broadcast, so
     that their rows stay where they are. All others are joined by a shuffle, in which no key has
     more than a thousandth of the rows.
     """
+    keys = [key] if isinstance(key, str) else key
     least = max(2, -(-total // HOT_GROUPS))
     hot = F.broadcast(groups.filter(F.col(size) >= least))
     rest = groups.filter(F.col(size) < least)
-    cold = rows.join(hot.select(key), key, "left_anti").join(rest, key)
-    return rows.join(hot, key).unionByName(cold)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(rest.hint("merge"), keys)
+    return rows.join(hot, keys).unionByName(cold)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import join_groups, materialise, mix
+from weir.llm.common import join_groups, materialise, mix, whole_row
 
 HASHES = 3
 COUNTERS_PER_ROW = 16
@@ -120,12 +120,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows that surely occur once pass straight through. The others meet the groups by text and doc_id
     together, so that the copies of a hot text spread over all tasks.
     """
-    spark, cols = docs.sparkSession, docs.columns
+    spark = docs.sparkSession
     sha = text_hash(F.col("text"))
     hashes = materialise(docs.select(short_hash(sha).alias("h")))
     bits, counters = repeated_filter(hashes, hashes.count())
     shared = spark.sparkContext.broadcast(bits)
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("r"), sha.alias("sha")).withColumn("maybe", maybe_repeated(short_hash(F.col("sha")), shared, counters))
+    marked = docs.select(whole_row(docs), sha.alias("sha")).withColumn("maybe", maybe_repeated(short_hash(F.col("sha")), shared, counters))
     maybe = marked.filter("maybe").select("r", "sha")
     keep = maybe.groupBy(F.col("sha").alias("keep_sha")).agg(F.max(F.col("r.doc_id")).alias("keep_id"))
     kept = maybe.join(keep, (F.col("sha") == F.col("keep_sha")) & F.col("r.doc_id").eqNullSafe(F.col("keep_id"))).select("sha", "r")
