@@ -4,26 +4,36 @@ Each task keeps ``open_windows`` windows. The part of a document that is longer
 off as full windows; the rest goes to the open window that it fits best. When none fits, the fullest
 window is filled with the head of the rest, emitted without padding, and the remainder opens a new
 window in its place. At the end of its partition a task merges its leftover windows, in order of
-fill, into full ones; the last, short one is cut into powers of two, which need no padding. So memory
-is bounded by the open windows and one batch of documents, nothing is shuffled, and a lost task is
-run again over the same rows with the same result.
+fill, into full ones and keeps one short window at most. Those of ``TOGETHER`` partitions at a time are
+shuffled, less than a window of each, and merged in the same way; what is left of them is cut into
+powers of two, which need no padding. So memory is bounded by the open windows, one batch of documents
+and the short windows of ``TOGETHER`` partitions; a lost task is run again over the same rows with the
+same result.
 
 Defined cases: a null text is empty and has only the end token. Repeated rows are packed as often as
-they occur. A null doc_id is kept. Empty tables give no rows; extra columns don't matter.
+they occur. A null doc_id is kept. Very long texts are encoded whole, those with very long runs of
+white space by the tokenizers library. Empty tables give no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weir.llm.common import texts
+from weir.llm.common import texts, written
 
+#: Runs of white space from which the pattern that cuts words would exhaust its stack.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000}")
+#: Partitions whose last windows are merged in one task: 16 MB of ids at most.
+TOGETHER = 2048
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -34,9 +44,9 @@ def byte_bpe(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
     fast, which takes the same vocabulary by rank.
     """
     import json
-    import re
 
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         d = json.load(f)
@@ -49,8 +59,17 @@ def byte_bpe(path: str) -> Callable[[list[str]], Iterator[np.ndarray]]:
     special = {t["content"]: t["id"] for t in d["added_tokens"]}
     cut = re.compile("(" + "|".join(map(re.escape, special)) + ")")
 
+    def library(text: str) -> list[int]:
+        whole = Tokenizer.from_file(path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole.encode(text, add_special_tokens=False).ids
+
     def encode(batch: list[str]) -> Iterator[np.ndarray]:
         for text in batch:
+            if LONG_SPACE.search(text):
+                yield np.array(library(text), np.uint32)
+                continue
             parts = cut.split(text) if any(s in text for s in special) else [text]
             ids = [i for p in parts for i in ([special[p]] if p in special else enc.encode_ordinary(p))]
             yield np.array(ids, np.uint32)
@@ -89,20 +108,34 @@ class Packer:
         else:
             bisect.insort(self.open, (fill, number, pieces), key=lambda w: w[:2])
 
-    def finish(self) -> None:
-        """Merges what is left: full windows, then powers of two."""
+    def finish(self) -> list:
+        """Merges what is left into full windows; returns the pieces of the last one, if it is short."""
         left = [p for _, _, pieces in reversed(self.open) for p in pieces]
-        total, self.open = sum(len(p[2]) for p in left), []
-        sizes = [self.window] * (total // self.window) + [1 << b for b in reversed(range(total.bit_length())) if (total % self.window) >> b & 1]
-        for size in sizes:
-            own = []
-            while size:
-                doc, start, ids, n = left.pop(0)
-                own.append((doc, start, ids[:size], n))
-                if len(ids) > size:
-                    left.insert(0, (doc, start + size, ids[size:], n))
-                size -= len(own[-1][2])
+        self.open = []
+        *full, rest = cut(left, [self.window] * (sum(len(p[2]) for p in left) // self.window))
+        for own in full:
             self.emit(own)
+        return rest
+
+
+def cut(pieces: list, sizes: list[int]) -> list[list]:
+    """The pieces one after the other, dealt into sequences of the given sizes and one more for what remains."""
+    out, own, room, sizes = [], [], 0, iter(sizes)
+    room = next(sizes, None)
+    for doc, start, ids, n in pieces:
+        while room is not None and len(ids) >= room:
+            out.append([*own, (doc, start, ids[:room], n)])
+            start, ids, own = start + room, ids[room:], []
+            room = next(sizes, None)
+        if len(ids):
+            own.append((doc, start, ids, n))
+            room = None if room is None else room - len(ids)
+    return [*out, own]
+
+
+def powers(total: int, window: int) -> list[int]:
+    """Full windows, then powers of two."""
+    return [window] * (total // window) + [1 << b for b in reversed(range(window.bit_length())) if (total % window) >> b & 1]
 
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], Iterator[np.ndarray]]], window: int = 2048, end: int | None = 1, open_windows: int = 64) -> DataFrame:
@@ -112,19 +145,19 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], Iterator[n
         encode, done = encoder(), []
         base, sequences = TaskContext.get().partitionId() << 40, 0
 
-        def emit(pieces):
+        def emit(pieces, last=False):
             nonlocal sequences
             at = 0
             for doc, start, ids, n in pieces:
-                done.append((doc, start, len(ids), ids.tobytes(), n, base + sequences, at))
+                done.append((doc, start, len(ids), ids.tobytes(), n, base + sequences, at, last))
                 at += len(ids)
             sequences += 1
 
         def flush():
             cols = list(zip(*done, strict=True))
             done.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "last"])
 
         packer = Packer(window, open_windows, emit)
         tail = np.array([] if end is None else [end], np.uint32)
@@ -135,8 +168,22 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], Iterator[n
                     packer.add(doc, np.concatenate([ids, tail]))
                 if done:
                     yield flush()
-        packer.finish()
+        emit(packer.finish(), True)
         if done:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["sequence_id", "offset"])
+        docs_ = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
+        pieces = [(d, start, np.frombuffer(ids, np.uint32), n) for d, start, ids, n in zip(docs_, frame["start"], frame["ids"], frame["doc_tokens"], strict=True)]
+        rows = []
+        for k, own in enumerate(cut(pieces, powers(int(frame["length"].sum()), window))):
+            at = 0
+            for doc, start, ids, n in own:
+                rows.append((doc, start, len(ids), ids.tobytes(), n, (1 << 62) + (int(key[0]) << 40) + k, at))
+                at += len(ids)
+        return pd.DataFrame(rows, columns=[c for c in frame.columns if c not in ("last", "together")]).astype({"doc_id": "Int64"})
+
+    packed = written(docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", last boolean"))
+    short = packed.filter(F.col("last")).withColumn("together", F.expr(f"shiftright(sequence_id, 40) div {TOGETHER}"))
+    return packed.filter(~F.col("last")).drop("last").unionByName(short.groupBy("together").applyInPandas(merge, SCHEMA))
