@@ -3,11 +3,12 @@
 A text's subwords are the runs of two to four bytes of its lower-cased UTF-8, word borders included,
 hashed into ``BUCKETS``. The mean of their embeddings goes through a linear softmax. Both layers are
 trained by stochastic gradient descent in numpy on a sample of at most about ``SAMPLE`` labelled
-documents (equal shares of each language; whole texts as counts of buckets); a fifth of the sample is
-kept apart to fit the temperature and the score below which a prediction is rejected.
+documents (whole texts as counts of buckets) that has an equal share of every language, however rare.
+A fifth of the sample of each language is kept apart to fit the temperature and the score below which
+a prediction is rejected; where no language has five documents, nothing is rejected for its score.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected. Without any
-labelled document all are ``und``. Rows are independent, so repeated rows get equal results; null ids
+labelled document all are ``und``. More than ``SAMPLE`` different languages are an error. Rows are independent, so repeated rows get equal results; null ids
 stay; very long texts are read whole; empty tables give no rows; extra columns don't matter.
 """
 
@@ -26,7 +27,6 @@ from weir.llm.common import held_out
 BUCKETS = 1 << 12
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE = 6000
-LANGUAGES = 256
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 PIECE = 1 << 20
@@ -71,7 +71,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 30, rate: float = 2.0, seed: int = 7) -> Model:
-    """``sample``: (language, buckets, their counts), in a fixed order. Only a batch at a time is made dense."""
+    """``sample``: (language, buckets, their counts or shares), in a fixed order. Only a batch at a time is made dense."""
     languages = sorted({lang for lang, _, _ in sample})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), 1.0, 1.0)
@@ -85,8 +85,9 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoch
         return x
 
     order = rng.permutation(len(y))
-    apart = order[: len(y) // 5] if len(y) >= 50 else order
-    fit = order[len(y) // 5 :] if len(y) >= 50 else order
+    of = [order[y[order] == k] for k in range(len(languages))]
+    apart = np.concatenate([k[: len(k) // 5] for k in of])
+    fit = rng.permutation(np.concatenate([k[len(k) // 5 :] for k in of]))
     e = rng.normal(0, 0.3, (BUCKETS, dim)).astype(np.float32)
     w = rng.normal(0, 0.3, (dim, len(languages))).astype(np.float32)
     scale = np.float32(np.sqrt(BUCKETS) / 8)  # a mean of many embeddings is small
@@ -104,6 +105,8 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoch
             e -= step * de
         fit = rng.permutation(fit)
     table = (e @ w * scale).astype(np.float64)
+    if not len(apart):
+        return Model(languages, table, 1.0, 0.0)
     logits = np.concatenate([dense(apart[i : i + 64]) @ table for i in range(0, len(apart), 64)])
     right = logits.argmax(1) == y[apart]
     at = np.arange(len(apart))
@@ -116,20 +119,23 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoch
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and lang of documents that aren't held out."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = own.groupBy("lang").count().limit(sample + 1).collect()
     if not sizes:
         return train([])
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, sample / len(sizes) / r["count"]))])
-    drawn = own.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-
-    @F.pandas_udf("struct<at: binary, n: binary>")
-    def sparse(text: pd.Series) -> pd.DataFrame:
-        rows = [(np.flatnonzero(c).astype(np.uint16).tobytes(), c[c > 0].astype(np.float32).tobytes()) for c in map(counts, text)]
-        return pd.DataFrame(rows, columns=["at", "n"])
-
-    rows = drawn.select("doc_id", "lang", sparse("text").alias("c")).orderBy("doc_id", "lang")
-    # Partition by partition, so that the driver never holds more than one besides the arrays.
-    return train([(r.lang, np.frombuffer(r.c.at, np.uint16), np.frombuffer(r.c.n, np.float32)) for r in rows.toLocalIterator()])
+    if len(sizes) > sample:
+        raise ValueError(f"more than {sample} languages")
+    share = sample / len(sizes)
+    share += 3 * share**0.5  # so that no language's draw comes out empty by chance
+    rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, share / r["count"]))])
+    drawn = own.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 40)) < rate[F.col("lang")] * (1 << 40))
+
+    @F.pandas_udf("binary")
+    def sparse(text: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(c).astype(np.uint16).tobytes() + (c[c > 0] / c.sum()).astype(np.float16).tobytes() for c in map(counts, text)])
+
+    rows = sorted(drawn.select("lang", sparse("text").alias("c")).collect())  # the bounded sample, in one order
+    halves = [(r.lang, r.c[: len(r.c) // 2], r.c[len(r.c) // 2 :]) for r in rows]
+    return train([(lang, np.frombuffer(at, np.uint16), np.frombuffer(n, np.float16).astype(np.float32)) for lang, at, n in halves])
 
 
 def predict(text: Column, model: Model) -> Column:

@@ -5,9 +5,10 @@ histograms of at most ``BINS`` bins a statistic, from a sample of at most about
 documents, and kept as flat arrays that numpy walks for all rows and trees at once.
 
 Defined cases: a null text counts as empty and has a score like any other. A document with several
-labels counts with the highest; null labels are left out. Without labels to learn from (none, or of held-out documents alone) every score is 0.5 and the
-trees are not ``learned``, so that a filter can let all documents pass. Repeated rows get equal scores;
-very long texts are read whole; empty tables give no rows; extra columns don't matter.
+labels counts with the highest; null labels are left out. Without labels to learn from
+(none, or of held-out documents alone) every score is 0.5 and the trees are not ``learned``, so that a
+filter can let all documents pass. Repeated rows get equal scores; very long texts are read whole;
+empty tables give no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -119,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     def run(text: pd.Series) -> pd.Series:
         return pd.Series([np.array(statistics(t or "")).tobytes() for t in text])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", run("text").alias("x")).orderBy("doc_id", "x").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", run("text").alias("x"))
+    rows = sorted(rows.collect())  # the bounded sample, in one order
     return grow(np.frombuffer(b"".join(r.x for r in rows)).reshape(len(rows), -1) if rows else np.zeros((0, 0)), np.array([float(r.label > 0) for r in rows]))
 
 
