@@ -1,19 +1,22 @@
 """URL filter: rules first, else naive Bayes over segmented host names and path tokens.
 
 Host labels are concatenated words; a unigram model of the pages' own words splits each by Viterbi.
-A multinomial naive Bayes model then scores the words of host and path. It learns from the pages' own
-distinct addresses: one whose host has a word of ``LEXICON`` counts as unwanted, all others as wanted,
-so words that go with such hosts count against an address too.
+A multinomial naive Bayes model then scores the words of host and path. The rules are its labels: it
+learns from the distinct addresses that a rule decides what blocked and allowed ones are made of, and
+so carries the rules over to addresses that none of them names.
 
 All word counts stay in tables: the substrings of each distinct host meet the words of the pages, and
 the words of each distinct address meet their counts there, so no word is left out for being rare
-among many. (A run of letters that the pages have only once, at any size, is no word to split by.)
-What is held in one place is bounded: the words of one host or address, a Counter of at most
-``MOST_HELD`` words in a task, and the groups that ``join_groups`` broadcasts.
+among many. (A run of letters that the pages have only once, at any size, is no word to split by; nor
+is one of more than ``LABEL`` letters, since no part of a host name may be longer.) What is held in one
+place is bounded: the words of one host or address, a Counter of at most ``MOST_HELD`` words in a task,
+and the groups that ``join_groups`` broadcasts.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict
-allow. Rows are independent: repeated rows get equal verdicts. Very long urls are split whole. Empty
-tables give no rows; extra columns don't matter.
+allow. Where the rules decide no page, or all in the same way, there is nothing to learn and all other
+pages are allowed; a word that no decided address has counts for nothing. Rows are independent:
+repeated rows get equal verdicts. Very long urls are split whole. Empty tables give no rows; extra
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import join_groups, materialise
+from weir.llm.common import join_groups, materialise, written
 
 #: (action, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LEXICON = frozenset("casino poker slots bet bets betting gambling jackpot pills pharma viagra porn xxx escort ads adserver track tracker tracking banner popup".split())
 #: Bound of what a task counts before it passes that on.
 MOST_HELD = 1 << 20
-LONGEST = 24
-_RUN = re.compile(r"[^\W\d_]+|\d+")
+#: Fixed value: the longest part between two dots of a host name.
+LABEL = 63
+_RUN, _LETTERS = re.compile(r"[^\W\d_]+|\d+"), re.compile(r"[^\W\d_]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,15 +70,19 @@ class Segmenter:
     def __init__(self, words: dict[str, int], total: int | None = None):
         self.total = max(1, sum(words.values()) if total is None else total)
         self.cost = {w: -math.log(n / self.total) for w, n in words.items()}
+        self.longest = max(map(len, words), default=0)
 
     def split(self, s: str) -> tuple[str, ...]:
+        """A piece that is no word costs as much as a word that occurs once, and 2.3 for each letter."""
         best, back = [0.0] + [math.inf] * len(s), [0] * (len(s) + 1)
+        unknown, start = math.inf, 0  # the best place where a piece that is no word can start
         for j in range(1, len(s) + 1):
-            for i in range(max(0, j - LONGEST), j):
-                word = s[i:j]
-                cost = best[i] + (self.cost[word] if word in self.cost else math.log(self.total) + 2.3 * (j - i))
-                if cost < best[j]:
-                    best[j], back[j] = cost, i
+            if best[j - 1] - 2.3 * (j - 1) < unknown:
+                unknown, start = best[j - 1] - 2.3 * (j - 1), j - 1
+            best[j], back[j] = unknown + 2.3 * j + math.log(self.total), start
+            for i in range(max(0, j - self.longest), j):
+                if (cost := self.cost.get(s[i:j])) is not None and best[i] + cost <= best[j]:
+                    best[j], back[j] = best[i] + cost, i
         out, j = [], len(s)
         while j:
             out.append(s[back[j] : j])
@@ -100,7 +107,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         seen: Counter[str] = Counter()
         for b in batches:
             for html in b.column(0).to_pylist():
-                seen.update(re.findall(r"[a-z]{1,24}", re.sub(r"<[^>]*>", " ", (html or "").lower())))
+                seen.update(_LETTERS.findall(re.sub(r"<[^>]*>", " ", (html or "").lower())))
                 if len(seen) > MOST_HELD:  # bounded memory: what is counted so far goes on its way
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                     seen.clear()
@@ -110,7 +117,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 
 def _substrings(hosts: DataFrame) -> DataFrame:
-    """id, word: the runs of at most ``LONGEST`` plain letters inside each host (some twice in a very long one)."""
+    """id, word: the runs of at most ``LABEL`` letters inside each host (some twice in a very long one)."""
 
     def run(batches):
         for b in batches:
@@ -118,9 +125,9 @@ def _substrings(hosts: DataFrame) -> DataFrame:
             words: list[str] = []
             for k, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
-                for part in re.findall("[a-z]+", " ".join(runs(h))):
+                for part in _LETTERS.findall(" ".join(runs(h))):
                     for i in range(len(part)):
-                        found.update(part[i:j] for j in range(i + 1, min(len(part), i + LONGEST) + 1))
+                        found.update(part[i:j] for j in range(i + 1, min(len(part), i + LABEL) + 1))
                         if len(found) > 1 << 16:
                             yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(list(found))], ["id", "word"])
                             found.clear()
@@ -136,18 +143,11 @@ def _substrings(hosts: DataFrame) -> DataFrame:
 
 def split_hosts(hosts: DataFrame, pages: DataFrame) -> DataFrame:
     """``hosts`` (id, h, size) with own, the words of each."""
-    counts = word_counts(pages).persist()
-    everything = counts.agg(F.sum("n")).first()[0] or 0
-    in_lexicon = F.col("word").isin(sorted(LEXICON))
-    seen = {r.word: r.n for r in counts.filter(in_lexicon).collect()}
-    lexicon = {w: max(seen.get(w, 0), 2, everything // 1000) for w in sorted(LEXICON)}
-    kept = counts.filter((F.col("n") >= 2) & ~in_lexicon)
-    total = (kept.agg(F.sum("n")).first()[0] or 0) + sum(lexicon.values())
-    kept = kept.unionByName(hosts.sparkSession.createDataFrame(list(lexicon.items()), "word string, n long"))
+    kept = written(word_counts(pages).filter("n >= 2"))
+    total = kept.agg(F.sum("n")).first()[0] or 0
     parts = _substrings(hosts)
     # Substrings that are no words stay in, so that the common ones are known as such.
     known = materialise(parts.groupBy("word").agg(F.count("*").alias("size")).join(kept, "word", "left"))
-    counts.unpersist()
     met = join_groups(parts, known, "word", "size", known.agg(F.sum("size")).first()[0] or 0).filter("n is not null")
     met = met.groupBy("id").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
 
@@ -167,10 +167,12 @@ def address(host_: Column, path_: Column) -> Column:
     return F.concat(host_, F.regexp_replace(path_, r"[0-9]+", "0"))
 
 
-def score(pages: DataFrame) -> DataFrame:
-    """at, pages, own, log_odds: each distinct address with a host, its pages, the words of its host and the log odds of unwanted."""
+def score(pages: DataFrame, rules=RULES) -> DataFrame:
+    """at, pages, own, log_odds: each distinct address with a host, its pages, the words of its host and the log odds of blocked."""
     h, p = host(F.col("url")), path(F.col("url"))
-    urls = pages.select(h.alias("h"), address(h, p).alias("at")).filter("h <> ''").groupBy("h", "at").agg(F.count("*").alias("pages"))
+    action = rule(h, p, rules)[1]
+    urls = pages.select(h.alias("h"), address(h, p).alias("at"), action.alias("action")).filter("h <> ''").groupBy("h", "at")
+    urls = urls.agg(F.count("*").alias("pages"), F.count_if(F.col("action") == "block").alias("blocked"), F.count_if(F.col("action") == "allow").alias("allowed"))
     urls = materialise(urls.withColumn("id", F.monotonically_increasing_id()))
     hosts = materialise(urls.groupBy("h").agg(F.count("*").alias("size")).withColumn("id", F.monotonically_increasing_id()))
     hosts = split_hosts(hosts, pages)
@@ -180,23 +182,27 @@ def score(pages: DataFrame) -> DataFrame:
         return pd.Series([path_words(p) for p in x], dtype=object)
 
     own = join_groups(urls, hosts.select("h", "size", "own"), "h", "size", urls.count())
-    own = own.select("id", "at", "pages", "own", rest(F.expr("substring(at, length(h) + 1)")).alias("rest"), F.exists("own", lambda w: w.isin(sorted(LEXICON))).alias("bad"))
-    own = materialise(own)
-    words = own.select("id", "bad", F.posexplode(F.concat("own", "rest")).alias("pos", "word"))
-    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    counts = materialise(words.groupBy("word").agg(one(F.col("bad")).alias("bad"), one(~F.col("bad")).alias("good"), F.count("*").alias("size")))
-    urls_of, words_of = own.agg(one(F.col("bad")).alias("bad"), one(~F.col("bad")).alias("good")).first(), counts.agg(one(F.col("bad")).alias("bad"), one(F.col("good")).alias("good"), F.count("*").alias("n")).first()
-    prior = math.log((urls_of.bad + 1) / (urls_of.good + 1))
-    log = lambda c, total: F.log((F.col(c) + 1) / F.lit(float(total + words_of.n + 1)))
-    weights = counts.select("word", "size", (log("bad", words_of.bad) - log("good", words_of.good)).alias("weight"))
-    met = join_groups(words, weights, "word", "size", words_of.bad + words_of.good).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("w"))
+    bad, good = F.col("blocked") > F.col("allowed"), F.col("allowed") > F.col("blocked")
+    own = materialise(own.select("id", "at", "pages", "own", rest(F.expr("substring(at, length(h) + 1)")).alias("rest"), bad.alias("bad"), good.alias("good")))
+    words = own.select("id", "bad", "good", F.posexplode(F.concat("own", "rest")).alias("pos", "word"))
+    both = F.count_if("bad").alias("bad"), F.count_if("good").alias("good")
+    counts = materialise(words.groupBy("word").agg(*both, F.count("*").alias("size")))
+    urls_of = own.agg(*both).first()
+    words_of = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count_if(F.expr("bad + good > 0")).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    if not urls_of.bad or not urls_of.good:
+        return own.select("at", "pages", "own", F.lit(-math.inf).alias("log_odds"))
+    prior = math.log(urls_of.bad / urls_of.good)
+    log = lambda c, total: F.log((F.col(c) + 1) / F.lit(float(total + words_of.n)))
+    weight = F.when(F.expr("bad + good > 0"), log("bad", words_of.bad) - log("good", words_of.good)).otherwise(0.0)
+    weights = counts.select("word", "size", weight.alias("weight"))
+    met = join_groups(words.select("id", "pos", "word"), weights, "word", "size", words_of.size).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("w"))
     sums = met.select("id", F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x["weight"]).alias("s"))  # in one order, so that it is the same in each run
     return materialise(own.join(sums, "id", "left").select("at", "pages", "own", (F.lit(prior) + F.coalesce("s", F.lit(0.0))).alias("log_odds")))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_words, log_odds."""
-    found = score(pages)
+    found = score(pages, rules)
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path")).withColumn("at", address(F.col("host"), F.col("path")))
     known = join_groups(rows.filter("host <> ''"), found, "at", "pages", found.agg(F.sum("pages")).first()[0] or 0).select("page_id", "host", "path", "own", "log_odds")
     empty = rows.filter("host = ''").select("page_id", "host", "path", F.array().cast("array<string>").alias("own"), F.lit(-math.inf).alias("log_odds"))
