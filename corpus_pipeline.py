@@ -3,18 +3,25 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the
 columns of ``documents``, the last one packed sequences. ``run`` writes each stage's result as Parquet
 to the shared checkpoint folder and reads it again for the next.
+
+Defined cases, of every stage: an empty table gives an empty one; extra columns stay as they are,
+whatever their names; rows with a null doc_id are documents like all others. A null text counts as
+empty. The first stage drops texts without a letter, null and empty ones too, for which no language
+can be told. Repeated rows get equal decisions in the first two stages, are copies in the third, and
+where they reach the fourth one of them stays if the text has a word. Of equal texts the largest
+doc_id stays, of near copies the smallest; between rows with equal ids any one. Very long texts are
+read whole.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm import exact_dedup, jaccard_join, language, packing, quality
-from weir.llm.common import table
+from weir.llm.common import shared_folder, table, whole_row
 from weir.llm.queries import tokenizer_file
 
 
@@ -24,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs
     found = language.predict(F.col("text"), model)
-    return docs.withColumn("_language", found).filter("not _language.rejected").select(*docs.columns)
+    return docs.select(whole_row(docs), found.alias("found")).filter("not found.rejected").select("r.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +40,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not trees.learned:
         return docs
     found = quality.score(F.col("text"), trees)
-    return docs.withColumn("_quality", found).filter(F.col("_quality") >= quality.KEEP).select(*docs.columns)
+    return docs.select(whole_row(docs), found.alias("found")).filter(F.col("found") >= quality.KEEP).select("r.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4()}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
