@@ -22,12 +22,12 @@ def test_greedy_match(spark):
     assert set(got) == want and len(got) == len(want) and any(m is None for _, _, m in want)
 
 
-def test_excerpt():
+def test_excerpt(spark):
     text = "zero " * 30 + "Über die needle im Heu " + "last " * 40
-    got = texts.excerpt(text, "NEEDLE", 60)
-    assert got.startswith("...") and got.endswith("...") and "needle" in got and set(got.strip(".").split()) <= set(text.split())
-    assert texts.excerpt("a needle", "needle") == "a needle" and texts.excerpt("a", "b") is None and texts.excerpt(None, "b") is None
-    assert texts.excerpt("ü" * 300, "ü", 21) == "ü" * 10 + "..."
+    docs = spark.createDataFrame([(1, text), (2, "a needle"), (3, "a"), (4, None), (5, "needle " + "x" * 500)], "id long, content string")
+    got = {r.id: r.snippet for r in texts.excerpts(docs, "NEEDLE", 60).collect()}
+    assert got[1].startswith("...") and got[1].endswith("...") and "needle" in got[1] and set(got[1].strip(".").split()) <= set(text.split())
+    assert got[2] == "a needle" and got[5] == "needle..." and got.keys() == {1, 2, 5}
 
 
 def test_excerpts_of_all(spark, sf):

@@ -7,9 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weir import bindings, queries
-from weir.plans import search
 from weir.sources import io
-from weir.operators import collaboration
+from weir.operators import code, collaboration, planning, search, texts
 from weir.streaming import silence, windows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,44 +38,75 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert sorted(got, key=key) == sorted(([plain(r[i]) for i in at] for r in want.fetchall()), key=key)
 
 
-def test_tokenize():
-    assert search.tokenize('a "b c" type:commit author:"x y" "open') == ["a", "b c", "type:commit", "author:x y", "open"]
+def test_searches_check_their_arguments(spark, sf):
+    t = {n: f(spark, sf) for n, f in bindings.TABLES.items()}
+    files = [t[n] for n in ("symbols", "blobs", "file_revs", "refs")]
+    edges = [t[n] for n in ("symbol_edges", "symbols", "file_revs", "refs")]
+    for call in (
+        lambda: search.search_commits(t["commits"]), lambda: search.search_diffs(t["diffs"], t["commits"], author="a"), lambda: search.search_symbols(*files), lambda: search.search_comments(t["comments"], *files[1:]),
+        lambda: search.search_code(t["ledger"]), lambda: search.search_commits(t["commits"], ["a"], limit=0), lambda: search.search_commits(t["commits"], ["a"], regex="b"), lambda: search.search_commits(t["commits"], regex=""),
+        lambda: search.callers(*edges, "f", depth=11), lambda: search.callees(*edges, "f", depth=0), lambda: search.callers(*edges, "f", confidence="sure"),
+    ):
+        with pytest.raises(ValueError):
+            call()
+    with pytest.raises(TypeError):
+        search.search_commits(t["commits"], ["a"], state="open")
 
 
-def test_parse():
-    q = search.parse("type:commit fix OR bug -author:ann lang:go unknown:x count:5 case:yes depth:3")
-    assert (q.kind, q.groups, q.limit, q.case, q.depth) == ("commit", ["fix", "bug unknown:x"], 5, True, 3)
-    assert q.filters["author"] == [("ann", True)] and search.parse("calls:f").kind == "symbol"
-    assert search.parse("/a.b/").regex and search.parse("x patterntype:regexp").regex
-    for bad in ("-type:x", "count:0", "depth:11", "confidence:no", "/a/ OR b"):
-        with pytest.raises(ValueError):
-            search.parse(bad)
-
-
-def test_searches_refuse_filters_they_ignore():
-    q = search.parse
-    for query, run in (
-        ("type:commit x repo:a", lambda x: search.search_commits(x, None)), ("type:commit x -repo:a", lambda x: search.search_commits(x, None)),
-        ("type:pr x file:a", lambda x: search.search_pull_requests(x, None)), ("f lang:go calls:g", lambda x: search.search_symbols(x, None, None, None, None)),
-        ("type:symbol f calledby:g", lambda x: search.search_symbols(x, None, None, None, None)), ("type:symbol f depth:2", lambda x: search.search_symbols(x, None, None, None, None)),
-        ("type:symbol f select:file", lambda x: search.search_symbols(x, None, None, None, None)), ("type:diff x lang:go", lambda x: search.search_diffs(x, None, None)),
-        ("type:issue x confidence:inferred", lambda x: search.search_issues(x, None, None)), ("type:comment x author:a", lambda x: search.search_comments(x, None, None, None, None)),
-        ("x rev:dev", lambda x: search.search_code(x, None)),
-    ):
-        with pytest.raises(ValueError, match="doesn't apply"):
-            run(q(query))
+def test_matches(spark):
+    df = spark.createDataFrame([("A.b*c",), ("a.B",), ("xa.by",), (None,)], "s string")
+    hit = lambda *a, **k: [r.s for r in df.filter(search.matches(F.col("s"), *a, **k)).collect()]
+    assert hit("a.b") == ["A.b*c", "a.B", "xa.by"] and hit("a.b", case=True) == ["xa.by"] and hit("a?b") == ["a.B"] and hit("A*", case=True) == ["A.b*c"] and hit("*.by") == ["xa.by"]
+    assert [r.s for r in df.filter(search.like("s", None, "by")).collect()] == ["A.b*c", "a.B"]  # null goes too
 
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "v": "a"}\nnot json\n{"id": 2}\n')
     rows = io.read_ndjson(spark, str(tmp_path / "a.jsonl"), "id long, v string")
     assert sorted(map(tuple, rows.collect())) == [(1, "a"), (2, None)]
+    (tmp_path / "b.jsonl").write_text('{"id": null}\n\n{"v": "x"}\n{"id": "no"}\n')
+    assert sorted(map(tuple, io.read_ndjson(spark, str(tmp_path / "b.jsonl"), "id long, v string").collect()), key=str) == [(None, "x"), (None, None)]
+    (tmp_path / "facts").mkdir()
+    for k, text in enumerate(('{"_meta": {"v": 2}}\n{"headline": "a", "who": "w"}\n\nbroken\n', '{"schema_version": "1", "recorded_at": "x"}\n{"content": "b"}\n', '{"headline": "c", "source_url": "u"}\n')):
+        (tmp_path / "facts" / f"{k}.jsonl").write_text(text)
+    facts = io.read_facts(spark, str(tmp_path / "facts"))
+    assert sorted((r.headline, r.who, r.source_url) for r in facts.collect()) == [("a", "w", None), ("b", None, None), ("c", None, "u")]
+    io.write_facts(facts, str(tmp_path / "again"))
+    assert sorted(map(str, io.read_facts(spark, str(tmp_path / "again")).collect())) == sorted(map(str, facts.collect()))
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "e")], "id long, v string")
     assert sorted(map(tuple, io.insert_or_ignore(old, new, ["id"], ["v"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
     assert sorted(map(tuple, io.upsert(old, io.latest(new, ["id"], ["v"]), ["id"]).collect())) == [(1, "a"), (2, "c"), (3, "e")]
     files = spark.createDataFrame([("a", 1), ("b", 2)], "path string, mtime long")
-    assert [r.path for r in io.changed(files, files.limit(1)).collect()] != []
+    assert [r.path for r in io.changed(files, files.filter("path = 'a'")).collect()] == ["b"]
+    assert io.changed(files, spark.createDataFrame([("a", 2), ("b", 2)], "path string, mtime long")).collect()[0].path == "a"
+
+
+def test_line_is_found_in_the_text_itself(spark):
+    docs = spark.createDataFrame([(1, "İ" * 14 + "Term here\nnext"), (2, "one\ntwo tERM\nterm"), (3, "nothing"), (4, None)], "id long, content string")
+    assert {r.id: (r.line, r.snippet) for r in texts.located(docs, ["term"]).collect()} == {1: (1, "İ" * 14 + "Term here"), 2: (2, "two tERM")}
+    assert {r.id for r in texts.excerpts(docs, "term").collect()} == {1, 2}
+
+
+def test_innermost_and_parents_of_long_files(spark):
+    symbols = spark.createDataFrame([(1, 7, 0, 10**6), (2, 7, 5, 40), (3, 7, 10, 20), (4, 7, 10, 20), (5, 7, 999_990, 999_999), (6, 8, 3, 3)], "id long, blob_id long, line int, end_line int")
+    refs = spark.createDataFrame([(k, b, at) for k, (b, at) in enumerate([(7, 15), (7, 20), (7, 39), (7, 40), (7, 999_995), (8, 3), (9, 1)])], "id long, blob_id long, line int")
+    assert [r.symbol_id for r in code.innermost(refs, symbols).orderBy("id").collect()] == [3, 2, 2, 1, 5, None, None]
+    assert {r.id: r.parent_id for r in code.parents(symbols).collect()} == {1: None, 2: 1, 3: 2, 4: 2, 5: 1, 6: None}
+
+
+def test_bridges_known_answer(spark):
+    rows = [("a", "p1/x/1"), ("a", "p2/x/1"), ("a", "p3/x/1"), ("b", "p1/x/2"), ("b", "p2/x/2"), ("c", "p4/x/1"), ("c", "p5/x/1")]
+    got = collaboration.bridges(spark.createDataFrame(rows, "author string, file string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "p1/x", "p3/x"), ("a", "p2/x", "p3/x")]
+
+
+def test_patterns_are_checked():
+    for bad in ('[{"id": "a", "reason": "r"}]', '[{"id": "a", "reason": "r", "path": "p", "regex": "x"}]'):
+        with pytest.raises(ValueError):
+            planning.load_patterns(bad)
+    with pytest.raises(TypeError):
+        planning.load_patterns('[{"id": "a", "reason": "r", "rejex": "x"}]')
 
 
 def test_streams_equal_batch(spark, sf, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,8 +12,9 @@ DAY = 86400
 
 
 def touched(commits: DataFrame, diffs: DataFrame, as_of: int, days: int) -> DataFrame:
+    """Changed paths of the time's commits; these cut the changes before they are made distinct."""
     own = commits.filter(F.col("timestamp").between(as_of - days * DAY, as_of))
-    return diffs.join(own, diffs.commit_id == own.id)
+    return diffs.join(own.select(F.col("id").alias("commit_id")), "commit_id", "left_semi").join(own, F.col("commit_id") == own.id)
 
 
 def hotspots(commits, diffs, as_of, days=90, k=20) -> DataFrame:
@@ -74,12 +77,28 @@ def direct_commits(commits, pr_commits) -> DataFrame:
     return commits.join(pr_commits.select(F.col("sha").alias("hash")), "hash", "left_anti")
 
 
-def by_day(prs, commits) -> DataFrame:
-    """Events of each day: pull requests by merge or else update, commits by time."""
-    day = lambda c: F.to_date(F.timestamp_seconds(c))
-    a = prs.select(F.lit("pr").alias("type"), day(F.coalesce("merged_at", "updated_at")).alias("day"))
-    b = commits.select(F.lit("commit").alias("type"), day(F.col("timestamp")).alias("day"))
-    return a.unionByName(b).groupBy("day", "type").agg(F.count("*").alias("n")).withColumn("day", F.col("day").cast("string"))
+def by_day(prs, commits, issues) -> DataFrame:
+    """Events of each day: pull requests by merge or else update, issues by update, commits by time."""
+    of = lambda name, at: (F.lit(name).alias("type"), F.to_date(F.timestamp_seconds(at)).alias("day"))
+    rows = prs.select(*of("pr", F.coalesce("merged_at", "updated_at"))).unionByName(issues.select(*of("issue", F.col("updated_at")))).unionByName(commits.select(*of("commit", F.col("timestamp"))))
+    return rows.groupBy("day", "type").agg(F.count("*").alias("n")).withColumn("day", F.col("day").cast("string"))
+
+
+def triaged(prs, comments, k) -> DataFrame:
+    """The first ``k`` open pull requests in each order: longest without activity, oldest, most discussed; ties by number."""
+    c = comments.groupBy("pr_id").agg(F.count("*").alias("comments"), F.max("created_at").alias("last"))
+    last = F.greatest(F.coalesce("updated_at", F.lit(0)), F.coalesce("last", F.lit(0)))
+    rows = prs.filter("state = 'open'").join(c, prs.id == c.pr_id, "left").select("number", "created_at", last.alias("last_activity"), F.coalesce("comments", F.lit(0)).alias("comments"))
+    orders = {"stalled": ["last_activity"], "age": ["created_at"], "activity": [F.desc("comments"), F.desc("last_activity")]}
+    place = lambda order: F.row_number().over(W.orderBy(*order, "number"))  # noqa: E731  (of k rows)
+    return reduce(DataFrame.unionByName, [rows.orderBy(*o, "number").limit(k).select(F.lit(by).alias("by"), "*", place(o).alias("place")) for by, o in orders.items()])
+
+
+def with_blobs(changes, blobs) -> DataFrame:
+    """Changes with the blobs before and after; a side that is missing or unknown is null."""
+    side = lambda p: blobs.select(F.col("id").alias(f"{p}_id"), F.col("language").alias(f"{p}_language"))
+    rows = changes.join(side("old"), F.col("old_blob_id") == F.col("old_id"), "left").join(side("new"), F.col("new_blob_id") == F.col("new_id"), "left")
+    return rows.select("commit_id", "path", "old_language", "new_language", "old_id", "new_id")
 
 
 def in_window(prs, since, until) -> DataFrame:

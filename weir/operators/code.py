@@ -1,6 +1,6 @@
 """Symbols, references and the files that they are in; change logs and spans.
 
-Range joins always have an equality on the blob, so that what one task compares is one file.
+Range joins always have an equality on the blob, the largest on bins of its lines too.
 """
 
 from __future__ import annotations
@@ -12,18 +12,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Lines of a file that are compared together.
+BIN = 16
+
+
+def _spans(symbols: DataFrame) -> DataFrame:
+    """Each span of lines of a file once (blob_id, lo, hi), with the least symbol that has it, and the bins of lines that it touches."""
+    g = symbols.groupBy("blob_id", F.col("line").alias("lo"), F.col("end_line").alias("hi")).agg(F.min("id").alias("sid"))
+    return g.select("*", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.greatest(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN)))).alias("bin"))
+
+
+def _smallest(rows: DataFrame, spans: DataFrame, fits: Column, of: list[str]) -> DataFrame:
+    """For each row (blob_id, bin, and what ``of`` names) the span that fits with the fewest lines, then the first: sid, null where none fits.
+
+    The best is found as one number, so that it is aggregated before the shuffle and without sorting.
+    """
+    best = rows.join(spans, ["blob_id", "bin"]).filter(fits).groupBy("blob_id", *of).agg(F.min(F.shiftleft((F.col("hi") - F.col("lo")).cast("long"), 32) + F.col("lo")).alias("best"))
+    lo = F.col("best").bitwiseAND(F.lit((1 << 32) - 1))
+    found = best.select("blob_id", *of, lo.cast("int").alias("lo"), (lo + F.shiftright("best", 32)).cast("int").alias("hi"))
+    return found.join(spans.select("blob_id", "lo", "hi", "sid").distinct(), ["blob_id", "lo", "hi"]).select("blob_id", *of, "sid")
+
+
 def innermost(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The smallest symbol that holds each reference; null where none does."""
-    s = symbols.select(F.col("blob_id").alias("sb"), F.col("id").alias("sid"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
-    inside = (F.col("blob_id") == F.col("sb")) & (F.col("line") >= F.col("lo")) & (F.col("line") < F.col("hi"))
-    return refs.join(s, inside, "left").groupBy("id", "blob_id", "line").agg(F.min_by("sid", F.struct(F.col("hi") - F.col("lo"), "lo", "sid")).alias("symbol_id"))
+    """The smallest symbol that holds each reference; null where none does.
+
+    A file's lines are cut into bins, so a reference meets only the symbols near it, however long the
+    file; all references of one line are one.
+    """
+    lines = refs.select("blob_id", "line").distinct().withColumn("bin", F.floor(F.col("line") / BIN))
+    found = _smallest(lines, _spans(symbols), (F.col("line") >= F.col("lo")) & (F.col("line") < F.col("hi")), ["line"])
+    return refs.select("id", "blob_id", "line").distinct().join(found, ["blob_id", "line"], "left").select("id", "blob_id", "line", F.col("sid").alias("symbol_id"))
 
 
 def parents(symbols: DataFrame) -> DataFrame:
     """The smallest longer symbol of the same file around each symbol."""
-    p = symbols.select(F.col("blob_id").alias("pb"), F.col("id").alias("pid"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
-    around = (F.col("blob_id") == F.col("pb")) & (F.col("lo") <= F.col("line")) & (F.col("hi") >= F.col("end_line")) & (F.col("hi") - F.col("lo") > F.col("end_line") - F.col("line"))
-    return symbols.join(p, around, "left").groupBy("id", "blob_id", "line", "end_line").agg(F.min_by("pid", F.struct(F.col("hi") - F.col("lo"), "lo", "pid")).alias("parent_id"))
+    spans = _spans(symbols)
+    own = spans.select("blob_id", F.col("lo").alias("line"), F.col("hi").alias("end_line")).distinct().withColumn("bin", F.floor(F.col("line") / BIN))
+    around = (F.col("lo") <= F.col("line")) & (F.col("hi") >= F.col("end_line")) & (F.col("hi") - F.col("lo") > F.col("end_line") - F.col("line"))
+    found = _smallest(own, spans, around, ["line", "end_line"])
+    return symbols.select("id", "blob_id", "line", "end_line").distinct().join(found, ["blob_id", "line", "end_line"], "left").withColumnRenamed("sid", "parent_id").select("id", "blob_id", "line", "end_line", "parent_id")
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:

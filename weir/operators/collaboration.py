@@ -44,13 +44,14 @@ def velocity(murmurs: DataFrame, since: int, until: int, width: int, step: int)
     spark = murmurs.sparkSession
     spine = spark.range(since, until, step).select(F.col("id").alias("start"))
     n = -(-width // step)
-    rows = murmurs.filter(F.col("sec").between(since, until - 1) | (F.col("sec") >= since))
-    last = F.floor((F.col("sec") - since) / step)
+    final = since + (until - 1 - since) // step * step  # where the last window starts
+    rows = murmurs.filter((F.col("sec") >= since) & (F.col("sec") < final + width))
+    last = F.least(F.floor((F.col("sec") - since) / step), F.lit((final - since) // step))
     hits = rows.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), last - n + 1), last))).withColumn("start", since + F.col("k") * step).filter(F.col("sec") < F.col("start") + width)
     files = hits.groupBy("start", "file").agg(F.count("*").alias("n"), F.count_distinct("author").alias("a"))
     g = files.groupBy("start").agg(F.sum("n").alias("murmurs"), F.sum((F.col("a") > 1).cast("long")).alias("conflicts"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return spine.join(F.broadcast(g), "start", "left").select("start", z("murmurs"), z("conflicts"), F.round(F.when(F.coalesce("murmurs", F.lit(0)) > 0, F.col("conflicts") / F.col("murmurs")).otherwise(0.0), 6).alias("density"))
+    return spine.join(g, "start", "left").select("start", z("murmurs"), z("conflicts"), F.round(F.when(F.coalesce("murmurs", F.lit(0)) > 0, F.col("conflicts") / F.col("murmurs")).otherwise(0.0), 6).alias("density"))
 
 
 def escalating(points: DataFrame, n: int = 3) -> DataFrame:

@@ -75,12 +75,3 @@ def redact(t: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     for word, pattern, slug in rules:
         c = F.when(F.contains(F.lower(c), F.lit(word)), F.regexp_replace(c, pattern, slug)).otherwise(c)
     return t.withColumn("redacted", c)
-
-
-def recall_intent(t: DataFrame) -> DataFrame:
-    """Questions about earlier work: long enough, no leading verb of action, and a phrase of recall."""
-    #: Fixed values.
-    verbs = ("add", "build", "create", "delete", "fix", "implement", "make", "remove", "rename", "update", "write")
-    phrases = r"(?i)\b(why did|when did|who|what was|remember|last time|previous|history|decided|the [a-z]+ of)\b"
-    text = F.trim("content")
-    return t.filter((F.length(text) >= 20) & ~F.lower(F.regexp_extract(text, r"^\S+", 0)).isin(*verbs) & text.rlike(phrases)).select("session", "seq")

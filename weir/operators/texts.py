@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,12 +32,13 @@ def ranked(docs: DataFrame, terms: list[str], k: int = 20, k1: float = 1.2, b: f
 
 
 def located(docs: DataFrame, terms: list[str], most: int = 120) -> DataFrame:
-    """The line (from 1) with the earliest of the terms, any case, and its text, at most ``most`` characters."""
-    low = F.lower("content")
-    at = F.least(*(F.when(F.instr(low, t.lower()) > 0, F.instr(low, t.lower())) for t in [*terms, *terms]))
-    rows = docs.withColumn("at", at).filter("at is not null")
-    before = F.substring(F.col("content"), F.lit(1), F.col("at") - 1)
-    rows = rows.withColumn("line", 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
+    """The line (from 1) with the earliest of the terms, any case, and its text, at most ``most`` characters.
+
+    The place is looked for in the text itself, since lower-casing may change its length.
+    """
+    before = F.regexp_extract("content", "(?isu)^(.*?)(?:" + "|".join(re.escape(t) for t in terms) + ")", 1)
+    any_ = F.col("content").rlike("(?iu)(?:" + "|".join(re.escape(t) for t in terms) + ")")
+    rows = docs.filter(any_).withColumn("line", 1 + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))))
     return rows.select("id", "line", F.substring(F.trim(F.element_at(F.split("content", "\n"), F.col("line"))), 1, most).alias("snippet"))
 
 
@@ -79,31 +79,17 @@ def doc_score(text: Column, terms: list[str], weight: float = 0.85) -> Column:
     return F.when(hits > 0, weight * (0.5 + hits / F.size(w)))
 
 
-def excerpt(text: str | None, term: str, size: int = 160) -> str | None:
-    """About ``size`` bytes around the first ``term``, any case, in whole words; "..." where text was left out."""
-    at = (text or "").lower().encode().find(term.lower().encode())
-    if not term or at < 0:
-        return None
-    raw = text.encode()
-    start = max(0, at - size // 2)
-    end = min(len(raw), start + size)
-    words = whole = raw[start:end]
-    if start:
-        words = re.sub(rb"^\S*\s*", b"", words)
-    if end < len(raw):
-        words = re.sub(rb"\s*\S*$", b"", words)
-    out = " ".join((words or whole).decode("utf-8", "ignore").split())
-    return out and ("..." if start else "") + out + ("..." if end < len(raw) else "")
-
-
 def excerpts(docs: DataFrame, term: str, size: int = 160) -> DataFrame:
-    """id and snippet of the texts that have the term."""
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: excerpt(t, term, size))
-
-    return docs.filter(F.contains(F.lower("content"), F.lit(term.lower()))).select("id", run("content").alias("snippet"))
+    """id and snippet of the texts that have the term, any case: about ``size`` characters around the first, in whole words; "..." where text was left out."""
+    c, space, n = F.col("content"), r"[ \t\r\n]", F.length("content")
+    at = 1 + F.length(F.regexp_extract(c, f"(?isu)^(.*?){re.escape(term)}", 1))
+    lo = F.greatest(F.lit(1), at - size // 2)
+    rows = docs.filter(F.contains(F.lower(c), F.lit(term.lower()))).select("id", "content", lo.alias("lo"), F.least(n, lo + size - 1).alias("hi"), n.alias("n"))
+    part = F.substr(c, F.col("lo"), F.col("hi") - F.col("lo") + 1)
+    part = F.when(F.col("lo") > 1, F.regexp_replace(part, f"^[^ \\t\\r\\n]*{space}+", "")).otherwise(part)
+    part = F.when(F.col("hi") < F.col("n"), F.regexp_replace(part, f"{space}+[^ \\t\\r\\n]*\\z", "")).otherwise(part)
+    dots = lambda cut: F.when(cut, "...").otherwise("")
+    return rows.select("id", F.concat(dots(F.col("lo") > 1), F.trim(F.regexp_replace(part, f"{space}+", " ")), dots(F.col("hi") < F.col("n"))).alias("snippet"))
 
 
 def collapse(t: DataFrame, skip: str = "system") -> DataFrame:

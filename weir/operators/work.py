@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weir.tables import materialise
+
 
 def ready(items: DataFrame, deps: DataFrame) -> DataFrame:
     """Open items without an unfinished item that blocks them, most urgent first."""
@@ -19,8 +21,9 @@ def blockers(items: DataFrame, deps: DataFrame) -> DataFrame:
     return items.filter("status <> 'closed'").join(d, "id").select("id", "status", "blocked_by")
 
 
-def progress(items: DataFrame) -> DataFrame:
-    g = items.groupBy("owner").agg(F.count("*").alias("n"), F.sum((F.col("status") == "closed").cast("long")).alias("closed"))
+def progress(items: DataFrame, by: str = "owner") -> DataFrame:
+    """Items by owner, status or type, and the share of them that is closed."""
+    g = items.groupBy(by).agg(F.count("*").alias("n"), F.sum((F.col("status") == "closed").cast("long")).alias("closed"))
     return g.withColumn("rate", F.round(F.col("closed") / F.col("n"), 6))
 
 
@@ -36,17 +39,18 @@ def next_claimable(items: DataFrame) -> DataFrame:
     return items.filter("status = 'open'").withColumn("rank", rank).filter("rank = 1").select("owner", "id", "priority")
 
 
-def reach(edges: DataFrame, start: list[int], depth: int, backwards: bool = False) -> DataFrame:
-    """Nodes reached in 1 to ``depth`` hops, each with every depth at which it is reached.
+def reach(edges: DataFrame, start: DataFrame | list[int], depth: int, backwards: bool = False) -> DataFrame:
+    """Nodes reached in 1 to ``depth`` hops from ``start`` (node), each with every depth at which it is reached.
 
-    A hop is one join; a depth holds each node once, so the state never exceeds depth times nodes.
+    A hop is one join, from a front that is written; a depth holds each node once, so the state never
+    exceeds depth times nodes.
     """
     a, b = ("dst", "src") if backwards else ("src", "dst")
     e = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    front = edges.sparkSession.createDataFrame([(s,) for s in start], "node long")
-    out = None
+    front = start if isinstance(start, DataFrame) else edges.sparkSession.createDataFrame([(s,) for s in start], "node long")
+    out = front.limit(0).withColumn("depth", F.lit(0))
     for k in range(1, depth + 1):
         front = e.join(front, "node").select(F.col("next").alias("node")).distinct()
-        level = front.withColumn("depth", F.lit(k))
-        out = level if out is None else out.unionByName(level)
+        front = materialise(front) if k < depth else front
+        out = out.unionByName(front.withColumn("depth", F.lit(k)))
     return out

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from weir.operators import activity as A
 from weir.operators import collaboration as C
+from weir.operators import search as Q
 from weir.operators import sessions as S
 from weir.operators import work as K
-from weir.plans import search as Q
 from weir.registry import ORACLES, QUERIES, register
 
 #: Anchors inside the data's range, in place of the present.
@@ -25,22 +25,27 @@ def _recent(days: int) -> str:
 
 @register("SELECT substr(hash, 1, 10) AS hash, author, substr(message, 1, 80) AS message, timestamp, id FROM {commits} WHERE lower(message) LIKE '%urgent%' AND lower(author) LIKE '%00001%' AND timestamp > epoch(TIMESTAMP '1995-01-01') ORDER BY timestamp DESC, id LIMIT 50")
 def ql_commit(commits):
-    return Q.search_commits(Q.parse("type:commit urgent author:00001 after:1995-01-01 count:50"), commits)
+    return Q.search_commits(commits, ["urgent"], author="00001", after="1995-01-01", limit=50)
 
 
 @register("SELECT substr(hash, 1, 10) AS hash, author, substr(message, 1, 80) AS message, timestamp, id FROM {commits} WHERE regexp_matches(message, '^[12]-.* O$') AND NOT lower(author) LIKE '%7%' AND timestamp < epoch(TIMESTAMP '1997-06-01') ORDER BY timestamp DESC, id LIMIT 20")
 def ql_commit_regex(commits):
-    return Q.search_commits(Q.parse("type:commit /^[12]-.* O$/ -author:7 before:1997-06-01"), commits)
+    return Q.search_commits(commits, regex="^[12]-.* O$", not_author="7", before="1997-06-01")
 
 
 @register("SELECT substr(hash, 1, 10) AS hash, author, substr(message, 1, 80) AS message, timestamp, id FROM {commits} WHERE (lower(message) LIKE '%urgent%' OR lower(message) LIKE '%not specified%') AND regexp_matches(lower(author), '^customer.*9$') ORDER BY timestamp DESC, id LIMIT 30")
 def ql_commit_or_wildcard(commits):
-    return Q.search_commits(Q.parse('type:commit urgent OR "not specified" author:customer*9 count:30'), commits)
+    return Q.search_commits(commits, ["urgent", "not specified"], author="customer*9", limit=30)
 
 
-@register("SELECT number, title, author, state, created_at FROM {pull_requests} WHERE lower(title) LIKE '%high%' AND state = 'merged' ORDER BY created_at DESC, number LIMIT 20")
-def ql_pull_requests(pull_requests):
-    return Q.search_pull_requests(Q.parse("type:pr high state:merged"), pull_requests)
+@register("SELECT number, title, author, state, updated_at FROM {pull_requests} WHERE (contains(lower(title), 'high') OR id IN (SELECT pr_id FROM {pr_comments} WHERE contains(lower(body), 'supplier 7'))) AND state = 'merged' AND updated_at > epoch(TIMESTAMP '1996-01-01') ORDER BY updated_at DESC, number LIMIT 90")
+def ql_pull_requests(pull_requests, pr_comments):
+    return Q.search_pull_requests(pull_requests, pr_comments, ["high", "supplier 7"], state="merged", after="1996-01-01", limit=90)
+
+
+@register("SELECT substr(hash, 1, 10) AS hash, author, substr(message, 1, 80) AS message, timestamp, id FROM {commits} WHERE contains(message, 'MEDIUM') AND repo_id IN (SELECT id FROM {repos} WHERE contains(name, 'a') AND NOT regexp_matches(name, '^mid.*$')) ORDER BY timestamp DESC, id LIMIT 70")
+def p7_p2_commits_of_repos(commits, repos):
+    return Q.search_commits(commits, ["MEDIUM"], case=True, repos=repos, repo="a", not_repo="mid*", limit=70)
 
 
 @register(f"SELECT path, count(*) AS changes FROM ({_recent(90)}) GROUP BY path ORDER BY changes DESC, path LIMIT 20")
@@ -92,11 +97,6 @@ def j8_direct_commits(commits, pr_commits):
     return A.direct_commits(commits, pr_commits)
 
 
-@register("SELECT CAST(CAST(to_timestamp(t) AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS day, type, count(*) AS n FROM (SELECT 'pr' AS type, coalesce(merged_at, updated_at) AS t FROM {pull_requests} UNION ALL SELECT 'commit', timestamp FROM {commits}) GROUP BY 1, 2")
-def a11_by_day(pull_requests, commits):
-    return A.by_day(pull_requests, commits)
-
-
 @register(f"SELECT number, state, coalesce(merged_at, updated_at, created_at) AS at FROM {{pull_requests}} WHERE updated_at BETWEEN {AS_OF - 604800} AND {AS_OF} OR merged_at BETWEEN {AS_OF - 604800} AND {AS_OF} OR created_at BETWEEN {AS_OF - 604800} AND {AS_OF}")
 def p20_in_window(pull_requests):
     return A.in_window(pull_requests, AS_OF - 604800, AS_OF)
@@ -218,11 +218,6 @@ def w4_chapters(transcript):
     return S.chapters(transcript)
 
 
-@register("SELECT session, seq, first_seq FROM (SELECT *, min(seq) OVER (PARTITION BY session, content) AS first_seq FROM {transcript}) WHERE seq > first_seq")
-def w9_repeats(transcript):
-    return S.repeats(transcript)
-
-
 @register("SELECT *, n < 2 OR answers = 0 OR user_chars < 80 AS low_value FROM (SELECT session, count(*) AS n, count(*) FILTER (WHERE type = 'assistant') AS answers, CAST(coalesce(sum(length(content)) FILTER (WHERE type = 'user'), 0) AS BIGINT) AS user_chars FROM {transcript} GROUP BY 1)")
 def p25_low_value(transcript):
     return S.low_value(transcript)
@@ -264,6 +259,6 @@ def u4_tagged_union(commits, pull_requests):
     return a.unionByName(pull_requests.select(F.lit("pr").alias("type"), F.col("number").alias("id"), "author", "state"), allowMissingColumns=True)
 
 
-from weir import queries_code, queries_history, queries_reports, queries_text  # noqa: E402, F401  (they register their own)
+from weir import queries_code, queries_harvest, queries_history, queries_planning, queries_queue, queries_reports, queries_text  # noqa: E402, F401  (they register their own)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weir.operators import code as D
 from weir.operators import collaboration as C
-from weir.plans import search as Q
+from weir.operators import search as Q
 from weir.registry import register
 
 SINCE, UNTIL = 1704067200 + 3 * 86400, 1704067200 + 12 * 86400
@@ -20,12 +20,36 @@ _TIPS = "SELECT DISTINCT path, blob_id FROM {{file_revs}} WHERE commit_id IN (SE
 
 @register("SELECT DISTINCT path, line, s.name, kind, language FROM {symbols} s JOIN {blobs} b ON b.id = s.blob_id JOIN (" + _TIPS.format("'refs/heads/dev'").replace("{{", "{").replace("}}", "}") + ") t ON t.blob_id = s.blob_id WHERE regexp_matches(lower(s.name), '^f1.*$') AND contains(lower(return_type), 'error') AND kind IN ('function', 'method') AND language = 'go' ORDER BY path, line, s.name, kind LIMIT 200")
 def ql_symbol(symbols, blobs, file_revs, refs):
-    return Q.search_symbols(Q.parse("type:symbol f1* returns:error lang:go rev:dev count:200"), symbols, blobs, file_revs, refs)
+    return Q.search_symbols(symbols, blobs, file_revs, refs, ["f1*"], returns="error", lang="go", rev="dev", limit=200)
 
 
 @register("SELECT DISTINCT path, line, s.name, kind, language FROM {symbols} s JOIN {blobs} b ON b.id = s.blob_id JOIN (" + _TIPS.format("'refs/heads/main', 'refs/heads/master'").replace("{{", "{").replace("}}", "}") + ") t ON t.blob_id = s.blob_id WHERE contains(lower(s.name), 'f2') AND NOT contains(lower(path), 'src/3') ORDER BY path, line, s.name, kind LIMIT 100")
 def ql_symbol_file(symbols, blobs, file_revs, refs):
-    return Q.search_symbols(Q.parse("type:symbol f2 -file:src/3 count:100"), symbols, blobs, file_revs, refs)
+    return Q.search_symbols(symbols, blobs, file_revs, refs, ["f2"], not_file="src/3", limit=100)
+
+
+_CALLS = "SELECT src_symbol_id AS src, dst_symbol_id AS dst, dst_name FROM {symbol_edges} WHERE kind = 'call' AND confidence IN ('extracted', 'inferred')"
+_AT = "JOIN {symbols} s ON s.id = node JOIN (" + _TIPS.format("'refs/heads/main', 'refs/heads/master'").replace("{{", "{").replace("}}", "}") + ") t ON t.blob_id = s.blob_id"
+
+
+@register(f"RECURSIVE WITH e AS ({_CALLS}), r(node, depth) AS (SELECT DISTINCT src, 1 FROM e JOIN {{symbols}} f ON f.id = src AND f.kind = 'function' WHERE contains(dst_name, 'f17') UNION SELECT e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 3) SELECT DISTINCT path, name, kind, depth FROM r {_AT} ORDER BY depth, path, name, kind LIMIT 5000")
+def j17_edge_callers(symbol_edges, symbols, file_revs, refs):
+    return Q.callers(symbol_edges, symbols, file_revs, refs, "f17", confidence="inferred", depth=3, limit=5000)
+
+
+@register(f"RECURSIVE WITH e AS ({_CALLS}), r(node, depth) AS (SELECT DISTINCT dst, 1 FROM e JOIN {{symbols}} f ON f.id = src AND f.kind = 'function' WHERE contains(f.name, 'f17') UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT DISTINCT path, name, kind, depth FROM r {_AT} ORDER BY depth, path, name, kind LIMIT 5000")
+def j17_edge_callees(symbol_edges, symbols, file_revs, refs):
+    return Q.callees(symbol_edges, symbols, file_revs, refs, "f17", confidence="inferred", depth=3, limit=5000)
+
+
+@register(f"SELECT DISTINCT path, name, s.kind, 1 AS depth FROM (SELECT DISTINCT src_symbol_id AS node FROM {{symbol_edges}} e JOIN {{symbols}} f ON f.id = src_symbol_id AND f.kind = 'function' WHERE e.kind = 'call' AND confidence = 'extracted' AND contains(dst_name, 'f7')) {_AT} ORDER BY depth, path, name, s.kind LIMIT 500")
+def j19_one_hop_callers(symbol_edges, symbols, file_revs, refs):
+    return Q.callers(symbol_edges, symbols, file_revs, refs, "f7", confidence="extracted", limit=500)
+
+
+@register(f"SELECT DISTINCT path, s.name, s.kind, 1 AS depth FROM (SELECT DISTINCT dst_symbol_id AS node FROM {{symbol_edges}} e JOIN {{symbols}} f ON f.id = src_symbol_id AND f.kind = 'function' WHERE e.kind = 'call' AND contains(f.name, 'f42')) {_AT} ORDER BY depth, path, s.name, s.kind LIMIT 500")
+def j19_one_hop_callees(symbol_edges, symbols, file_revs, refs):
+    return Q.callees(symbol_edges, symbols, file_revs, refs, "f42", limit=500)
 
 
 @register("SELECT r.id, r.blob_id, r.line, arg_min(s.id, (s.end_line - s.line, s.line, s.id)) AS symbol_id FROM {symbol_refs} r LEFT JOIN {symbols} s ON s.blob_id = r.blob_id AND r.line >= s.line AND r.line < s.end_line GROUP BY 1, 2, 3")
@@ -122,9 +146,9 @@ def st3_settled(murmurs):
     return D.settle(murmurs.select(F.col("file").alias("path"), "sec", "id", _map(CHANGES).alias("change")), QUIET)
 
 
-@register(f"SELECT id % 500 AS item, arg_max({_case(STATES)}, (sec, id)) AS status, arg_max(author, (sec, id)) AS author, min(sec) AS created, max(sec) AS updated, count(*) AS n FROM {{murmurs}} GROUP BY 1")
+@register(f"SELECT file AS item, arg_max({_case(STATES)}, (sec, id)) AS status, arg_max(author, (sec, id)) AS author, min(sec) AS created, max(sec) AS updated, count(*) AS n FROM {{murmurs}} GROUP BY 1")
 def r25_replay(murmurs):
-    return D.replay(murmurs.select((F.col("id") % 500).alias("item"), "sec", "id", "author", _map(STATES).alias("status")))
+    return D.replay(murmurs.select(F.col("file").alias("item"), "sec", "id", "author", _map(STATES).alias("status")))
 
 
 @register(f"SELECT strftime(w, '%Y-%m-%d') AS week, n FROM (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM {{murmurs}} GROUP BY 1) WHERE epoch(CAST(w AS TIMESTAMP)) < {UNTIL} AND epoch(CAST(w AS TIMESTAMP)) + 604800 > {SINCE}")

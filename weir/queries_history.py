@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weir.bindings import TABLES
 from weir.operators import history as H
+from weir.operators import search as Q
 from weir.operators import texts as X
-from weir.plans import search as Q
 from weir.queries_text import _JAC
-from weir.registry import QUERIES, register
+from weir.registry import register
 
 SINCE = 1704067200 + 2 * 86400
 MONTH, WEEK = SINCE + 62 * 86400, SINCE + 12 * 86400
@@ -75,12 +74,11 @@ def r9_facts(ledger):
     return H.facts(ledger.filter("content is not null"), {"question": kept("?"), "decision": kept(".")})
 
 
-def f4_excerpts(spark, sf_dir):
-    """Snippets of whole texts; bytes and words at their borders are no matter for SQL, so a test has the brute-force version."""
-    return X.excerpts(TABLES["ledger"](spark, sf_dir), "that")
-
-
-QUERIES["f4_excerpts"] = f4_excerpts
+@register(r"""WITH a AS (SELECT id, content, instr(lower(content), 'that') AS place, length(content) AS n FROM {ledger} WHERE contains(lower(content), 'that')), w AS (SELECT *, greatest(1, place - 80) AS lo, least(n, greatest(1, place - 80) + 159) AS hi FROM a), p AS (SELECT *, substr(content, CAST(lo AS BIGINT), CAST(hi - lo + 1 AS BIGINT)) AS part FROM w),
+    q AS (SELECT *, CASE WHEN lo > 1 THEN regexp_replace(part, '^[^ \t\r\n]*[ \t\r\n]+', '') ELSE part END AS x FROM p), r AS (SELECT *, CASE WHEN hi < n THEN regexp_replace(x, '[ \t\r\n]+[^ \t\r\n]*\z', '') ELSE x END AS y FROM q)
+    SELECT id, CASE WHEN lo > 1 THEN '...' ELSE '' END || trim(regexp_replace(y, '[ \t\r\n]+', ' ', 'g')) || CASE WHEN hi < n THEN '...' ELSE '' END AS snippet FROM r""")
+def f4_excerpts(ledger):
+    return X.excerpts(ledger, "that")
 
 
 @register("SELECT date, kind, count(*) AS n, min(id) AS first FROM {history} WHERE date >= '2024-01-10' GROUP BY 1, 2")
@@ -90,15 +88,15 @@ def r10_pending_by_day(history):
 
 @register("SELECT number, title, author, state, updated_at FROM {issues} WHERE (contains(lower(title), 'urgent') OR contains(lower(body), 'urgent') OR number IN (SELECT issue_id FROM {issue_comments} WHERE contains(lower(body), 'urgent')) OR contains(lower(title), 'flag r') OR contains(lower(body), 'flag r') OR number IN (SELECT issue_id FROM {issue_comments} WHERE contains(lower(body), 'flag r'))) AND state = 'open' AND updated_at > epoch(TIMESTAMP '1995-01-01') ORDER BY updated_at DESC, number LIMIT 80")
 def ql_issues(issues, issue_comments):
-    return Q.search_issues(Q.parse('type:issue urgent OR "flag R" state:open after:1995-01-01 count:80'), issues, issue_comments)
+    return Q.search_issues(issues, issue_comments, ["urgent", "flag R"], state="open", after="1995-01-01", limit=80)
 
 
 @register("SELECT path, text AS snippet, kind, line, language FROM {comments} c JOIN {blobs} b ON b.id = c.blob_id JOIN (" + _TIPS + ") t ON t.blob_id = c.blob_id WHERE contains(lower(text), 'economy') AND kind = 'block' AND language = 'go' ORDER BY path, line, kind, snippet LIMIT 100")
 def ql_comments(comments, blobs, file_revs, refs):
-    return Q.search_comments(Q.parse("type:comment economy ckind:block lang:go count:100"), comments, blobs, file_revs, refs)
+    return Q.search_comments(comments, blobs, file_revs, refs, ["economy"], kind="block", lang="go", limit=100)
 
 
 @register("WITH f AS (SELECT source || '/' || lpad(CAST(id AS VARCHAR), 12, '0') AS path, lang AS language, string_split(content, chr(10)) AS l, content FROM {ledger}), m AS (SELECT *, list_position(list_transform(l, lambda x: contains(lower(x), 'that')), true) AS line FROM f WHERE contains(lower(content), 'that') AND NOT contains(lower(path), 'src1') AND language = 'en') SELECT path, language, CAST(line AS INTEGER) AS line, left(trim(l[line]), 120) AS snippet FROM m ORDER BY path LIMIT 200")
 def ql_code(ledger):
     files = ledger.select(F.concat_ws("/", "source", F.lpad(F.col("id").cast("string"), 12, "0")).alias("path"), F.col("lang").alias("language"), "content")
-    return Q.search_code(Q.parse("that lang:en -file:src1 count:200"), files)
+    return Q.search_code(files, ["that"], lang="en", not_file="src1", limit=200)

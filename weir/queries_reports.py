@@ -8,8 +8,8 @@ from weir.functions import text as T
 from weir.operators import activity as A
 from weir.operators import code as D
 from weir.operators import reports as R
+from weir.operators import search as Q
 from weir.operators import texts as X
-from weir.plans import search as Q
 from weir.plans.detectors import annotations, detector
 from weir.queries_text import _JAC, _LOW, _PAIRS
 from weir.registry import register
@@ -86,8 +86,8 @@ def a26_changes_by_path(murmurs):
 
 @detector
 def shared_file(murmurs):
-    """Files with at least 30 authors."""
-    g = murmurs.groupBy("file").agg(F.count_distinct("author").alias("n")).filter("n >= 30")
+    """Files with at least four authors."""
+    g = murmurs.groupBy("file").agg(F.count_distinct("author").alias("n")).filter("n >= 4")
     return g.select(F.lit("files").alias("section"), F.lit("collision").alias("kind"), F.concat("file", F.lit(" has "), F.col("n").cast("string"), F.lit(" authors")).alias("why"))
 
 
@@ -97,7 +97,7 @@ def expert(commits, diffs):
     return A.dominant_author(commits, diffs).select(F.lit("people").alias("section"), F.lit("expert").alias("kind"), F.concat("author", F.lit(" knows "), "path").alias("why"))
 
 
-@register("WITH o AS (SELECT path, author, count(*) AS n, max(timestamp) AS last FROM {diffs} d JOIN {commits} c ON d.commit_id = c.id GROUP BY 1, 2 HAVING count(*) >= 2) SELECT 'people' AS section, 'expert' AS kind, author || ' knows ' || path AS why FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, last DESC, author) = 1) UNION SELECT 'files', 'collision', file || ' has ' || count(DISTINCT author) || ' authors' FROM {murmurs} GROUP BY file HAVING count(DISTINCT author) >= 30")
+@register("WITH o AS (SELECT path, author, count(*) AS n, max(timestamp) AS last FROM {diffs} d JOIN {commits} c ON d.commit_id = c.id GROUP BY 1, 2 HAVING count(*) >= 2) SELECT 'people' AS section, 'expert' AS kind, author || ' knows ' || path AS why FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, last DESC, author) = 1) UNION SELECT 'files', 'collision', file || ' has ' || count(DISTINCT author) || ' authors' FROM {murmurs} GROUP BY file HAVING count(DISTINCT author) >= 4")
 def x2_r2_annotations(murmurs, commits, diffs):
     return annotations(["shared_file", "expert"], murmurs=murmurs, commits=commits, diffs=diffs)
 
@@ -120,9 +120,9 @@ def r6_high_water_mark(murmurs):
     return murmurs.groupBy("author").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("mark"))
 
 
-@register("SELECT id, round(CAST(CASE WHEN file IN ('pkg3/d/f3', 'pkg4/d/f11') THEN 1.0 ELSE 0.6 END AS DOUBLE) * 0.5, 6) AS score FROM {murmurs} WHERE file IN ('pkg3/d/f3', 'pkg4/d/f11') OR topic = 'error'")
+@register("SELECT id, round(CAST(CASE WHEN file IN ('pkg3/d3/f1', 'pkg4/d11/f2') THEN 1.0 ELSE 0.6 END AS DOUBLE) * 0.5, 6) AS score FROM {murmurs} WHERE file IN ('pkg3/d3/f1', 'pkg4/d11/f2') OR topic = 'error'")
 def f13_relevance(murmurs):
-    return R.relevance(murmurs, ["pkg3/d/f3", "pkg4/d/f11"], ["error"], 0.5)
+    return R.relevance(murmurs, ["pkg3/d3/f1", "pkg4/d11/f2"], ["error"], 0.5)
 
 
 @register(f"WITH p AS ({_PAIRS}) SELECT session, seq, array_to_string(list_concat(list_concat(['--- a/' || session, '+++ b/' || session], list_transform(string_split(ref, chr(10))[1:100], lambda x: '-' || x)), list_transform(string_split(cand, chr(10))[1:100], lambda x: '+' || x)), chr(10)) AS diff FROM p")
@@ -132,4 +132,4 @@ def f8_diff_text(transcript):
 
 @register("SELECT path, substr(hash, 1, 10) AS hash, author, timestamp, commit_id FROM {diffs} d JOIN {commits} c ON c.id = d.commit_id WHERE contains(lower(path), 'economy') AND NOT contains(lower(path), 'brand_1/') AND contains(lower(author), '00001') AND timestamp > epoch(TIMESTAMP '1995-01-01') ORDER BY timestamp DESC, commit_id, path LIMIT 60")
 def ql_diff(diffs, commits):
-    return Q.search_diffs(Q.parse("type:diff economy -file:brand_1/ author:00001 after:1995-01-01 count:60"), diffs, commits)
+    return Q.search_diffs(diffs, commits, ["economy"], not_file="brand_1/", author="00001", after="1995-01-01", limit=60)

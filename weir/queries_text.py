@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weir.functions import text as T
-from weir.operators import sessions as S
 from weir.operators import texts as X
 from weir.registry import register
 
@@ -51,11 +50,6 @@ def a36_speakers(transcript):
     return X.speakers(transcript)
 
 
-@register(r"SELECT session, seq FROM {transcript} WHERE length(trim(content)) >= 20 AND lower(regexp_extract(trim(content), '^\S+', 0)) NOT IN ('add', 'build', 'create', 'delete', 'fix', 'implement', 'make', 'remove', 'rename', 'update', 'write') AND regexp_matches(trim(content), '(?i)\b(why did|when did|who|what was|remember|last time|previous|history|decided|the [a-z]+ of)\b')")
-def p24_recall_intent(transcript):
-    return S.recall_intent(transcript)
-
-
 @register(r"""SELECT session, seq, left(trim(regexp_replace(content, '[ \t\r\n]+', ' ', 'g')), 120) AS compact, CASE WHEN instr(content, chr(10)) > 0 THEN string_split(content, chr(10))[1] ELSE left(content, 72) END AS first_line,
     regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, CASE WHEN regexp_extract(content, '(?s)^(.*?[.!?])[ \t\r\n]', 1) = '' THEN content ELSE regexp_extract(content, '(?s)^(.*?[.!?])[ \t\r\n]', 1) END AS sentence,
     array_to_string(regexp_split_to_array(trim(content), '[ \t\r\n]+')[1:12], ' ') AS words, CAST(CASE WHEN strlen(content) > 0 THEN greatest(1, strlen(content) // 4) ELSE 0 END AS BIGINT) AS tokens, left(sha256(content), 24) AS hash FROM {transcript}""")

@@ -7,13 +7,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """One JSON object a line (value); lines that don't parse are left out, fields that are missing are null."""
+    rows = lines.select(F.from_json("value", schema + ", _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return rows.filter("r is not null and r._broken is null").select("r.*").drop("_broken")
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON value a line; lines that don't parse are left out."""
-    rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), "value")
-    known = F.lit(False)
-    for name in rows.select("r.*").columns:
-        known = known | F.col(f"r.{name}").isNotNull()
-    return rows.filter(known).select("r.*")
+    return parsed(spark.read.text(path).filter(F.trim("value") != ""), schema)
+
+
+FACT = "headline string, summary string, rationale string, who string, source_type string, source_ref string, source_url string, source_title string, timestamp string, category string"
+
+
+def write_facts(facts: DataFrame, path: str) -> None:
+    """Facts as lines of JSON in a folder, which is the form that ``read_facts`` takes; fields that are null are left out."""
+    facts.select(F.to_json(F.struct(*(c.split()[0] for c in FACT.split(", ")))).alias("value")).write.text(path)
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts of files of lines: with a header {"_meta": ...}, in the older form of observations (content), or bare; headers and broken lines are left out."""
+    rows = parsed(spark.read.text(path).filter(F.trim("value") != ""), FACT + ", content string, _meta string, schema_version string")
+    own = rows.filter("_meta is null and schema_version is null").withColumn("headline", F.coalesce("headline", "content"))
+    return own.filter("headline is not null").select(*(c.split()[0] for c in FACT.split(", ")))
+
+
+def snapshots(rows: DataFrame, content: list[str]) -> DataFrame:
+    """dir, number, hash: where the snapshot of each row is kept, by the day of its creation, its number and what it says."""
+    said = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in content)), 256)
+    return rows.select(F.date_format(F.timestamp_seconds("created_at"), "yyyy/MM/dd").alias("dir"), "number", F.substring(said, 1, 8).alias("hash"))
+
+
+def new_snapshots(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Snapshots that aren't stored yet."""
+    return rows.join(stored, ["dir", "number", "hash"], "left_anti")
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
