@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weir.llm.common import HOT_GROUPS, join_groups, materialise, mix, texts
+from weir.llm.common import HOT_GROUPS, join_groups, materialise, mix, texts, whole_row
 from weir.llm.components import components
 from weir.llm.exact_dedup import contains, maybe_repeated, repeated_filter
 
@@ -170,20 +170,26 @@ def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, difference: bool) -> DataFrame:
-    """Partial overlaps by fragment, summed for each pair (a, b); with ``difference`` also the n-grams of only one of the two."""
-    left = sets.join(pairs.withColumnRenamed("a", "cls"), "cls").select(F.col("cls").alias("a"), *(c for c in pairs.columns if c != "a"), "frag", F.col("keys").alias("ka"))
-    right = sets.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("b"), "frag", F.col("keys").alias("kb"))
+    """Partial overlaps by fragment, summed for each pair (a, b); with the sizes of both; with ``difference`` also the n-grams of only one of the two.
+
+    The pairs of a class b that has many are dealt into parts, each of which gets b's fragments.
+    """
     keep = [c for c in pairs.columns if c not in ("a", "b")]
+    least = max(64, -(-pairs.count() // HOT_GROUPS))
+    often = pairs.groupBy("b").agg(F.ceil(F.count("*") / least).alias("parts")).filter("parts > 1")  # HOT_GROUPS at most
+    pairs = pairs.join(F.broadcast(often), "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0))).drop("parts")
+    left = sets.join(pairs.withColumnRenamed("a", "cls").hint("merge"), "cls").select(F.col("cls").alias("a"), "b", *keep, "part", "frag", F.col("keys").alias("ka"))
+    right = sets.join(pairs.select(F.col("b").alias("cls"), "part").distinct().hint("merge"), "cls").select(F.col("cls").alias("b"), "part", "frag", F.col("keys").alias("kb"))
     more, less = F.array_except("ka", "kb"), F.array_except("kb", "ka")
     delta = [F.concat(more, less).alias("delta")] if difference else []
-    parts = left.join(right, ["b", "frag"]).select("a", "b", "frag", *keep, (F.size("ka") - F.size(more)).alias("o"), *delta)
+    parts = left.join(right.hint("merge"), ["b", "part", "frag"]).select("a", "b", "frag", *keep, (F.size("ka") - F.size(more)).alias("o"), (F.size("ka") + F.size("kb")).alias("s"), *delta)
     # A class read from two documents gives a fragment's overlap twice.
-    parts = parts.groupBy("a", "b", *keep, "frag").agg(F.first("o").alias("o"), *(F.first("delta").alias("delta") for _ in delta))
-    return parts.groupBy("a", "b", *keep).agg(F.sum("o").alias("overlap"), *(F.flatten(F.collect_list("delta")).alias("delta") for _ in delta))
+    parts = parts.groupBy("a", "b", *keep, "frag").agg(F.first("o").alias("o"), F.first("s").alias("s"), *(F.first("delta").alias("delta") for _ in delta))
+    return parts.groupBy("a", "b", *keep).agg(F.sum("o").alias("overlap"), F.sum("s").alias("sizes"), *(F.flatten(F.collect_list("delta")).alias("delta") for _ in delta))
 
 
-def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose links make up the groups."""
+def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes whose links make up the groups: those of a class with its hub, and all others."""
     linked = lambda na, nb, d: d * (100 + percent) <= (100 - percent) * (na + nb)
     same = W.partitionBy("g").orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     lists = _prefixes(docs, n, percent, order).select("*", F.min("cls").over(same).alias("lo"), F.max("cls").over(same).alias("hi"))
@@ -203,18 +209,19 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> D
     hub = votes.groupBy("cls", "n").agg(F.max("lead").alias("lead"))
     star = hub.select(F.col("cls").alias("a"), (-F.col("lead.minus")).alias("b"), F.col("n").alias("na"), F.col("lead.n").alias("nb"))
     star = materialise(star.filter("a <> b and 4 * abs(na - nb) <= na + nb"))
-    of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls")
+    of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", F.col("rep").alias("doc_id")).hint("merge"), "cls")
     sets = _sets(docs, n, order, of(star))
     d = F.col("na") + F.col("nb") - 2 * F.col("overlap")
     star = _overlaps(star, sets, True).withColumn("d", d).filter(4 * F.col("d") <= F.col("na") + F.col("nb"))
     star = materialise(star.select("a", "b", "na", "nb", "d", "delta").withColumn("near", linked(F.col("na"), F.col("nb"), F.col("d"))))
     # Same hub, not both linked to it: prefixes of the differences.
-    far = star.filter("not near").select("b").distinct()
-    own = star.join(far, "b")
-    df = own.select("b", F.explode("delta").alias("e")).groupBy("b", "e").agg(F.count("*").alias("df")).filter("df > 1")
-    common = own.select("a", "b", F.explode("delta").alias("e")).join(df, ["b", "e"])
+    hubs_of = star.groupBy("b").agg(F.count("*").alias("members"), F.bool_or(~F.col("near")).alias("far")).filter("far").select("b", "members")
+    own = materialise(join_groups(star, hubs_of, "b", "members", star.count()).drop("members"))
+    each = own.select("a", "b", F.explode("delta").alias("e"))
+    df = each.groupBy("b", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    common = join_groups(each, df, ["b", "e"], "df", each.count())
     common = common.groupBy("a", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "e"))), lambda x: x["e"]).alias("es"))
-    ranked = materialise(own.select("a", "b", "na", "d", "near").join(common, ["a", "b"]))
+    ranked = materialise(own.select("a", "b", "na", "d", "near").join(common.hint("merge"), ["a", "b"]))
     # In order of frequency, those that only one class of the hub has come first and meet nothing.
     half = F.col("d") - F.floor(F.col("d") * percent / (100 + percent))
     long_ = F.col("d") - F.greatest(F.lit(1), F.col("d") - F.floor(F.col("na") * (100 - percent) / percent)) + 1
@@ -224,33 +231,31 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> D
     # What can still be in common from this place on must be enough.
     most = 2 * F.least(F.col("mx") - F.col("i"), F.col("my") - F.col("j"))
     near_enough = linked(F.col("nx"), F.col("ny"), F.greatest(F.abs(F.col("dx") - F.col("dy")), F.col("dx") + F.col("dy") - most))
-    pairs = left.join(right, ["b", "e"]).filter((F.col("x") != F.col("y")) & near_enough).select("b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = left.join(right.hint("merge"), ["b", "e"]).filter((F.col("x") != F.col("y")) & near_enough).select("b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     one = ranked.select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("d").alias("dx"), F.col("es").alias("ex"))
     two = ranked.select("b", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("d").alias("dy"), F.col("es").alias("ey"))
-    checked = pairs.join(one, ["b", "x"]).join(two, ["b", "y"])
+    checked = pairs.join(one.hint("merge"), ["b", "x"]).join(two.hint("merge"), ["b", "y"])
     d = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
     linked_same = checked.filter(linked(F.col("nx"), F.col("ny"), d)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     # Different hubs: lists that have classes of more than one.
     hubs = star.select(F.col("a").alias("cls"), F.col("b").alias("hub"))
-    lists = lists.join(hubs, "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
+    lists = lists.join(hubs.hint("merge"), "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
     mixed = lists.groupBy("g").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).filter("lo <> hi").select("g")
-    lists = materialise(lists.join(mixed, "g").select("g", "hub", "cls", "n", "pos"))
+    lists = materialise(lists.join(mixed.hint("merge"), "g").select("g", "hub", "cls", "n", "pos"))
     pair = lists.select("g", "hub").distinct()
-    pair = pair.join(pair.select("g", F.col("hub").alias("hub2")), "g").filter("hub < hub2")
+    pair = pair.join(pair.select("g", F.col("hub").alias("hub2")).hint("merge"), "g").filter("hub < hub2")
     other = lists.select("g", F.col("hub").alias("hub2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    cross = pair.join(lists, ["g", "hub"]).join(other, ["g", "hub2"])
+    cross = pair.join(lists.hint("merge"), ["g", "hub"]).join(other.hint("merge"), ["g", "hub2"])
     least = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb"))
     cross = cross.filter((F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & (least * (100 + percent) >= percent * (F.col("n") + F.col("nb"))))
     cross = materialise(cross.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"), (F.col("n") + F.col("nb")).alias("both")).distinct())
     # A pair that differs too much in its first fragment alone needs no other.
     sets = _sets(docs, n, order, of(cross))
-    first = sets.filter("frag = 0")
-    size = first.groupBy("cls").agg(F.max(F.size("keys")).alias("size"))
-    cross = _overlaps(cross, first, False).join(size.select(F.col("cls").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("cls").alias("b"), F.col("size").alias("sb")), "b")
-    cross = cross.filter((F.col("sa") + F.col("sb") - 2 * F.col("overlap")) * (100 + percent) <= (100 - percent) * F.col("both"))
+    cross = _overlaps(cross, sets.filter("frag = 0"), False)
+    cross = cross.filter((F.col("sizes") - 2 * F.col("overlap")) * (100 + percent) <= (100 - percent) * F.col("both"))
     cross = materialise(cross.select("a", "b", "both", F.col("overlap").alias("first")))
     cross = _overlaps(cross, sets.filter("frag > 0"), False).filter((100 + percent) * (F.col("first") + F.col("overlap")) >= percent * F.col("both"))
-    return star.filter("near").select("a", "b").unionByName(linked_same).unionByName(cross.select("a", "b"))
+    return star.filter("near").select("a", "b"), linked_same.unionByName(cross.select("a", "b"))
 
 
 def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
@@ -265,11 +270,23 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     total = rows.count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     classes = materialise(rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), first))
-    parts = components(links(docs, n, percent, order, classes))
+    near, others = links(docs, n, percent, order, classes)
+    # Hubs stand for the classes linked to them, so that components are looked for among hubs and loose classes only.
+    hub = near.select(F.col("a").alias("cls"), F.col("b").alias("hub"))
+    hubs = materialise(near.groupBy("b").agg(F.count("*").alias("members")))
+    by_hub = lambda df, c: df.join(hub.select(F.col("cls").alias(c), F.col("hub").alias("to")).hint("merge"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    between = near.join(hubs.select(F.col("b").alias("a")).hint("merge"), "a", "left_semi").unionByName(by_hub(by_hub(others, "a"), "b"))
+    parts = components(between)
     order.unpersist()  # all that needs it is written
-    named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    whole = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("size").alias("rows"), F.min("best").alias("least"))
-    named = materialise(named.join(whole, "component").select("cls", "size", F.col("rep").alias("class_id"), "component_id", "rows", F.col("least.key").alias("best")))
+    roots = hubs.join(parts.select(F.col("node").alias("b"), F.col("component").alias("to")).hint("merge"), "b", "full").select(F.col("b").alias("root"), F.coalesce("to", "b").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
+    placed = classes.join(hub.hint("merge"), "cls", "left").withColumn("root", F.coalesce("hub", "cls")).drop("hub")
+    known = materialise(roots)
+    alone = placed.join(known.select("root").hint("merge"), "root", "left_anti").withColumn("component", F.col("cls"))
+    named = join_groups(placed, known, "root", "members", total).select("cls", "rep", "size", "best", "component").unionByName(alone.select("cls", "rep", "size", "best", "component"))
+    named = materialise(named)
+    whole = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("size").alias("rows"), F.min("best").alias("least"), F.count("*").alias("classes"))
+    found = join_groups(named, whole, "component", "classes", total)
+    named = materialise(found.select("cls", "size", F.col("rep").alias("class_id"), "component_id", "rows", F.col("least.key").alias("best")))
     return rows, named, total
 
 
@@ -297,7 +314,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     ids = decided.select(F.col("key").alias("h"))
     bits, counters = repeated_filter(ids.unionAll(ids), 2 * decided.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), row_key().alias("key"))
+    marked = docs.select(whole_row(docs), row_key().alias("key"))
     marked = marked.withColumn("maybe", maybe_repeated(F.col("key"), shared, counters))
     maybe = marked.filter("maybe").select("r", "key")
     # As in join_groups, but rows that the filter marked in error stay.

@@ -26,7 +26,7 @@ from weir.llm.common import held_out
 
 BUCKETS = 1 << 12
 #: Bound of the labelled rows that the model is fitted on.
-SAMPLE = 6000
+SAMPLE = 3000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 PIECE = 1 << 20
@@ -81,7 +81,7 @@ def train(sample: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epoch
     def dense(k: np.ndarray) -> np.ndarray:
         x = np.zeros((len(k), BUCKETS), np.float32)
         for row, i in enumerate(k):
-            x[row, sample[i][1]] = sample[i][2] / sample[i][2].sum()
+            x[row, sample[i][1]] = sample[i][2] / sample[i][2].sum(dtype=np.float32)
         return x
 
     order = rng.permutation(len(y))
@@ -134,8 +134,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return pd.Series([np.flatnonzero(c).astype(np.uint16).tobytes() + (c[c > 0] / c.sum()).astype(np.float16).tobytes() for c in map(counts, text)])
 
     rows = sorted(drawn.select("lang", sparse("text").alias("c")).collect())  # the bounded sample, in one order
-    halves = [(r.lang, r.c[: len(r.c) // 2], r.c[len(r.c) // 2 :]) for r in rows]
-    return train([(lang, np.frombuffer(at, np.uint16), np.frombuffer(n, np.float16).astype(np.float32)) for lang, at, n in halves])
+    return train([(r.lang, np.frombuffer(r.c, np.uint16, len(r.c) // 4), np.frombuffer(r.c, np.float16, offset=len(r.c) // 2)) for r in rows])
 
 
 def predict(text: Column, model: Model) -> Column:
