@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weir import bindings, queries
 from weir.sources import io
 from weir.operators import code, collaboration, planning, search, texts
-from weir.streaming import silence, windows
+from weir.streaming import silence, traces, windows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -140,3 +140,25 @@ def test_silence_rule():
     events = [(0, 1, True), (5, 2, True), (30, 3, False), (40, 4, True), (45, 5, False), (80, 6, True)]
     assert silence.settled(events, 20, 100) == ([(2, 5), (6, 80)], [])
     assert silence.settled(events[::-1], 20, 60) == ([(2, 5)], [(45, 5, False), (80, 6, True)])
+
+
+def test_trace_rule():
+    spans = [(0, 1, False), (5, 2, True), (6, 3, False), (125, 4, False), (126, 5, False), (300, 6, True), (301, 7, True)]
+    assert traces.step([], None, spans, 120) == ([(2, 2, 5), (6, 2, 300)], [], 420)
+    first = traces.step([], None, spans[:4], 120)
+    assert first == ([(2, 2, 5)], [], 125) and traces.step(first[1], first[2], spans[4:], 120) == ([(6, 2, 300)], [], 420)
+
+
+def test_traces_with_state(spark, sf, tmp_path):
+    own = bindings.murmurs(spark, sf).select(F.col("author").alias("trace"), F.col("id").alias("span"), "ts", "sec", (F.col("topic") == "purchase").alias("root"))
+    first, last = own.selectExpr("min(sec)", "max(sec)").first()
+    for k in range(3):
+        own.filter(((F.col("sec") - first) * 3 / (last - first + 1)).cast("int") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = traces.assembled(stream, 7200, 40 * 86400).writeStream.format("memory").queryName("trees").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    got = {}
+    for r in spark.table("trees").orderBy("sec").collect():
+        got.setdefault(r.trace, (r.root, r.spans))
+    want = {r.trace: (r.root, r.spans) for r in planning.assembled(own, 7200).collect()}
+    assert got == want

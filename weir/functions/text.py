@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +81,47 @@ def diff_text(name: Column, old: Column, new: Column, most: int = 100) -> Column
     """Both sides of a change as text: a header, then lines that were there and lines that are, at most ``most`` each."""
     side = lambda c, sign: F.transform(F.slice(F.split(c, "\n"), 1, most), lambda x: F.concat(F.lit(sign), x))
     return F.concat_ws("\n", F.array(F.concat(F.lit("--- a/"), name), F.concat(F.lit("+++ b/"), name)), side(old, "-"), side(new, "+"))
+
+
+def without_tags(c: Column) -> Column:
+    """Without what stands between angle brackets."""
+    return F.regexp_replace(c, "<[^>]*>?", "")
+
+
+def cut(c: Column, most: int = 400) -> Column:
+    """At most ``most`` characters, cut at the last white space if that leaves four fifths of them."""
+    head = F.substring(c, 1, most)
+    at = F.regexp_extract(head, r"(?s)^(.*)[ \t\n]", 1)
+    return F.when(F.length(c) <= most, c).when(F.length(at) >= most * 4 // 5, at).otherwise(head)
+
+
+def segments(path: Column, n: int = 2) -> Column:
+    """The first ``n`` parts of a path."""
+    return F.substring_index(path, "/", n)
+
+
+def ago(seconds: Column) -> Column:
+    """A span of time in few letters."""
+    s = F.greatest(F.lit(0), seconds)
+    told = lambda by, unit: F.concat(F.floor(s / by).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(s < 60, "just now").when(s < 3600, told(60, "m")).when(s < 86400, told(3600, "h")).otherwise(told(86400, "d"))
+
+
+def clamped(x: Column) -> Column:
+    """Between 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """0 of nothing."""
+    return F.when(whole > 0, 100 * part / whole).otherwise(F.lit(0.0))
+
+
+def composed(c: Column) -> Column:
+    """Unicode's composed form (NFC), for which Spark has no function; by Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return run(c)

@@ -30,6 +30,14 @@ def chapters(t: DataFrame) -> DataFrame:
     return rows.groupBy("session", "chapter").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("n"))
 
 
+def chapter_tools(t: DataFrame) -> DataFrame:
+    """How many entries of each type a chapter has, by name."""
+    rows = t.withColumn("chapter", F.sum((F.col("type") == "user").cast("int")).over(_so_far()))
+    g = rows.groupBy("session", "chapter", "type").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "n"))), lambda x: F.concat(x["type"], F.lit(":"), x["n"].cast("string"))), ",")
+    return g.groupBy("session", "chapter").agg(F.min("first").alias("first"), F.max("last").alias("last"), told.alias("tools"))
+
+
 def repeats(t: DataFrame) -> DataFrame:
     """Entries whose content came before in the session, with the first place of it."""
     first = F.min("seq").over(W.partitionBy("session", F.sha2("content", 256)))

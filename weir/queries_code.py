@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weir.operators import activity as A
 from weir.operators import code as D
 from weir.operators import collaboration as C
 from weir.operators import search as Q
@@ -82,6 +83,13 @@ def j22_orphans(blobs, file_revs, refs):
     return D.orphans(blobs, file_revs.join(refs.filter("name = 'refs/heads/dev'").select("commit_id"), "commit_id", "left_semi"))
 
 
+@register("SELECT commit_id, path FROM {diffs} d WHERE commit_id IN (SELECT id FROM {commits} c WHERE timestamp < 893462400 AND NOT EXISTS (SELECT 1 FROM {pr_commits} p WHERE p.sha = c.hash))")
+def j22_stale_diffs(diffs, commits, pr_commits):
+    """Changes of old commits that no pull request has."""
+    old = A.direct_commits(commits.filter("timestamp < 893462400"), pr_commits)
+    return diffs.join(old.select(F.col("id").alias("commit_id")), "commit_id", "left_semi")
+
+
 @register("SELECT pr_id AS number, path FROM {pr_comments} WHERE path IS NOT NULL UNION SELECT pr_id, path FROM {pr_commits} p JOIN {commits} c ON c.hash = p.sha JOIN {diffs} d ON d.commit_id = c.id UNION SELECT number, path FROM {pull_requests} p JOIN {diffs} d ON d.commit_id = p.id WHERE state = 'merged'")
 def j24_u1_collisions(pull_requests, pr_comments, pr_commits, commits, diffs):
     return D.collisions(pull_requests, pr_comments, pr_commits, commits, diffs)

@@ -164,3 +164,8 @@ def p24_recall_intent(transcript):
 @register("SELECT session, seq, first_seq FROM (SELECT session, seq, min(seq) OVER (PARTITION BY session, file) AS first_seq FROM (SELECT author AS session, id AS seq, file FROM {murmurs})) WHERE seq > first_seq")
 def w9_repeats(murmurs):
     return S.repeats(murmurs.select(F.col("author").alias("session"), F.col("id").alias("seq"), F.col("file").alias("content")))
+
+
+@register("WITH c AS (SELECT *, CAST(sum(CASE WHEN type = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS BIGINT) AS chapter FROM {transcript}), g AS (SELECT session, chapter, type, count(*) AS n, min(seq) AS first, max(seq) AS last FROM c GROUP BY 1, 2, 3) SELECT session, chapter, min(first) AS first, max(last) AS last, string_agg(type || ':' || n, ',' ORDER BY type) AS tools FROM g GROUP BY 1, 2")
+def a28_chapter_tools(transcript):
+    return S.chapter_tools(transcript)

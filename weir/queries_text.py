@@ -62,3 +62,15 @@ def p17_scalars(transcript):
 def r14_context_budget(ledger):
     place = F.when(F.col("source") == "src0", 0).when(F.col("source") == "src1", 1).otherwise(2)
     return ledger.groupBy("source", "lang").agg(F.sum(T.tokens(F.col("content"))).alias("tokens")).withColumn("place", place)
+
+
+@register(r"""WITH c AS (SELECT session, seq, left(trim(regexp_replace(content, '[ \t\r\n]+', ' ', 'g')), 500) AS c FROM {transcript}), l AS (SELECT *, list_transform(range(1, CAST(100 + seq * 10 + 1 AS BIGINT)), lambda x: 'l' || x) AS l, regexp_extract(left(c, 100), '(?s)^(.*)[ \t\n]', 1) AS at_ FROM c)
+    SELECT session, seq, c || ' ' AS visible, 'a' || c || chr(10) || 'y' AS plain, array_to_string(CASE WHEN len(l) > 120 THEN list_concat(list_concat(l[1:40], ['... ' || (len(l) - 80) || ' lines ...']), l[len(l) - 39:len(l)]) ELSE l END, '|') AS head_tail, c AS untagged,
+    CASE WHEN length(c) <= 100 THEN c WHEN length(at_) >= 80 THEN at_ ELSE left(c, 100) END AS cut, 'p' || seq || '/q' AS segments, CASE WHEN seq = 0 THEN 'just now' WHEN seq < 2 THEN '50m ago' ELSE (seq * 3000 // 3600) || 'h ago' END AS ago, greatest(0.0, least(1.0, CAST(seq AS DOUBLE) - 1.5)) AS clamped, round(CASE WHEN seq > 0 THEN 100.0 * session / seq ELSE 0.0 END, 6) AS percent, nfc_normalize(c || 'é') AS composed FROM l""")
+def s210_scalars(transcript):
+    c = F.substring(F.trim(F.regexp_replace("content", r"[ \t\r\n]+", " ")), 1, 500)
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), (F.lit(100) + F.col("seq") * 10).cast("int")), lambda x: F.concat(F.lit("l"), x.cast("string"))), "\n")
+    return transcript.select(
+        "session", "seq", T.visible(F.concat(c, F.lit("\u200b\u00a0"))).alias("visible"), T.plain(F.concat(F.lit("a\x1b[31m"), c, F.lit("\nx\ry"))).alias("plain"), F.replace(T.head_tail(lines), F.lit("\n"), F.lit("|")).alias("head_tail"),
+        T.without_tags(F.concat(F.lit("<b>"), F.regexp_replace(c, "[<>]", ""), F.lit("</b><i"))).alias("untagged"), T.cut(c, 100).alias("cut"), T.segments(F.concat(F.lit("p"), F.col("seq").cast("string"), F.lit("/q/r/s"))).alias("segments"), T.ago(F.col("seq") * 3000).alias("ago"),
+        T.clamped(F.col("seq").cast("double") - 1.5).alias("clamped"), F.round(T.percent(F.col("session"), F.col("seq")), 6).alias("percent"), T.composed(F.concat(c, F.lit("e\u0301"))).alias("composed"))
