@@ -286,7 +286,8 @@ def near_copies(seed, size, length, edits):
 
 
 @pytest.mark.parametrize(("n", "percent", "edits"), [(3, 90, 6), (5, 80, 7), (3, 90, 14)])
-def test_groups_against_all_pairs(make, n, percent, edits):
+def test_groups_against_all_pairs(make, monkeypatch, n, percent, edits):
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 2)  # counters are summed in two steps
     texts = near_copies(1, 60, 120, edits) + near_copies(2, 40, 60, edits) + near_copies(3, 15, 12, 1) + ["same text here now"] * 5 + [f"short {i}" for i in range(5)]
     passage = " ".join(f"p{i}" for i in range(40))
     texts += [f"{' '.join(f'u{k}x{i}' for i in range(k % 30))} {passage}" for k in range(40)]

@@ -106,6 +106,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     bits, counters = repeated_filter(rows, total)
     shared = spark.sparkContext.broadcast(bits)
     rows = materialise(rows.select("doc_id", "text_sha256", "row", maybe_repeated(F.col("h"), shared, counters).alias("maybe")))
+    shared.unpersist()  # all that needs it is written
     single = rows.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("maybe").select("doc_id", "text_sha256", "row")
     groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))

@@ -39,6 +39,8 @@ from weir.llm.components import components
 from weir.llm.exact_dedup import contains, maybe_repeated, repeated_filter
 
 COUNTERS, SLICES, FRAGMENTS = 1 << 22, 16, 8
+#: Tasks whose counters one task sums at a time.
+TOGETHER = 256
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -108,20 +110,32 @@ def _sets_and_counts(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _order(counts: DataFrame) -> Order:
-    """Sums the counters slice by slice; the driver gets one byte for each of the COUNTERS."""
+    """Sums the counters slice by slice, those of ``TOGETHER`` tasks first; the driver gets one byte for each of the COUNTERS."""
 
-    def run(batches):
+    def summed(batches, dtype) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.decompress(blob), np.uint32).astype(np.int64)
-        for k, v in sums.items():
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zstandard.decompress(blob), dtype).astype(np.int64)
+                sums[k] = sums[k] + part if k in sums else part
+        return sums
+
+    def lane(batches):
+        for k, v in summed(batches, np.uint32).items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1)], pa.binary())], ["slice", "blob"])
+
+    def run(batches):
+        for k, v in summed(batches, np.int64 if lanes > 1 else np.uint32).items():
             level = np.minimum(127, 4 * np.log2(v + 1)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(level.tobytes())], pa.binary())], ["slice", "level"])
 
     level = np.zeros(COUNTERS, np.uint8)
     size = COUNTERS // SLICES
-    for r in counts.select("slice", "blob").repartition(SLICES, "slice").mapInArrow(run, "slice int, level binary").collect():
+    lanes = -(-counts.rdd.getNumPartitions() // TOGETHER)
+    blobs = counts.select("slice", "blob", F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane"))
+    if lanes > 1:
+        blobs = blobs.repartition(SLICES * lanes, "slice", "lane").mapInArrow(lane, "slice int, blob binary")
+    for r in blobs.repartition(SLICES, "slice").mapInArrow(run, "slice int, level binary").collect():
         level[r.slice * size : (r.slice + 1) * size] = np.frombuffer(zstandard.decompress(r.level), np.uint8)
     return Order(level)
 
@@ -240,8 +254,9 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> t
     # Different hubs: lists that have classes of more than one.
     hubs = star.select(F.col("a").alias("cls"), F.col("b").alias("hub"))
     lists = lists.join(hubs.hint("merge"), "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
-    mixed = lists.groupBy("g").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).filter("lo <> hi").select("g")
-    lists = materialise(lists.join(mixed.hint("merge"), "g").select("g", "hub", "cls", "n", "pos"))
+    lists = materialise(lists)
+    mixed = lists.groupBy("g").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("g", "size")
+    lists = materialise(join_groups(lists, mixed, "g", "size", lists.count()).select("g", "hub", "cls", "n", "pos"))
     pair = lists.select("g", "hub").distinct()
     pair = pair.join(pair.select("g", F.col("hub").alias("hub2")).hint("merge"), "g").filter("hub < hub2")
     other = lists.select("g", F.col("hub").alias("hub2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
