@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weir.functions import code as L
 from weir.operators import activity as A
 from weir.operators import code as D
 from weir.operators import collaboration as C
@@ -176,3 +177,39 @@ def o4_by_importance(pull_requests):
 def src4_latest(murmurs):
     """The latest snapshot of each (file, topic), as one aggregate that combines before its shuffle."""
     return murmurs.groupBy("file", "topic").agg(F.max_by("id", F.struct("sec", "id")).alias("id"), F.max("sec").alias("sec"))
+
+
+_EXTENSIONS = ["go", "PY", "tar.gz", "", "rs", "Tsx"]
+
+
+@register("SELECT blob_id, language, count(*) AS n FROM (SELECT blob_id, ['go', 'python', NULL, NULL, 'rust', 'tsx'][CAST(blob_id % 6 + 1 AS INTEGER)] AS language FROM {file_revs}) GROUP BY 1, 2")
+def s210_languages(file_revs):
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("blob_id") % 6 + 1).cast("int"))
+    path = F.concat(F.regexp_replace("path", r"\.go$", ""), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(""))
+    return file_revs.groupBy("blob_id", L.language_of(path).alias("language")).agg(F.count("*").alias("n"))
+
+
+_CLEAN = "trim(regexp_replace(left(content, 200), '[^a-zA-Z]+', ' ', 'g'))"
+
+
+@register(f"""WITH c AS (SELECT id, lang, {_CLEAN} AS c FROM {{ledger}} WHERE content IS NOT NULL AND {_CLEAN} <> '') SELECT id || '.go' AS path, c AS text, 'line' AS kind, 1 AS line, 1 AS end_line FROM c WHERE id % 2 = 0 UNION ALL SELECT id || '.go', '* ' || c || chr(10) || 'more', 'doc', 2, 3 FROM c WHERE id % 2 = 0 UNION ALL SELECT id || '.go', 'end', 'doc', 3, 3 FROM c WHERE id % 2 = 0
+    UNION ALL SELECT id || '.py', c, 'doc', 4, 4 FROM c WHERE id % 2 = 1 UNION ALL SELECT id || '.py', 'it''s "x"', 'line', 5, 5 FROM c WHERE id % 2 = 1""")
+def s210_comments(ledger):
+    """Comments of small sources made of the texts."""
+    c = F.trim(F.regexp_replace(F.substring("content", 1, 200), "[^a-zA-Z]+", " "))
+    go = F.concat(F.lit('u := "http://a" + `/* no */` // '), c, F.lit("\n/** "), c, F.lit("\nmore */ x = 'a' /// end"))
+    py = F.concat(F.lit('s = """ # no\n'), c, F.lit("""\n\"""\nt = '#no' ## """), c, F.lit("""\n# it's "x"\n"""))
+    even = F.col("id") % 2 == 0
+    rows = ledger.filter(c != "").select(F.concat(F.col("id").cast("string"), F.when(even, ".go").otherwise(".py")).alias("path"), F.when(even, go).otherwise(py).alias("content"))
+    return L.comments(rows.withColumn("language", L.language_of(F.col("path"))))
+
+
+@register("""WITH c AS (SELECT author, sec // 86400 AS day, count(*) FILTER (WHERE topic = 'view') AS r, count(*) FILTER (WHERE topic = 'click') AS e, count(*) FILTER (WHERE topic IN ('error', 'purchase')) AS b, count(*) FILTER (WHERE topic = 'error') AS t FROM {murmurs} GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY day) AS n FROM c)
+    SELECT author, day, CASE WHEN r + e + b = 0 THEN CASE WHEN n = 1 THEN 'Discussion' ELSE 'Turn ' || n END WHEN t > 0 AND t > b // 2 AND r < e AND e < b THEN 'Testing' WHEN r > 2 * e AND r > b THEN 'Exploration' WHEN e > r AND e > b THEN 'Implementation' WHEN b > r AND b > e THEN CASE WHEN t > b // 2 THEN 'Testing' ELSE 'Execution' END WHEN r > 0 AND e > 0 THEN 'Implementation' ELSE 'Turn ' || n END AS title FROM k""")
+def s210_chapter_titles(murmurs):
+    from pyspark.sql import Window as W
+
+    n = lambda *topics: F.count_if(F.col("topic").isin(*topics))
+    g = murmurs.groupBy("author", F.floor(F.col("sec") / 86400).alias("day")).agg(n("view").alias("r"), n("click").alias("e"), n("error", "purchase").alias("b"), n("error").alias("t"))
+    g = g.withColumn("n", F.row_number().over(W.partitionBy("author").orderBy("day")))
+    return g.select("author", "day", L.chapter_title(*(F.col(c) for c in "nrebt")).alias("title"))
