@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weir.functions import text as T
+from weir.tables import materialise
 
 
 def ranked(docs: DataFrame, terms: list[str], k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Texts with any of the terms, by BM25 over lower-cased words.
 
-    One pass makes a row of counts for each text, a second sums them; the driver gets one row of totals
+    A row of counts for each text is written once, summed and scored; the driver gets one row of totals
     (as many numbers as there are terms).
     """
     w = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), F.lit(0))
     rows = docs.select("id", w.alias("w"))
     count = lambda term: F.size(F.filter("w", lambda x: x == term))
-    rows = rows.select("id", F.size("w").alias("len"), *(count(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    rows = materialise(rows.select("id", F.size("w").alias("len"), *(count(t).alias(f"t{i}") for i, t in enumerate(terms))))
     total = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     tf = [F.col(f"t{i}") for i in range(len(terms))]
     idf = [F.log(1 + (F.lit(total.n) - total[f"d{i}"] + 0.5) / (total[f"d{i}"] + 0.5)) for i in range(len(terms))]
