@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weir.tables import materialise, shared_folder
+
+__all__ = ["held_out", "join_groups", "materialise", "mix", "shared_folder", "table", "texts", "whole_row", "written"]
+
 #: A group counts as hot from this share of all rows; so at most this many groups are hot.
 HOT_GROUPS = 1000
 
@@ -18,30 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that driver and executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Only where that is unset and Spark runs inside one process (tests) a temporary folder is taken; on
-    a cluster without one it is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared folder and returns it without its lineage, partitions and their order kept.
-
-    Lost executors don't lose what was written.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: as ``materialise``, but packed by columns and in new partitions."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
