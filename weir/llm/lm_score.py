@@ -6,12 +6,14 @@ follows. A document's score is the sum of the logarithms. Words are the runs bet
 with A-Z lower-cased.
 
 The count tables are partitioned by hash and the documents' n-grams come to them. Since a row for each
-of them would move ten times the input, the n-grams of many documents are moved as sorted, packed
+of them would move several times the input, the n-grams of many documents are moved as sorted, packed
 arrays, one for each partition: a task that holds a partition counts its n-grams, looks each up and
 sends on the sums by document. Bigrams go by their first word, so that its count is known there too;
 the bigrams of frequent first words are dealt by both words, with the first word's count taken from a
-table of words that make up at least 1 / ``FREQUENT`` of all, at most ``FREQUENT`` of them. Rare words
-that a bigram backs off to meet the table of word counts in a second round.
+table of words that make up at least 1 / ``FREQUENT`` of all, at most ``FREQUENT`` of them. Bigrams that
+make up at least 1 / ``OFTEN`` of all, at most 2 * ``OFTEN`` of them, are not moved at all: their counts
+are broadcast and their scores summed where the documents are, so no partition holds more of one
+bigram than that. Rare words that a bigram backs off to meet the table of word counts in a second round.
 
 Defined cases: null and empty texts have no words, a sum of 0 and no mean. Repeated rows count as
 often as they occur and get equal scores; null ids stay. Very long texts are read whole. Empty tables
@@ -30,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import materialise, mix, texts
+from weir.llm.common import mix, texts, written
 
-FREQUENT = 1 << 17
+FREQUENT, OFTEN = 1 << 17, 1 << 16
 #: Words that a task packs at once, and n-grams that a partition holds.
-CHUNK, PART = 2_000_000, 3_000_000
+CHUNK, PART = 1_000_000, 3_000_000
 RARE = np.uint64(1 << 63)
 START = np.uint64((1 << 63) - 1)
 
@@ -70,60 +72,121 @@ def _times(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of the bigrams that end in each word; ``first`` marks a document's first."""
+    before = np.concatenate([[START], h[:-1]])
+    before[first] = START
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ mix(h))
+
+
+def starts_of(held: list[np.ndarray]) -> np.ndarray:
+    first = np.zeros(sum(map(len, held)), bool)
+    first[np.cumsum([0] + [len(x) for x in held[:-1]])] = True
+    return first
+
+
+def _chunks(batches):
+    """Hashes of the words of so many documents that they make up a chunk."""
+    held, size = [], 0
+    for b in batches:
+        for t in texts(b.column(0)):
+            h = hashes(words(t))
+            if len(h):
+                held.append(h)
+                size += len(h)
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+    if size:
+        yield held
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """h, n (occurrences), followed (occurrences before another word)."""
+    """h, n (occurrences), followed (occurrences before another word), and with followed null the bigrams that are often in some chunk."""
 
     def run(batches):
-        held, last, size = [], [], 0
-
-        def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            ends, m = np.unique(np.array(last, np.uint64), return_counts=True)
+        for held in _chunks(batches):
+            words_, first = np.concatenate(held), starts_of(held)
+            h, n = np.unique(words_, return_counts=True)
+            ends, m = np.unique(np.array([x[-1] for x in held], np.uint64), return_counts=True)
             followed = n.copy()
             followed[np.searchsorted(h, ends)] -= m
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.array(followed, pa.int64())], ["h", "n", "followed"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.array(followed, pa.int64())], ["h", "n", "followed"])
+            h, n = np.unique(pairs(words_, first), return_counts=True)
+            h, n = h[n * 2 * OFTEN >= len(words_)], n[n * 2 * OFTEN >= len(words_)]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.nulls(len(h), pa.int64())], ["h", "n", "followed"])
+
+    found = docs.select("text").mapInArrow(run, "h long, n long, followed long")
+    return found.groupBy("h", F.col("followed").isNull().alias("pair")).agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"))
 
-        for b in batches:
-            for t in texts(b.column(0)):
-                h = hashes(words(t))
-                if len(h):
-                    held.append(h)
-                    last.append(h[-1])
-                    size += len(h)
-                if size >= CHUNK:
-                    yield flush()
-                    held, last, size = [], [], 0
-        if size:
-            yield flush()
 
-    return docs.select("text").mapInArrow(run, "h long, n long, followed long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed"))
+def often(docs: DataFrame, candidates: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the bigrams that make up 1 / ``OFTEN`` of all.
+
+    Such a bigram makes up half that share in chunks that hold half of its occurrences at least; so
+    the candidates' counts there leave 2 * ``OFTEN`` of them, whose whole counts come from a second pass.
+    """
+    rows = candidates.filter(F.col("n") * (2 * OFTEN) >= total).select("h").toPandas()["h"]
+    asked = np.sort(rows.to_numpy(np.int64).view(np.uint64))
+    if not len(asked):
+        return asked, np.zeros(0, np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        counts = np.zeros(len(shared.value), np.int64)
+        for held in _chunks(batches):
+            h = pairs(np.concatenate(held), starts_of(held))
+            at = np.minimum(np.searchsorted(shared.value, h), len(counts) - 1)
+            counts += np.bincount(at[shared.value[at] == h], minlength=len(counts))
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], ["at", "n"])
+
+    out = np.zeros(len(asked), np.int64)
+    for r in docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r.at] = r.n
+    shared.unpersist()
+    return asked, out
 
 
 def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
     """doc_id, n_words, n_backoff, log_score, mean_log_score."""
     spark = docs.sparkSession
-    counts = materialise(word_counts(docs))
+    found = written(word_counts(docs))
+    counts = found.filter("not pair").drop("pair")
     total = counts.agg(F.sum("n")).first()[0] or 0
     starts = total - (counts.agg(F.sum("followed")).first()[0] or 0)  # documents with a word
     rows = counts.filter(F.col("n") * FREQUENT >= total).select("h", "n", "followed").collect()
     order = np.argsort(np.array([r.h for r in rows], np.int64).view(np.uint64), kind="stable")
-    table = spark.sparkContext.broadcast(tuple(np.array([r[i] for r in rows], np.int64)[order] for i in range(3)))
+    table = spark.sparkContext.broadcast((*(np.array([r[i] for r in rows], np.int64)[order] for i in range(3)), *often(docs, found.filter("pair"), total)))
     parts = max(12, -(-total // PART))
     second = max(12, -(-total // (4 * PART)))  # partitions of the second round, which has far less
     log_back = math.log(alpha) - math.log(max(1, total))
 
     def pack(batches):
-        frequent = table.value[0].view(np.uint64)
-        keys, base, held, at = [], [], [], []
+        frequent, (_, n_of, followed_of, pair, c2_of) = table.value[0].view(np.uint64), table.value
+        keys, base, held, at, sums = [], [], [], [], []
 
         def flush():
-            h, doc, first = np.concatenate(held), np.concatenate(at), np.zeros(sum(map(len, held)), bool)
-            first[np.cumsum([0] + [len(x) for x in held[:-1]])] = True
+            h, doc, first = np.concatenate(held), np.concatenate(at), starts_of(held)
             k = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
             known = frequent[k] == h if len(frequent) else np.zeros(len(h), bool)
             code = np.where(known, k.astype(np.uint64), (h >> np.uint64(1)) | RARE)
             before = np.concatenate([[START], code[:-1]])
             before[first] = START
+            here = np.zeros(len(h), bool)
+            if len(pair):
+                p = pairs(h, first)
+                k = np.minimum(np.searchsorted(pair, p), len(pair) - 1)
+                # The words of such a bigram are frequent themselves.
+                here = (pair[k] == p) & (code < START) & (before <= START)
+            if here.any():
+                c2, v, w = c2_of[k[here]], before[here], code[here].astype(np.int64)
+                known = followed_of[np.minimum(v, np.uint64(len(followed_of) - 1)).astype(np.int64)]
+                value = np.where(c2 >= min_count, np.log(c2) - np.log(np.where(v == START, starts, known)), log_back + np.log(n_of[w]))
+                sums[:] = np.bincount(doc[here], value, len(keys)), np.bincount(doc[here], c2 < min_count, len(keys))
+            else:
+                sums[:] = np.zeros(len(keys)), np.zeros(len(keys))
+            code, before, doc = code[~here], before[~here], doc[~here]
             to = mix(before * np.uint64(0x9E3779B97F4A7C15) + np.where(before < RARE, code + np.uint64(1), np.uint64(0))) % np.uint64(parts)
             # By partition and, roughly, by both words: equal n-grams lie together, which packs best.
             rough = lambda x: np.where(x < RARE, np.minimum(x, np.uint64((1 << 23) - 1)), (x >> np.uint64(40)) & np.uint64((1 << 24) - 1))
@@ -142,7 +205,9 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
 
         def base_row():
             ids = np.array([0 if d is None else d for d, _ in base], np.int64)
-            return [(int(keys[0]) % parts, None, _put(np.array(keys, np.uint64)), _put(ids.view(np.uint64), np.array([n for _, n in base], np.uint64), np.array([d is None for d, _ in base], np.uint64)))]
+            back = sums[1].astype(np.uint64) if sums else np.zeros(len(keys), np.uint64)
+            own = sums[0] if sums else np.zeros(len(keys))
+            return [(int(keys[0]) % parts, None, _put(np.array(keys, np.uint64)), _put(ids.view(np.uint64), np.array([n for _, n in base], np.uint64), np.array([d is None for d, _ in base], np.uint64), own.view(np.uint64), back))]
 
         size = 0
         for b in batches:
@@ -156,12 +221,12 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
                     size += len(own)
                 if size >= CHUNK or len(base) >= 100_000:
                     yield rows_of([*(flush() if size else ()), *base_row()])
-                    keys, base, held, at, size = [], [], [], [], 0
+                    keys, base, held, at, sums, size = [], [], [], [], [], 0
         if base:
             yield rows_of([*(flush() if size else ()), *base_row()])
 
     def look_up(batches):
-        _, n_of, followed_of = table.value
+        _, n_of, followed_of, _, _ = table.value
         blobs: dict[int, list] = {}
         for b in batches:
             for p, grams, docs_, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -215,10 +280,10 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
                 got = [np.bincount(d.astype(np.int64), np.log(n[np.searchsorted(rare, w)]), len(keys)), np.zeros(len(keys), np.int64)]
             else:
                 got = _get(sums)
-                if len(got) == 3:
+                if len(got) == 5:
                     ids = pd.array(got[0].view(np.int64), "Int64")
                     ids[got[2].astype(bool)] = pd.NA
-                    base.append(pd.DataFrame({"key": keys.view(np.int64), "doc_id": ids, "n_words": got[1].astype(np.int64), "copies": 1}))
+                    base.append(pd.DataFrame({"key": keys.view(np.int64), "doc_id": ids, "n_words": got[1].astype(np.int64), "copies": 1, "n_backoff": got[4].astype(np.int64), "log_score": got[3].view(np.float64)}))
                     continue
                 got = [got[0].view(np.float64), got[1].astype(np.int64)]
             own.append(keys), values.append(got[0]), backs.append(got[1])
