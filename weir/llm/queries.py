@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import bpe, exact_dedup, jaccard_join, language, lm_score, mtree, packing, quality, sharding, url_filter
-from weir.llm.common import held_out, table
+from weir.llm import bpe, exact_dedup, hard_negatives, jaccard_join, language, lm_score, mtree, packing, quality, sharding, url_filter
+from weir.llm.common import held_out, materialise, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,13 +72,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    data = materialise(hard_negatives.usable(table(spark, sf_dir, "embeddings"), 256, F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+    return hard_negatives.mine(data, data.filter("vec_id % 100 = 0"), 5, 10, 30, 90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_bpe, op3_sharding, op4_language, op5_url_filter, op6_jaccard_join, op7_lm_score, op8_packing, op9_quality, op10_exact_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_bpe, op3_sharding, op4_language, op5_url_filter, op6_jaccard_join, op7_lm_score, op8_packing, op9_quality, op10_exact_dedup, op11_hard_negatives, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -113,4 +119,15 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, CAST(list_sum(list_transform(list_zip(a.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                   FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 100 = 0),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+             r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+                   FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score, place FROM r
+        JOIN (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY positive_score DESC, positive_id) AS INTEGER) AS place FROM p) USING (anchor_id, positive_id)
+        WHERE rank <= 10""",
 }
