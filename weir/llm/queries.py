@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import bpe, exact_dedup, hard_negatives, jaccard_join, language, lm_score, mtree, packing, quality, sharding, url_filter
+from weir.llm import bpe, byte_bpe, exact_dedup, hard_negatives, jaccard_join, language, lm_score, mtree, packing, quality, sharding, url_filter
 from weir.llm.common import held_out, materialise, table
 
 
@@ -78,13 +78,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(data, data.filter("vec_id % 100 = 0"), 5, 10, 30, 90)
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = byte_bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_bpe, op3_sharding, op4_language, op5_url_filter, op6_jaccard_join, op7_lm_score, op8_packing, op9_quality, op10_exact_dedup, op11_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_bpe, op3_sharding, op4_language, op5_url_filter, op6_jaccard_join, op7_lm_score, op8_packing, op9_quality, op10_exact_dedup, op11_hard_negatives, op12_byte_bpe, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
