@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import bpe, byte_bpe, exact_dedup, hard_negatives, jaccard_join, language, lm_score, mtree, packing, quality, sharding, url_filter
+from weir.llm import bpe, byte_bpe, exact_dedup, hard_negatives, jaccard_join, language, lexical, lm_score, mtree, packing, quality, sharding, url_filter
 from weir.llm.common import held_out, materialise, table
 
 
@@ -86,15 +86,20 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_bpe, op3_sharding, op4_language, op5_url_filter, op6_jaccard_join, op7_lm_score, op8_packing, op9_quality, op10_exact_dedup, op11_hard_negatives, op12_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_bpe, op3_sharding, op4_language, op5_url_filter, op6_jaccard_join, op7_lm_score, op8_packing, op9_quality, op10_exact_dedup, op11_hard_negatives, op12_byte_bpe, op13_lexical, pipeline)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_TERMS = _WORDS.replace(r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 ORACLES = {
     "op1_top_k": """
@@ -138,4 +143,14 @@ ORACLES = {
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score, place FROM r
         JOIN (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY positive_score DESC, positive_id) AS INTEGER) AS place FROM p) USING (anchor_id, positive_id)
         WHERE rank <= 10""",
+    "op13_lexical": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents), n AS (SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+             g AS (SELECT count(*) AS n, CAST(sum(n) AS BIGINT) AS l FROM n),
+             f AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS t FROM d) GROUP BY 1, 2),
+             q AS (SELECT item_id, unnest(list_distinct({_TERMS})) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+             w AS (SELECT t, CAST(floor(1000 * ln((2 * g.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY t, g.n),
+             s AS (SELECT item_id, f.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n.n * g.n) // g.l)))) AS BIGINT) AS score
+                   FROM q JOIN f USING (t) JOIN w USING (t) JOIN n ON n.doc_id = f.doc_id, g GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
