@@ -14,7 +14,7 @@ any other rows.
 
 Defined cases: rows without an id or a label and vectors that are null, empty or hold null or non-finite
 components take no part. Vectors meet only those with as many components. A row never meets rows with its
-own id; of anchor rows with one id, the one with the least label and vector is taken. Repeated rows
+own id; of anchor rows with one id, one of the least label and of the fewest components is taken. Repeated rows
 are each found. Components and scores beyond 64 bits become the nearest 64-bit number. A positive score
 below 0 admits nothing, one of 0 only 0. Empty tables give no rows; extra columns don't matter.
 """
@@ -72,7 +72,7 @@ def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             found += (ra[:, i : i + STEP] @ rb[:, i : i + STEP].T).astype(np.int32) % p
         # The next digit in mixed radix: total + modulus * digit has the residue found.
         digit = (found - (total % p).astype(np.int32)) % p * pow(modulus, -1, p) % p
-        total += modulus * (digit.astype(object) if wide else digit)
+        total += modulus * digit.astype(object if wide else np.int64)
         modulus *= p
     return np.where(total > product // 2, total - product, total)
 
