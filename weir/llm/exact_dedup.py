@@ -2,8 +2,10 @@
 
 Pass one counts every text hash in a counting Bloom filter with two-bit counters (0, 1, many). Pass
 two asks the filter: a hash with a counter below "many" occurs once, and its row passes straight
-through; only possibly repeated rows are shuffled, and these are compared by their SHA-256. The
-filter grows with the rows up to ``MAX_COUNTERS`` (beyond that more rows are shuffled, none is lost).
+through; only possibly repeated rows are shuffled, and these are compared by their SHA-256. A filter
+has at most ``MAX_COUNTERS`` counters. More rows than ``ROWS`` are cut into ranges of hashes, each with a
+filter of its own, which are asked one after the other; for that the short rows (ids and hashes, no
+texts) are dealt by range once.
 
 Defined cases: a null text counts as empty, so all null and empty texts are equal. Rows with equal
 text and equal doc_id are copies too, of which one stays. A null doc_id counts as smaller than any
@@ -12,6 +14,8 @@ other. Empty tables give empty results. Extra columns don't matter; the results
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,12 +24,14 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import join_groups, materialise, mix, whole_row
+from weir.llm.common import HOT_GROUPS, join_groups, materialise, mix, shared_folder, whole_row
 
 HASHES = 3
 COUNTERS_PER_ROW = 16
 #: The filter that pass two broadcasts has a bit for each counter: 64 MB at most.
 MAX_COUNTERS = 1 << 29
+#: Rows of one range: so many that the filter keeps its counters for each row.
+ROWS = MAX_COUNTERS // COUNTERS_PER_ROW
 SLICE = 1 << 20
 
 
@@ -97,16 +103,35 @@ def maybe_repeated(h: Column, bits: Broadcast, counters: int) -> Column:
     return ask(h)
 
 
+def marked(rows: DataFrame, total: int) -> DataFrame:
+    """``rows``, written and with a long column ``h``, with ``maybe``: false only where the hash occurs once."""
+    ranges = -(-total // ROWS)
+    if ranges > 1:
+        spread = rows.withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges)).cast("int"))
+        path = f"{shared_folder(rows.sparkSession)}/ranges-{uuid.uuid4()}"
+        spread.repartition(F.col("range"), F.pmod(F.monotonically_increasing_id(), F.lit(16))).write.partitionBy("range").parquet(path)
+        spread = rows.sparkSession.read.schema(spread.schema).parquet(path)
+        parts = [spread.filter(F.col("range") == k).drop("range") for k in range(ranges)]
+    else:
+        parts = [rows]
+    out = []
+    for part in parts:
+        bits, counters = repeated_filter(part, part.count() if ranges > 1 else total)
+        shared = rows.sparkSession.sparkContext.broadcast(bits)
+        out.append(materialise(part.withColumn("maybe", maybe_repeated(F.col("h"), shared, counters))))
+        shared.unpersist()  # all that needs it is written
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_sha256"))
     rows = materialise(rows.select("*", short_hash(F.col("text_sha256")).alias("h"), F.monotonically_increasing_id().alias("row")))
     total = rows.count()
-    bits, counters = repeated_filter(rows, total)
-    shared = spark.sparkContext.broadcast(bits)
-    rows = materialise(rows.select("doc_id", "text_sha256", "row", maybe_repeated(F.col("h"), shared, counters).alias("maybe")))
-    shared.unpersist()  # all that needs it is written
+    rows = marked(rows, total)
     single = rows.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("maybe").select("doc_id", "text_sha256", "row")
     groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
@@ -118,17 +143,24 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each text, the one with the largest doc_id; the columns stay.
 
-    Rows that surely occur once pass straight through. The others meet the groups by text and doc_id
-    together, so that the copies of a hot text spread over all tasks.
+    The groups are made from ids and hashes alone; then a filter of the texts that are repeated lets
+    all other rows pass straight through. The rows of hot texts are decided where they are.
     """
-    spark = docs.sparkSession
     sha = text_hash(F.col("text"))
-    hashes = materialise(docs.select(short_hash(sha).alias("h")))
-    bits, counters = repeated_filter(hashes, hashes.count())
-    shared = spark.sparkContext.broadcast(bits)
-    marked = docs.select(whole_row(docs), sha.alias("sha")).withColumn("maybe", maybe_repeated(short_hash(F.col("sha")), shared, counters))
-    maybe = marked.filter("maybe").select("r", "sha")
-    keep = maybe.groupBy(F.col("sha").alias("keep_sha")).agg(F.max(F.col("r.doc_id")).alias("keep_id"))
-    kept = maybe.join(keep, (F.col("sha") == F.col("keep_sha")) & F.col("r.doc_id").eqNullSafe(F.col("keep_id"))).select("sha", "r")
-    kept = kept.groupBy("sha").agg(F.first("r").alias("r"))
-    return marked.filter(~F.col("maybe")).select("r.*").unionByName(kept.select("r.*"))
+    rows = materialise(docs.select("doc_id", sha.alias("sha")).withColumn("h", short_hash(F.col("sha"))))
+    total = rows.count()
+    groups = marked(rows, total).filter("maybe").groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("size")).filter("size > 1")
+    groups = materialise(groups)
+    ids = groups.select(short_hash(F.col("sha")).alias("h"))
+    bits, counters = repeated_filter(ids.unionAll(ids), 2 * groups.count())  # each twice, so that its counters are many
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    told = docs.select(whole_row(docs), sha.alias("sha")).withColumn("maybe", maybe_repeated(short_hash(F.col("sha")), shared, counters))
+    maybe = told.filter("maybe").select("r", "sha")
+    # As in join_groups, but rows that the filter marked in error stay.
+    hot = F.col("size") >= max(2, -(-total // HOT_GROUPS))
+    often = F.broadcast(groups.filter(hot))
+    last = F.col("r.doc_id").eqNullSafe(F.col("keep_id"))
+    rest = maybe.join(often.select("sha"), "sha", "left_anti").join(groups.filter(~hot).hint("merge"), "sha", "left")
+    kept = maybe.join(often, "sha").filter(last).select("sha", "r").unionByName(rest.filter(F.col("size").isNotNull() & last).select("sha", "r"))
+    kept = kept.groupBy("sha").agg(F.first("r").alias("r"))  # of rows that are equal in both any one; a task sends one of each on
+    return told.filter(~F.col("maybe")).select("r.*").unionByName(rest.filter("size is null").select("r.*")).unionByName(kept.select("r.*"))

@@ -41,6 +41,8 @@ from weir.llm.exact_dedup import contains, maybe_repeated, repeated_filter
 COUNTERS, SLICES, FRAGMENTS = 1 << 22, 16, 8
 #: Tasks whose counters one task sums at a time.
 TOGETHER = 256
+#: Hubs of a list from which it may be dealt into parts.
+LONG = 256
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -164,41 +166,46 @@ def _prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
-    """cls, frag, keys of the classes whose documents are wanted (doc_id), and a few more."""
+    """cls, frag, keys, task of the classes whose documents are wanted (doc_id), and a few more; a task emits a class once."""
     key = F.xxhash64(F.col("doc_id").cast("long"))
     ids = wanted.select(key.alias("h")).distinct()
     bits, counters = repeated_filter(ids.unionAll(ids), 2 * ids.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        seen: set[int] = set()
         for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             maybe = contains(b.column(0).to_numpy(), shared.value, counters)
-            rows = [(class_of(g), order.value.fragments(order.value(g))) for g in (ngrams(t, n) for t in texts(b.column(1).filter(pa.array(maybe)))) if len(g)]
+            rows = {c: g for c, g in ((class_of(g), g) for g in (ngrams(t, n) for t in texts(b.column(1).filter(pa.array(maybe)))) if len(g)) if c not in seen}
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows for _ in range(FRAGMENTS)], pa.int64()), pa.array(list(range(FRAGMENTS)) * len(rows), pa.int32()), pa.array([x for _, f in rows for x in f], pa.list_(pa.int64()))], ["cls", "frag", "keys"])
+                seen.update(rows)
+                cut = [x for g in rows.values() for x in order.value.fragments(order.value(g))]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c in rows for _ in range(FRAGMENTS)], pa.int64()), pa.array(list(range(FRAGMENTS)) * len(rows), pa.int32()), pa.array(cut, pa.list_(pa.int64()))], ["cls", "frag", "keys"])
 
-    found = docs.select(key.alias("h"), "text").mapInArrow(run, "cls long, frag int, keys array<long>")
+    found = docs.select(key.alias("h"), "text").mapInArrow(run, "cls long, frag int, keys array<long>").withColumn("task", F.spark_partition_id())
     found = materialise(found)
     shared.unpersist()
     return found
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, difference: bool) -> DataFrame:
+def _overlaps(pairs: DataFrame, sets: DataFrame, difference: bool, frags: str = "true") -> DataFrame:
     """Partial overlaps by fragment, summed for each pair (a, b); with the sizes of both; with ``difference`` also the n-grams of only one of the two.
 
-    The pairs of a class b that has many are dealt into parts, each of which gets b's fragments.
+    The pairs of a class b that has many are dealt into parts, each of which gets b's fragments. Of a
+    class that several tasks have read, the first task's fragments are taken.
     """
+    first = sets.filter("frag = 0").groupBy("cls").agg(F.min("task").alias("task"))
+    sets = sets.filter(frags)
     keep = [c for c in pairs.columns if c not in ("a", "b")]
     least = max(64, -(-pairs.count() // HOT_GROUPS))
     often = pairs.groupBy("b").agg(F.ceil(F.count("*") / least).alias("parts")).filter("parts > 1")  # HOT_GROUPS at most
     pairs = pairs.join(F.broadcast(often), "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0))).drop("parts")
-    left = sets.join(pairs.withColumnRenamed("a", "cls").hint("merge"), "cls").select(F.col("cls").alias("a"), "b", *keep, "part", "frag", F.col("keys").alias("ka"))
-    right = sets.join(pairs.select(F.col("b").alias("cls"), "part").distinct().hint("merge"), "cls").select(F.col("cls").alias("b"), "part", "frag", F.col("keys").alias("kb"))
+    of = lambda own: sets.join(own.join(first.hint("merge"), "cls").hint("merge"), ["cls", "task"])
+    left = of(pairs.withColumnRenamed("a", "cls")).select(F.col("cls").alias("a"), "b", *keep, "part", "frag", F.col("keys").alias("ka"))
+    right = of(pairs.select(F.col("b").alias("cls"), "part").distinct()).select(F.col("cls").alias("b"), "part", "frag", F.col("keys").alias("kb"))
     more, less = F.array_except("ka", "kb"), F.array_except("kb", "ka")
     delta = [F.concat(more, less).alias("delta")] if difference else []
     parts = left.join(right.hint("merge"), ["b", "part", "frag"]).select("a", "b", "frag", *keep, (F.size("ka") - F.size(more)).alias("o"), (F.size("ka") + F.size("kb")).alias("s"), *delta)
-    # A class read from two documents gives a fragment's overlap twice.
-    parts = parts.groupBy("a", "b", *keep, "frag").agg(F.first("o").alias("o"), F.first("s").alias("s"), *(F.first("delta").alias("delta") for _ in delta))
     return parts.groupBy("a", "b", *keep).agg(F.sum("o").alias("overlap"), F.sum("s").alias("sizes"), *(F.flatten(F.collect_list("delta")).alias("delta") for _ in delta))
 
 
@@ -257,8 +264,13 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> t
     lists = materialise(lists)
     mixed = lists.groupBy("g").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("g", "size")
     lists = materialise(join_groups(lists, mixed, "g", "size", lists.count()).select("g", "hub", "cls", "n", "pos"))
-    pair = lists.select("g", "hub").distinct()
-    pair = pair.join(pair.select("g", F.col("hub").alias("hub2")).hint("merge"), "g").filter("hub < hub2")
+    pair = materialise(lists.select("g", "hub").distinct())
+    # A list of many hubs is dealt into parts, each of which meets all hubs of the list.
+    least = max(LONG, -(-pair.count() // HOT_GROUPS))
+    long_lists = F.broadcast(pair.groupBy("g").agg(F.ceil(F.count("*") / least).alias("parts")).filter("parts > 1"))  # HOT_GROUPS at most
+    pair = pair.join(long_lists, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    every = pair.select("g", F.col("hub").alias("hub2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    pair = pair.withColumn("part", F.pmod(F.xxhash64("hub"), F.col("parts"))).join(every.hint("merge"), ["g", "part"]).filter("hub < hub2").select("g", "hub", "hub2")
     other = lists.select("g", F.col("hub").alias("hub2"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     cross = pair.join(lists.hint("merge"), ["g", "hub"]).join(other.hint("merge"), ["g", "hub2"])
     least = F.least(F.col("n") - F.col("pos"), F.col("nb") - F.col("pb"))
@@ -266,10 +278,10 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> t
     cross = materialise(cross.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"), (F.col("n") + F.col("nb")).alias("both")).distinct())
     # A pair that differs too much in its first fragment alone needs no other.
     sets = _sets(docs, n, order, of(cross))
-    cross = _overlaps(cross, sets.filter("frag = 0"), False)
+    cross = _overlaps(cross, sets, False, "frag = 0")
     cross = cross.filter((F.col("sizes") - 2 * F.col("overlap")) * (100 + percent) <= (100 - percent) * F.col("both"))
     cross = materialise(cross.select("a", "b", "both", F.col("overlap").alias("first")))
-    cross = _overlaps(cross, sets.filter("frag > 0"), False).filter((100 + percent) * (F.col("first") + F.col("overlap")) >= percent * F.col("both"))
+    cross = _overlaps(cross, sets, False, "frag > 0").filter((100 + percent) * (F.col("first") + F.col("overlap")) >= percent * F.col("both"))
     return star.filter("near").select("a", "b"), linked_same.unionByName(cross.select("a", "b"))
 
 

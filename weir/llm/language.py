@@ -133,7 +133,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def sparse(text: pd.Series) -> pd.Series:
         return pd.Series([np.flatnonzero(c).astype(np.uint16).tobytes() + (c[c > 0] / c.sum()).astype(np.float16).tobytes() for c in map(counts, text)])
 
-    rows = sorted(drawn.select("lang", sparse("text").alias("c")).collect())  # the bounded sample, in one order
+    # Rows are drawn by their values, so repeated ones come together, and one of them is taken.
+    one = drawn.groupBy("lang", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha")).agg(F.first("text").alias("text"))
+    rows = one.select("lang", sparse("text").alias("c"), F.xxhash64("doc_id", "sha").alias("h")).orderBy("h", "lang", "c").limit(2 * max(sample, 1000)).drop("h")
+    rows = sorted(rows.collect())  # the bounded sample, in one order
     return train([(r.lang, np.frombuffer(r.c, np.uint16, len(r.c) // 4), np.frombuffer(r.c, np.float16, offset=len(r.c) // 2)) for r in rows])
 
 

@@ -32,11 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import mix, texts, written
+from weir.llm.common import materialise, mix, texts, written
 
 FREQUENT, OFTEN = 1 << 17, 1 << 16
 #: Words that a task packs at once, and n-grams that a partition holds.
 CHUNK, PART = 1_000_000, 3_000_000
+#: Copies of one row that are made at once.
+COPIES = 4096
 RARE = np.uint64(1 << 63)
 START = np.uint64((1 << 63) - 1)
 
@@ -304,7 +306,10 @@ def score(docs: DataFrame, min_count: int = 2, alpha: float = 0.4) -> DataFrame:
 
     own = own.select(part_of("h").alias("part"), "h", "n")
     partial = looked.groupBy("part").cogroup(own.groupBy("part")).applyInPandas(add_up, "key long, doc_id long, n_words long, copies long, n_backoff long, log_score double")
-    summed = partial.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"), F.coalesce(F.sum("n_backoff"), F.lit(0)).alias("back"), F.sum("log_score").alias("s"))
-    each = summed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    summed = materialise(partial.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"), F.coalesce(F.sum("n_backoff"), F.lit(0)).alias("back"), F.sum("log_score").alias("s")))
+    # Copies of a row that has many are made in many tasks, ``COPIES`` at a time.
+    many = summed.filter(F.col("copies") > COPIES).withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPIES)))).repartition("key", "from")
+    many = many.withColumn("_", F.explode(F.sequence("from", F.least("copies", F.col("from") + COPIES - 1)))).drop("from")
+    each = summed.filter(F.col("copies") <= COPIES).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).unionByName(many)
     log_score = F.col("s") / F.col("copies")
     return each.select("doc_id", "n_words", (F.col("back") / F.col("copies")).cast("long").alias("n_backoff"), log_score.alias("log_score"), F.when(F.col("n_words") > 0, log_score / F.col("n_words")).alias("mean_log_score"))

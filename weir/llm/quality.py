@@ -121,6 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
         return pd.Series([np.array(statistics(t or "")).tobytes() for t in text])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "label", run("text").alias("x"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min("x").alias("x"))  # of rows with one id, the least statistics
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max(sample, 1000))
     rows = sorted(rows.collect())  # the bounded sample, in one order
     return grow(np.frombuffer(b"".join(r.x for r in rows)).reshape(len(rows), -1) if rows else np.zeros((0, 0)), np.array([float(r.label > 0) for r in rows]))
 

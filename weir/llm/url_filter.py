@@ -100,6 +100,12 @@ def path_words(path_: str) -> list[str]:
     return ["/0" if run[0].isdigit() else "/" + run.lower() for run in _RUN.findall(path_)]
 
 
+def untagged(html: str) -> str:
+    """Without what stands from a < to the next >; a < without one stays, and is not looked for again and again."""
+    end = html.rfind(">") + 1
+    return re.sub(r"<[^>]*>", " ", html[:end]) + html[end:]
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """word, n: the words of all pages."""
 
@@ -107,7 +113,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         seen: Counter[str] = Counter()
         for b in batches:
             for html in b.column(0).to_pylist():
-                seen.update(_LETTERS.findall(re.sub(r"<[^>]*>", " ", (html or "").lower())))
+                seen.update(_LETTERS.findall(untagged((html or "").lower())))
                 if len(seen) > MOST_HELD:  # bounded memory: what is counted so far goes on its way
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                     seen.clear()
