@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: Extension (any case) and language.
 LANGUAGES = {
@@ -13,11 +17,17 @@ LANGUAGES = {
     "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "md": "markdown", "markdown": "markdown", "r": "r", "lua": "lua", "zig": "zig", "ex": "elixir", "exs": "elixir", "erl": "erlang", "hrl": "erlang",
     "hs": "haskell", "ml": "ocaml", "mli": "ocaml", "pl": "perl", "pm": "perl", "proto": "protobuf", "dart": "dart",
 }
-SLASHED = "rust javascript typescript tsx jsx java c cpp go php swift kotlin scala csharp zig protobuf dart".split()
-HASHED = "python ruby shell yaml toml r elixir perl".split()
-#: Pieces that make up a text: block and line comments, strings, and what is between them.
-_SLASH = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"[^"\\]*(?:\\.[^"\\]*)*(?:"|\z)|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?|`[^`]*(?:`|\z)|[^/"'`]+|."""
-_HASH = r'''(?s)""".*?(?:"""|\z)|\'\'\'.*?(?:\'\'\'|\z)|#[^\n]*|"[^"\\\n]*(?:\\.[^"\\\n]*)*"?|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?|[^#"']+|.'''.replace("\\'", "'")
+#: How languages mark comments to the end of a line, and the beginning and end of others; ("" where they have none).
+MARKS = {
+    "go c cpp java javascript typescript tsx jsx rust swift kotlin scala csharp dart php zig protobuf css": ("//", "/*", "*/"),
+    "python ruby shell r perl elixir yaml toml": ("#", "", ""), "html xml markdown": ("", "<!--", "-->"), "sql": ("--", "/*", "*/"),
+    "lua": ("--", "--[[", "]]"), "haskell": ("--", "{-", "-}"), "ocaml": ("", "(*", "*)"), "erlang": ("%", "", ""),
+}
+COMMENTED = {language: marks for names, marks in MARKS.items() for language in names.split()}
+NESTED = {"haskell"}
+#: Quotes that end only where they stand again, by language; in all languages " and ' are quotes in which \ shields a letter.
+LONG_QUOTES = {"python": ['"""', "'''"], "elixir": ['"""'], **dict.fromkeys("go javascript typescript tsx jsx".split(), ["`"])}
+_REST = {q: re.compile(rf"[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}?", re.DOTALL) for q in "\"'"}
 
 
 def language_of(path: Column) -> Column:
@@ -27,25 +37,77 @@ def language_of(path: Column) -> Column:
     return F.when(F.instr(name, ".") > 0, F.try_element_at(known, F.lower(F.substring_index(name, ".", -1))))
 
 
+@cache
+def _marks(language: str) -> re.Pattern:
+    """What can begin a comment or a quote, the longest of those that begin alike first."""
+    line, begin, _ = COMMENTED[language]
+    found = [begin, line, *LONG_QUOTES.get(language, []), '"', "'"]
+    return re.compile("|".join(re.escape(x) for x in found if x))
+
+
+def _end_of_nested(source: str, at: int, begin: str, end: str) -> int:
+    """Where the end mark stands that closes the comment whose text begins at ``at``; -1 if none does."""
+    depth = 1
+    for m in re.compile(f"{re.escape(begin)}|{re.escape(end)}").finditer(source, at):
+        depth += 1 if m.group() == begin else -1
+        if not depth:
+            return m.start()
+    return -1
+
+
+def scanned(source: str, language: str) -> list[tuple[str, str, int, int, int, int]]:
+    """(text, kind, line, end_line, col, end_col) of each comment, in order.
+
+    The scan leaps from mark to mark and goes over each letter once, however long a comment or a quote is.
+    """
+    out, marks, at = [], _marks(language), 0
+    to_end, begin, end = COMMENTED[language]
+    line, row, seen = 1, 0, 0  # number and first letter of the line at ``seen``
+
+    def place(p: int) -> tuple[int, int]:
+        nonlocal line, row, seen
+        line += source.count("\n", seen, p)
+        row, seen = max(row, source.rfind("\n", seen, p) + 1), p
+        return line, p - row + 1
+
+    while m := marks.search(source, at):
+        mark, p, block = m.group(), m.start(), m.group() == begin
+        if block or mark == to_end:
+            if not block:
+                close = after = (source.find("\n", m.end()) + 1 or len(source) + 1) - 1
+            else:
+                close = _end_of_nested(source, m.end(), begin, end) if language in NESTED else source.find(end, m.end())
+                if close < 0:  # what never ends is no comment
+                    break
+                after = close + len(end)
+            text = source[m.end() : close].strip()
+            if text:
+                doc = text[0] == "*" and begin == "/*" if block else to_end in ("//", "#") and text[0] == to_end[0]
+                first, last = place(p), place(after)
+                if text := text[1:].strip() if doc and not block else text:
+                    out.append((text, "doc" if doc else "block" if block else "line", first[0], last[0], first[1], last[1]))
+            at = after
+        elif mark in _REST:
+            at = _REST[mark].match(source, m.end()).end()
+        else:
+            at = (source.find(mark, m.end()) + 1 or len(source) + 1) - 1 + len(mark)
+    return out
+
+
 def comments(files: DataFrame) -> DataFrame:
-    """path, text, kind (line, block or doc), line, end_line: the comments of files (path, language, content) whose language marks them by // and /* */ or by #.
+    """path, text, kind (line, block or doc), line, end_line, col, end_col: the comments of files (path, language, content).
 
-    Marks inside strings are no comments; empty comments are left out; ///, ## and /** make a doc comment.
+    Marks inside strings are no comments; empty comments are left out, and so is one that never ends;
+    ///, ## and /** make a doc comment. Columns count letters from 1; a comment ends before ``end_col``.
     """
-    slashed = F.col("language").isin(*SLASHED)
-    pieces = F.when(slashed, F.regexp_extract_all("content", F.lit(_SLASH), F.lit(0))).otherwise(F.regexp_extract_all("content", F.lit(_HASH), F.lit(0)))
-    rows = files.filter(F.col("language").isin(*SLASHED, *HASHED)).select("path", slashed.alias("slashed"), F.posexplode(pieces).alias("pos", "piece"))
-    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
-    by = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("breaks", breaks).withColumn("line", 1 + F.coalesce(F.sum("breaks").over(by), F.lit(0)))
-    p = F.col("piece")
-    block, line = F.col("slashed") & p.startswith("/*"), F.when(F.col("slashed"), p.startswith("//")).otherwise(p.startswith("#"))
-    bare = F.when(block, F.regexp_replace(p, r"(?s)^/\*|\*/\z", "")).otherwise(F.regexp_replace(p, r"^//|^#", ""))
-    rows = rows.filter(block | line).withColumns({"block": block, "text": F.regexp_replace(bare, r"(?s)^\s+|\s+\z", "")}).filter("text <> ''")
-    mark = F.when(F.col("block"), F.lit("*")).when(F.col("slashed"), F.lit("/")).otherwise(F.lit("#"))
-    doc = F.startswith("text", mark)
-    text = F.when(doc & ~F.col("block"), F.trim(F.substr("text", F.lit(2)))).otherwise(F.col("text"))
-    return rows.select("path", text.alias("text"), F.when(doc, "doc").when(F.col("block"), "block").otherwise("line").alias("kind"), F.col("line").cast("int").alias("line"), (F.col("line") + F.col("breaks")).cast("int").alias("end_line"))
+
+    def run(frames: Iterator[pd.DataFrame]):
+        for f in frames:
+            rows = [(path, *c) for path, language, source in zip(f["path"], f["language"], f["content"], strict=True) for c in scanned(source, language)]
+            yield pd.DataFrame(rows, columns=["path", "text", "kind", "line", "end_line", "col", "end_col"])
+
+    rows = files.filter(F.col("language").isin(*COMMENTED) & F.col("content").isNotNull()).select("path", "language", "content")
+    return rows.mapInPandas(run, "path string, text string, kind string, line int, end_line int, col int, end_col int")
 
 
 def chapter_title(number: Column, reads: Column, edits: Column, runs: Column, tests: Column) -> Column:

@@ -243,7 +243,7 @@ def cues(texts: DataFrame) -> DataFrame:
     Blank lines part the blocks of a text; what follows a block's time line is the cue.
     """
     own = texts.filter(F.trim(F.regexp_extract("text", r"^[^\n]*", 0)).startswith("WEBVTT"))
-    blocks = F.split(F.regexp_replace("text", "\r", ""), r"\n[ \t]*(?:\n[ \t]*)+")
+    blocks = F.split(F.regexp_replace("text", "\r", ""), r"\n[ \t]*\n[ \t\n]*")
     rows = own.select("doc", F.posexplode(blocks).alias("n", "block")).filter(F.contains("block", F.lit("-->")))
     lines = F.filter(F.transform(F.split(F.regexp_extract("block", r"(?s)^.*?-->[^\n]*\n(.*)$", 1), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     voice = r"^<v ([^>]*)>"

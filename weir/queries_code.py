@@ -193,8 +193,8 @@ def s210_languages(file_revs):
 _CLEAN = "trim(regexp_replace(left(content, 200), '[^a-zA-Z]+', ' ', 'g'))"
 
 
-@register(f"""WITH c AS (SELECT id, lang, {_CLEAN} AS c FROM {{ledger}} WHERE content IS NOT NULL AND {_CLEAN} <> '') SELECT id || '.go' AS path, c AS text, 'line' AS kind, 1 AS line, 1 AS end_line FROM c WHERE id % 2 = 0 UNION ALL SELECT id || '.go', '* ' || c || chr(10) || 'more', 'doc', 2, 3 FROM c WHERE id % 2 = 0 UNION ALL SELECT id || '.go', 'end', 'doc', 3, 3 FROM c WHERE id % 2 = 0
-    UNION ALL SELECT id || '.py', c, 'doc', 4, 4 FROM c WHERE id % 2 = 1 UNION ALL SELECT id || '.py', 'it''s "x"', 'line', 5, 5 FROM c WHERE id % 2 = 1""")
+@register(f"""WITH c AS (SELECT id, lang, {_CLEAN} AS c, CAST(length({_CLEAN}) AS INTEGER) AS n FROM {{ledger}} WHERE content IS NOT NULL AND {_CLEAN} <> '') SELECT id || '.go' AS path, c AS text, 'line' AS kind, 1 AS line, 1 AS end_line, 30 AS col, 33 + n AS end_col FROM c WHERE id % 2 = 0 UNION ALL SELECT id || '.go', '* ' || c || chr(10) || 'more', 'doc', 2, 3, 1, 8 FROM c WHERE id % 2 = 0 UNION ALL SELECT id || '.go', 'end', 'doc', 3, 3, 17, 24 FROM c WHERE id % 2 = 0
+    UNION ALL SELECT id || '.py', c, 'doc', 4, 4, 11, 14 + n FROM c WHERE id % 2 = 1 UNION ALL SELECT id || '.py', 'it''s "x"', 'line', 5, 5, 1, 11 FROM c WHERE id % 2 = 1""")
 def s210_comments(ledger):
     """Comments of small sources made of the texts."""
     c = F.trim(F.regexp_replace(F.substring("content", 1, 200), "[^a-zA-Z]+", " "))
@@ -205,6 +205,28 @@ def s210_comments(ledger):
     return L.comments(rows.withColumn("language", L.language_of(F.col("path"))))
 
 
+#: Language, what stands before the text, after it, what the comment's text has before and after it; (line, end_line, col, end_col) and, where the text's length counts, how often it counts in col and end_col.
+_FAMILIES = [
+    ("haskell", "x = 1 {- a {- ", "\n-} b -} y", "a {- ", "\n-} b", "block", 1, 2, 7, 8, 0), ("sql", "select '--' -- ", "", "", "", "line", 1, 1, 13, 16, 1), ("html", "<p>\n<!-- ", " --></p>", "", "", "block", 2, 2, 1, 10, 1),
+    ("lua", "s = '--' --[[ ", " ]]", "", "", "block", 1, 1, 10, 18, 1), ("ocaml", "let a = \"(*\" (* ", " *)", "", "", "block", 1, 1, 14, 20, 1), ("erlang", "f() -> 1. % ", "\ng().", "", "", "line", 1, 1, 11, 13, 1), ("css", "a{} /** ", " */", "* ", "", "doc", 1, 1, 5, 12, 1),
+]
+
+
+def _text(s):
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@register(f"WITH c AS (SELECT id, {_CLEAN} AS c FROM {{ledger}} WHERE content IS NOT NULL AND {_CLEAN} <> '') " + " UNION ALL ".join(
+    f"SELECT id || '.{language}' AS path, {_text(head)} || c || {_text(tail)} AS text, '{kind}' AS kind, {line} AS line, {end_line} AS end_line, {col} AS col, CAST({end_col} + {times} * length(c) AS INTEGER) AS end_col FROM c WHERE id % {len(_FAMILIES)} = {i}"
+    for i, (language, _, _, head, tail, kind, line, end_line, col, end_col, times) in enumerate(_FAMILIES)))
+def s210_comment_families(ledger):
+    """Comments of small sources made of the texts, in languages of each family."""
+    c = F.trim(F.regexp_replace(F.substring("content", 1, 200), "[^a-zA-Z]+", " "))
+    pick = lambda k: F.element_at(F.array(*(F.lit(f[k]) for f in _FAMILIES)), (F.col("id") % len(_FAMILIES) + 1).cast("int"))
+    rows = ledger.filter(c != "").select(F.concat(F.col("id").cast("string"), F.lit("."), pick(0)).alias("path"), pick(0).alias("language"), F.concat(pick(1), c, pick(2)).alias("content"))
+    return L.comments(rows)
+
+
 @register("""WITH c AS (SELECT author, sec // 86400 AS day, count(*) FILTER (WHERE topic = 'view') AS r, count(*) FILTER (WHERE topic = 'click') AS e, count(*) FILTER (WHERE topic IN ('error', 'purchase')) AS b, count(*) FILTER (WHERE topic = 'error') AS t FROM {murmurs} GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY author ORDER BY day) AS n FROM c)
     SELECT author, day, CASE WHEN r + e + b = 0 THEN CASE WHEN n = 1 THEN 'Discussion' ELSE 'Turn ' || n END WHEN t > 0 AND t > b // 2 AND r < e AND e < b THEN 'Testing' WHEN r > 2 * e AND r > b THEN 'Exploration' WHEN e > r AND e > b THEN 'Implementation' WHEN b > r AND b > e THEN CASE WHEN t > b // 2 THEN 'Testing' ELSE 'Execution' END WHEN r > 0 AND e > 0 THEN 'Implementation' ELSE 'Turn ' || n END AS title FROM k""")
 def s210_chapter_titles(murmurs):

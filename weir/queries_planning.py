@@ -307,13 +307,14 @@ def f7_search_terms(pull_requests):
 
 
 def _redacting(sql):
-    for word, pattern, slug in redaction.CATALOGUE:
+    for words, pattern, slug in redaction.CATALOGUE:
         quoted = pattern.replace("'", "''")
         new = f"regexp_replace(c, '{quoted}', '{slug}', 'g')"
-        sql = f"SELECT id, {f'CASE WHEN contains(lower(c), ' + chr(39) + word + chr(39) + f') THEN {new} ELSE c END' if word else new} AS c FROM ({sql})"
+        has = " OR ".join(f"contains(l, '{w}')" for w in words.split(",") if w)
+        sql = f"SELECT id, l, {f'CASE WHEN {has} THEN {new} ELSE c END' if has else new} AS c FROM ({sql})"
     return sql
 
 
-@register("SELECT id, c AS redacted FROM (" + _redacting("SELECT id, content AS c FROM {ledger}") + ")")
+@register("SELECT id, c AS redacted FROM (" + _redacting("SELECT id, lower(content) AS l, content AS c FROM {ledger}") + ")")
 def redaction_catalogue(ledger):
     return redaction.redacted(ledger.select("id", F.col("content").alias("redacted")), "redacted")
