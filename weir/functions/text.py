@@ -13,6 +13,11 @@ ZERO_WIDTH = "[​‌‍⁠﻿]"
 NBSP = " "
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` has it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def compact(c: Column, most: int) -> Column:
     """Runs of white space as one space, trimmed, at most ``most`` characters."""
     return F.substring(F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " ")), 1, most)

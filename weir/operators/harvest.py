@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from weir.functions import text as T
+
 HOUR, DAY = 3600, 86400
 #: Folders at which a path becomes relative, and files known by their name alone.
 MARKERS = ("cmd", "internal", "pkg", "docs", "tests", ".github")
@@ -31,6 +33,10 @@ def last_hours(murmurs: DataFrame, now: int, hours: int) -> DataFrame:
 
 def relative(path: Column) -> Column:
     """A path from the first known folder on; else its last folder and name."""
+    return T.bound(path, _relative)
+
+
+def _relative(path: Column) -> Column:
     out = F.lit(None).cast("string")
     for m in reversed(MARKERS):
         at = F.instr(path, f"/{m}/")
@@ -42,7 +48,7 @@ def relative(path: Column) -> Column:
 
 def edited_files(calls: DataFrame) -> DataFrame:
     """session, files: the paths, sorted, that a session's tools changed; its input names them as file_path or path."""
-    named = lambda key: F.nullif(F.get_json_object("input", f"$.{key}"), F.lit(""))
+    named = lambda key: T.bound(F.get_json_object("input", f"$.{key}"), lambda v: F.nullif(v, F.lit("")))
     path = F.coalesce(named("file_path"), named("path"))
     own = calls.filter(F.lower("tool").isin(*EDITING)).select("session", relative(path).alias("file")).filter("file is not null")
     return own.groupBy("session").agg(F.array_sort(F.collect_set("file")).alias("files"))

@@ -265,17 +265,23 @@ def spoken(cues_: DataFrame) -> DataFrame:
 
 def dated(names: DataFrame, since: str, until: str) -> DataFrame:
     """Memory files (name) whose day, ISO week or month overlaps [since, until): name, layer, start and end; names of no known form are left out."""
-    day = F.try_to_date(F.regexp_extract("name", r"(?:^|/)(\d{4}-\d\d-\d\d)(?:[^/]*)\.md$", 1), "yyyy-MM-dd")
-    year, week = (F.regexp_extract("name", r"(?:^|/)(\d{4})-W(\d\d)(?:[^/]*)\.md$", i) for i in (1, 2))
-    fourth = F.try_to_date(F.concat(year, F.lit("-01-04")), "yyyy-MM-dd")  # always in week 1
-    monday = F.date_add(F.trunc(fourth, "week"), (F.coalesce(F.expr("try_cast(regexp_extract(name, '(?:^|/)\\\\d{4}-W(\\\\d\\\\d)(?:[^/]*)\\\\.md$', 1) as int)"), F.lit(1)) - 1) * 7)
-    real = F.concat(F.extract(F.lit("YEAROFWEEK"), monday).cast("string"), F.lpad(F.weekofyear(monday).cast("string"), 2, "0")) == F.concat(year, week)
-    month = F.try_to_date(F.concat(F.regexp_extract("name", r"(?:^|/)(\d{4}-\d\d)\.md$", 1), F.lit("-01")), "yyyy-MM-dd")
+    part = lambda pattern, i=1: F.regexp_extract("name", pattern, i)
+    week = r"(?:^|/)(\d{4})-W(\d\d)(?:[^/]*)\.md$"
+    parts = F.struct(part(r"(?:^|/)(\d{4}-\d\d-\d\d)(?:[^/]*)\.md$").alias("day"), part(week).alias("year"), part(week, 2).alias("week"), part(r"(?:^|/)(\d{4}-\d\d)\.md$").alias("month"))
+    # As a generator, so that each name is taken apart once and not again for every condition.
+    rows = names.select("name", F.inline(F.filter(F.array(T.bound(parts, _span)), lambda s: s.isNotNull())))
+    return rows.filter((F.col("start") < F.lit(until).cast("date")) & (F.col("end") > F.lit(since).cast("date")))
+
+
+def _span(p: Column) -> Column:
+    """layer, start and end of the day, ISO week or month that a name's parts tell; null for none."""
+    day, month = F.try_to_date(p["day"], "yyyy-MM-dd"), F.try_to_date(F.concat(p["month"], F.lit("-01")), "yyyy-MM-dd")
+    fourth = F.try_to_date(F.concat(p["year"], F.lit("-01-04")), "yyyy-MM-dd")  # always in week 1
+    monday = F.date_add(F.trunc(fourth, "week"), (F.coalesce(p["week"].try_cast("int"), F.lit(1)) - 1) * 7)
+    real = F.concat(F.extract(F.lit("YEAROFWEEK"), monday).cast("string"), F.lpad(F.weekofyear(monday).cast("string"), 2, "0")) == F.concat(p["year"], p["week"])
     span = F.when(day.isNotNull(), F.struct(F.lit("daily").alias("layer"), day.alias("start"), F.date_add(day, 1).alias("end")))
     span = span.when(fourth.isNotNull() & real, F.struct(F.lit("weekly").alias("layer"), monday.alias("start"), F.date_add(monday, 7).alias("end")))
-    span = span.when(month.isNotNull(), F.struct(F.lit("monthly").alias("layer"), month.alias("start"), F.add_months(month, 1).alias("end")))
-    rows = names.select("name", span.alias("s")).filter("s is not null").select("name", "s.*")
-    return rows.filter((F.col("start") < F.lit(until).cast("date")) & (F.col("end") > F.lit(since).cast("date")))
+    return span.when(month.isNotNull(), F.struct(F.lit("monthly").alias("layer"), month.alias("start"), F.add_months(month, 1).alias("end")))
 
 
 def assembled(spans: DataFrame, late: int = 120) -> DataFrame:

@@ -76,8 +76,8 @@ def moments_score(n_ref: Column, n_cand: Column, types_ref: Column, types_cand:
 def doc_score(text: Column, terms: list[str], weight: float = 0.85) -> Column:
     """Half the weight and the share of words that are among the terms; null without any."""
     w = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
-    hits = F.size(F.filter(w, lambda x: x.isin(*terms)))
-    return F.when(hits > 0, weight * (0.5 + hits / F.size(w)))
+    counts = T.bound(w, lambda w: F.struct(F.size(F.filter(w, lambda x: x.isin(*terms))).alias("hits"), F.size(w).alias("all")))
+    return T.bound(counts, lambda c: F.when(c["hits"] > 0, weight * (0.5 + c["hits"] / c["all"])))
 
 
 def excerpts(docs: DataFrame, term: str, size: int = 160) -> DataFrame:
