@@ -95,6 +95,14 @@ def dependencies(spark: SparkSession, d: str) -> DataFrame:
     return o.filter("before is not null").select(F.col("o_orderkey").alias("issue_id"), F.col("before").alias("depends_on_id"), F.when(F.col("o_orderkey") % 4 == 0, "related").otherwise("blocks").alias("type"))
 
 
+def commit_parents(spark: SparkSession, d: str) -> DataFrame:
+    """A commit's parent is its author's commit before it; every seventh is a merge and has the one before that as well."""
+    by = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = _t(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(by).alias("one"), F.lag("o_orderkey", 2).over(by).alias("two"))
+    parents = F.array_compact(F.array("one", F.when(F.col("o_orderkey") % 7 == 0, F.col("two"))))
+    return o.select(F.col("o_orderkey").alias("commit_id"), F.explode(parents).alias("parent_id"))
+
+
 def transcript(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("role").alias("type"), F.col("text").alias("content"))
 
@@ -225,7 +233,7 @@ def blob_changes(spark: SparkSession, d: str) -> DataFrame:
 TABLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         commits, diffs, pull_requests, pr_comments, pr_commits, murmurs, edges, symbol_edges, repos, work_items, dependencies, transcript, ledger, refs, file_revs, blobs, symbols, symbol_refs, links, issues, issue_comments, comments,
-        history, tasks, sessions, tool_calls, plans, keyframes, settings, blob_changes)
+        history, tasks, sessions, tool_calls, plans, keyframes, settings, blob_changes, commit_parents)
 }
 
 _U = "CAST(floor(epoch({})) AS BIGINT)"
@@ -255,6 +263,7 @@ SQL = {
     "tasks": f"SELECT o_orderkey AS id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, CASE o_orderkey % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'canceled' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE lower(c_mktsegment) END AS target_agent, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'k' || o_custkey END AS dedup_key, {_U.format('o_orderdate')} AS created_at, CASE WHEN o_orderkey % 7 = 0 THEN {_U.format('o_orderdate')} + 2592000 ELSE 0 END AS expires_at, CASE WHEN o_orderkey % 4 = 1 THEN 'h' || (o_orderkey % 3) ELSE '' END AS claimed_host, o_orderkey % 2 = 0 AS alive, CASE WHEN o_orderkey % 4 = 1 THEN {_U.format('o_orderdate')} + (o_orderkey % 60) * 86400 ELSE 0 END AS lease_expires_at, CASE WHEN o_orderkey % 4 >= 2 THEN {_U.format('o_orderdate')} + (o_orderkey % 20) * 86400 ELSE 0 END AS completed_at FROM orders JOIN customer ON o_custkey = c_custkey",
     "sessions": f"SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H-%M') || '-c' || o_custkey || '-Ox' || o_orderkey AS name, 'c' || o_custkey AS user, {_U.format('o_orderdate')} AS created_at, o_orderpriority AS title, o_orderstatus = 'P' AS recording, ['canceled', 'stopped', 'rate_limited', 'recovered', ''][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS stop_reason, o_orderkey % 3 = 0 AS uploaded, o_orderkey % 2 = 0 AS alive, CAST(o_orderkey % 25 AS INTEGER) AS entries, o_orderkey % 5 = 0 AS has_raw, o_orderkey % 11 = 0 AS suspended, o_orderkey % 10 = 0 AS subagent, (o_orderkey % 100) / 100 AS score, CASE o_orderkey % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'local_only' WHEN 2 THEN 'share' ELSE '' END AS category FROM orders",
     "tool_calls": f"SELECT l_orderkey AS session, l_linenumber AS seq, CASE WHEN l_returnflag = 'A' THEN 'Edit' WHEN l_returnflag = 'R' THEN 'write' WHEN l_linestatus = 'O' THEN 'Task' ELSE 'Read' END AS tool, '{{\"' || CASE WHEN l_partkey % 2 = 0 THEN 'file_path' ELSE 'path' END || '\": \"' || CASE l_partkey % 3 WHEN 0 THEN '/home/u/repo/internal/p' WHEN 1 THEN '/srv/x/pkg/q' ELSE '/tmp/other/r' END || l_partkey || '.go\"}}' AS input, {_U.format('l_shipdate')} AS sec, l_discount > 0.08 AS failed, CAST(trunc(l_quantity) AS BIGINT) AS entries FROM lineitem",
+    "commit_parents": "SELECT o_orderkey AS commit_id, unnest(list_filter([one, CASE WHEN o_orderkey % 7 = 0 THEN two END], lambda x: x IS NOT NULL)) AS parent_id FROM (SELECT o_orderkey, lag(o_orderkey) OVER w AS one, lag(o_orderkey, 2) OVER w AS two FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))",
     "plans": "SELECT item_id AS id, 1704067200 + item_id * 86400 AS created_at, text AS content FROM benchmark",
     "keyframes": "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS discussion, regexp_extract(url, '://[^/?#]+/([^/?#]*)', 1) AS chapter, page_id * 7919 % 3600 AS seconds, ['slide', '', 'code', 'diagram'][CAST(page_id % 4 + 1 AS INTEGER)] AS content_type, page_id AS id FROM pages",
     "settings": "SELECT c_custkey AS id, ['auto', '', '', '', ''][CAST(c_custkey % 5 + 1 AS INTEGER)] AS env, ['disabled', 'manual', ''][CAST(c_custkey % 3 + 1 AS INTEGER)] AS kb, ['', 'auto', 'disabled', 'manual'][CAST(c_custkey % 4 + 1 AS INTEGER)] AS own, 'manual' AS fallback FROM customer",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -130,3 +131,53 @@ def composed(c: Column) -> Column:
         return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
     return run(c)
+
+
+def passages(c: Column, tag: str, f) -> Column:
+    """``c`` with what stands between <tag> and </tag> put through ``f``, which gives the passage that takes its place, marks and all."""
+    begin, end = f"<{tag}>", f"</{tag}>"
+    parts = F.regexp_extract_all(c, F.lit(f"(?s){begin}.*?{end}|[^<]+|<"), F.lit(0))
+    inner = lambda p: F.substr(p, F.lit(len(begin) + 1), F.length(p) - len(begin) - len(end))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith(begin) & p.endswith(end), f(inner(p))).otherwise(p)), "")
+
+
+def thinned(c: Column, tag: str, mode: str = "words", stop: tuple[str, ...] = (), instead: dict[str, str] | None = None) -> Column:
+    """Marked passages made shorter: ``all`` drops them, ``first`` leaves the first sentence, ``words`` leaves out stop words and puts shorter words in others' place.
+
+    With ``first`` a passage of one sentence goes the way of ``words``. Nothing outside is touched.
+    """
+    begin, end = f"<{tag}>", f"</{tag}>"
+    if mode not in ("all", "first", "words"):
+        raise ValueError(f"unknown mode {mode!r}")
+
+    def words(p: Column) -> Column:
+        if stop:
+            p = F.regexp_replace(p, r"(?i)\b(?:" + "|".join(map(re.escape, stop)) + r")\b[ \t]*", "")
+        for long_, short in (instead or {}).items():
+            p = F.regexp_replace(p, r"(?i)\b" + re.escape(long_) + r"\b", short)
+        return F.concat(F.lit(begin), p, F.lit(end))
+
+    def first(p: Column) -> Column:
+        head = F.regexp_extract(p, r"(?s)^(.*?[.!?])(?:[ \t\r\n]|\z)", 1)
+        return F.when((head != "") & (head != p), F.concat(F.lit(begin), head, F.lit(" ...[reasoning elided]"), F.lit(end))).otherwise(words(p))
+
+    return passages(c, tag, {"all": lambda p: F.lit(""), "first": first, "words": words}[mode])
+
+
+def common_area(path: Column | str) -> Column:
+    """An aggregate: the longest directory that all paths of a group share, with a slash; of one path the path, without any "these files".
+
+    The least and the greatest of the directories, segment by segment, share what all share, so a group
+    is never put together.
+    """
+    path = F.col(path) if isinstance(path, str) else path
+    folder = F.split(F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(""), "/")
+    ends = F.struct(F.min(folder).alias("lo"), F.max(folder).alias("hi"))
+
+    def shared(e: Column) -> Column:
+        places = F.sequence(F.lit(1), F.least(F.size(e["lo"]), F.size(e["hi"])))
+        k = F.size(F.filter(places, lambda i: F.slice(e["lo"], 1, i) == F.slice(e["hi"], 1, i)))
+        return F.slice(e["lo"], 1, k)
+
+    name = lambda s: F.when((F.size(s) == 0) | ((F.size(s) == 1) & (s[0] == "")), F.lit("these files")).otherwise(F.concat(F.array_join(s, "/"), F.lit("/")))
+    return F.when(F.count(path) == 0, F.lit("these files")).when(F.count(path) == 1, F.min(path)).otherwise(bound(bound(ends, shared), name))

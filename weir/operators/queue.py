@@ -137,3 +137,23 @@ def replayed(log: DataFrame) -> DataFrame:
     return own.groupBy("task").agg(
         F.max_by(status, at).alias("status"), F.count_if(F.col("action") == "claim").alias("attempts"), F.max(F.when(F.col("action").isin("claim", "extend"), F.col("sec"))).alias("leased"),
         F.max_by(F.when(F.col("action").isin("complete", "cancel"), F.col("note")), at).alias("note"), F.max("sec").alias("updated"))
+
+
+def lease_log(log: DataFrame, lease: int, until: int) -> DataFrame:
+    """Each change of a task's state up to ``until``: task, sec, status, why, attempts.
+
+    ``log`` (task, sec, id, action) says what was done: add, claim, extend, complete, cancel. A claim or an
+    extension holds for ``lease`` seconds; if nothing comes until then, the task is ready again (why:
+    lapsed). What comes after the end changes nothing, and the task is pruned when its retention is over;
+    ids are not used again.
+    """
+    by = W.partitionBy("task").orderBy("sec", "id")
+    ends = F.col("action").isin("complete", "cancel")
+    before = F.coalesce(F.sum(ends.cast("int")).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = log.filter(F.col("sec") <= until).withColumns({"before": before, "attempts": F.sum((F.col("action") == "claim").cast("long")).over(by), "next": F.lead("sec").over(by)}).filter("before = 0")
+    status = F.when(F.col("action") == "add", "ready").when(F.col("action") == "complete", "completed").when(F.col("action") == "cancel", "canceled").otherwise("in_progress")
+    held = F.col("action").isin("claim", "extend")
+    due = F.col("sec") + F.when(held, lease).when(ends, RETENTION)
+    later = F.when(ends | (held & (F.col("next").isNull() | (F.col("next") > due))), F.struct(due.alias("sec"), F.when(ends, "").otherwise("ready").alias("status"), F.when(ends, "pruned").otherwise("lapsed").alias("why")))
+    own = F.struct("sec", status.alias("status"), F.col("action").alias("why"))
+    return rows.select("task", F.inline(F.filter(F.array(own, later), lambda x: x["sec"] <= until)), "attempts").select("task", "sec", "status", "why", "attempts")

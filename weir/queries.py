@@ -259,6 +259,6 @@ def u4_tagged_union(commits, pull_requests):
     return a.unionByName(pull_requests.select(F.lit("pr").alias("type"), F.col("number").alias("id"), "author", "state"), allowMissingColumns=True)
 
 
-from weir import queries_code, queries_harvest, queries_history, queries_index, queries_planning, queries_queue, queries_reports, queries_text  # noqa: E402, F401  (they register their own)
+from weir import queries_code, queries_harvest, queries_history, queries_index, queries_planning, queries_queue, queries_reports, queries_text, queries_versions  # noqa: E402, F401  (they register their own)
 
 __all__ = ["ORACLES", "QUERIES"]
