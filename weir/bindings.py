@@ -143,8 +143,8 @@ def symbol_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    """Links of fifty documents: host, label and time."""
-    return _t(spark, d, "pages").select((F.col("page_id") % 50).alias("document"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.col("url").alias("label"), F.col("page_id").alias("seen"))
+    """Links of documents of twenty pages each: host, label and time."""
+    return _t(spark, d, "pages").select(F.floor(F.col("page_id") / 20).alias("document"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.col("url").alias("label"), F.col("page_id").alias("seen"))
 
 
 def issues(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +253,7 @@ SQL = {
     "blobs": "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'rust' END AS language FROM part",
     "symbols": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS blob_id, 'f' || (l_suppkey % 100) AS name, CASE l_returnflag WHEN 'A' THEN 'function' WHEN 'R' THEN 'method' ELSE 'class' END AS kind, CAST(trunc(l_quantity) AS INTEGER) AS line, CAST(trunc(l_quantity) AS INTEGER) + l_linenumber * 10 AS end_line, CASE l_linestatus WHEN 'F' THEN 'error' ELSE 'string' END AS return_type FROM lineitem",
     "symbol_refs": "SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS blob_id, 'f' || (l_orderkey % 100) AS ref_name, CAST(l_orderkey % 60 AS INTEGER) AS line FROM lineitem",
-    "links": "SELECT page_id % 50 AS document, regexp_extract(url, '://([^/?#]+)', 1) AS host, url AS label, page_id AS seen FROM pages",
+    "links": "SELECT page_id // 20 AS document, regexp_extract(url, '://([^/?#]+)', 1) AS host, url AS label, page_id AS seen FROM pages",
     "issues": f"SELECT o_orderkey AS number, o_orderpriority AS title, c_mktsegment AS body, c_name AS author, CASE o_orderstatus WHEN 'O' THEN 'open' ELSE 'closed' END AS state, {_U.format('o_orderdate')} AS updated_at FROM orders JOIN customer ON o_custkey = c_custkey",
     "issue_comments": "SELECT l_orderkey AS issue_id, 'quantity ' || CAST(trunc(l_quantity) AS INTEGER) || ' flag ' || l_returnflag AS body FROM lineitem",
     "comments": "SELECT p_partkey AS blob_id, p_type AS text, CASE WHEN p_partkey % 3 = 0 THEN 'block' ELSE 'line' END AS kind, p_size AS line FROM part",

@@ -61,18 +61,27 @@ def resolve(refs: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
     return rows.filter(F.col("rank") <= most).select("id", "symbol_id", "rank", F.when(F.col("n") == 1, "inferred").otherwise("ambiguous").alias("confidence"))
 
 
+def _bins(symbols: DataFrame) -> DataFrame:
+    """Symbols once for each bin of lines that they touch; those without lines are left out."""
+    at = lambda c: F.floor(c / BIN)
+    return symbols.filter(F.col("end_line") > F.col("line")).withColumn("bin", F.explode(F.sequence(at(F.col("line")), at(F.col("end_line") - 1))))
+
+
 def callers(refs: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     """Functions and methods with a reference to ``name``."""
-    r = refs.filter(F.col("ref_name") == name).select(F.col("blob_id").alias("rb"), F.col("line").alias("at"))
-    inside = (F.col("blob_id") == F.col("rb")) & (F.col("at") >= F.col("line")) & (F.col("at") < F.col("end_line"))
-    return symbols.filter(F.col("kind").isin("function", "method")).join(r, inside, "left_semi").select("name", "kind", "blob_id", "line").distinct()
+    r = refs.filter(F.col("ref_name") == name).select(F.col("blob_id").alias("rb"), F.col("line").alias("at"), F.floor(F.col("line") / BIN).alias("of")).distinct()
+    s = _bins(symbols.filter(F.col("kind").isin("function", "method")).select("name", "kind", "blob_id", "line", "end_line").distinct())
+    inside = (F.col("blob_id") == F.col("rb")) & (F.col("bin") == F.col("of")) & (F.col("at") >= F.col("line")) & (F.col("at") < F.col("end_line"))
+    return s.join(r, inside, "left_semi").select("name", "kind", "blob_id", "line").distinct()
 
 
 def callees(refs: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
     """Names that functions and methods called ``name`` refer to."""
-    s = symbols.filter((F.col("name") == name) & F.col("kind").isin("function", "method")).select(F.col("blob_id").alias("sb"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
-    inside = (F.col("blob_id") == F.col("sb")) & (F.col("line") >= F.col("lo")) & (F.col("line") < F.col("hi"))
-    return refs.join(s, inside, "left_semi").select("ref_name", "blob_id").distinct()
+    s = _bins(symbols.filter((F.col("name") == name) & F.col("kind").isin("function", "method")).select("blob_id", "line", "end_line").distinct())
+    s = s.select(F.col("blob_id").alias("sb"), F.col("line").alias("lo"), F.col("end_line").alias("hi"), "bin")
+    r = refs.select("ref_name", "blob_id", "line").distinct().withColumn("of", F.floor(F.col("line") / BIN))
+    inside = (F.col("blob_id") == F.col("sb")) & (F.col("of") == F.col("bin")) & (F.col("line") >= F.col("lo")) & (F.col("line") < F.col("hi"))
+    return r.join(s, inside, "left_semi").select("ref_name", "blob_id").distinct()
 
 
 def orphans(blobs: DataFrame, file_revs: DataFrame) -> DataFrame:

@@ -31,8 +31,10 @@ def heard(messages: DataFrame, attention: str) -> DataFrame:
     return messages if len(levels) == len(IMPORTANCE) else messages.filter(F.col("importance").isin(*levels))
 
 
-def unread(messages: DataFrame, cursors: DataFrame, personal: str, attention: str = "normal", topics: list[str] | None = None) -> DataFrame:
-    """For each reader (cursors: reader, last_seen) what came after the cursor, most important first.
+def unread(messages: DataFrame, cursors: DataFrame, personal: str, attention: str = "normal", topics: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """For each reader (cursors: reader, last_seen) what came after the cursor, most important first; with ``most`` no more than that for each.
+
+    With ``most`` each task keeps as many of a reader's at most before they are put together.
 
     Every message is for all readers, but those of the topic ``personal`` are only for their author.
     Messages meet the readers day by day: a reader has a row for each day since the cursor, which is
@@ -48,7 +50,8 @@ def unread(messages: DataFrame, cursors: DataFrame, personal: str, attention: st
     mine = own.filter(F.col("topic") == personal).join(cursors, (F.col("author") == F.col("reader")) & after)
     cols = ["reader", "id", "author", "topic", "importance", "sec"]
     rows = common.select(*cols).unionByName(mine.select(*cols))
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("reader").orderBy(importance_rank(F.col("importance")), "sec", "id")))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("reader").orderBy(importance_rank(F.col("importance")), "sec", "id")))
+    return rows if most is None else rows.filter(F.col("place") <= most)
 
 
 def advanced(cursors: DataFrame, readers: DataFrame, now: int) -> DataFrame:

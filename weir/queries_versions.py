@@ -12,7 +12,7 @@ from weir.operators import queue as U
 from weir.operators import versions as V
 from weir.queries_queue import _ACTION
 from weir.registry import ORACLES, QUERIES, register
-from weir.sources import sinks, tail
+from weir.sources import io, sinks, tail
 from weir.tables import shared_folder
 
 KNOWN = 852076800  # 1997-01-01
@@ -89,6 +89,19 @@ def r24_written(pull_requests):
     return pull_requests.sparkSession.read.parquet(path).select("number", "state", F.col("day").cast("string").alias("day"))
 
 
+_FACT = "SELECT left(content, 40) AS headline, CASE WHEN id % 2 = 0 THEN lang END AS who, source AS source_type, 'doc ' || id AS source_ref FROM {ledger} WHERE content IS NOT NULL AND content <> ''"
+
+
+@register(f"SELECT headline, NULL::VARCHAR AS summary, NULL::VARCHAR AS rationale, who, source_type, source_ref, NULL::VARCHAR AS source_url, NULL::VARCHAR AS source_title, NULL::VARCHAR AS timestamp, NULL::VARCHAR AS category FROM ({_FACT})")
+def snk5_src12_facts(ledger):
+    """Facts of the texts, written as lines of JSON and read again."""
+    path = f"{shared_folder(ledger.sparkSession)}/facts-{uuid.uuid4()}"
+    given = {"headline": F.substring("content", 1, 40), "who": F.when(F.col("id") % 2 == 0, F.col("lang")), "source_type": F.col("source"), "source_ref": F.concat(F.lit("doc "), F.col("id").cast("string"))}
+    names = [c.split()[0] for c in io.FACT.split(", ")]
+    io.write_facts(ledger.filter("content <> ''").select(*(given.get(n, F.lit(None).cast("string")).alias(n) for n in names)), path)
+    return io.read_facts(ledger.sparkSession, path)
+
+
 def st5_followed(spark, d):
     """The given conversations followed as a stream of files; the path is a pattern since a stream takes no single file."""
     path = f"{shared_folder(spark)}/tail-{uuid.uuid4()}"
