@@ -12,7 +12,7 @@ from weir.operators import queue as U
 from weir.operators import versions as V
 from weir.queries_queue import _ACTION
 from weir.registry import ORACLES, QUERIES, register
-from weir.sources import io, sinks, tail
+from weir.sources import foreign, io, sinks, tail
 from weir.tables import shared_folder
 
 KNOWN = 852076800  # 1997-01-01
@@ -102,6 +102,23 @@ def snk5_src12_facts(ledger):
     return io.read_facts(ledger.sparkSession, path)
 
 
+_MODEL = "CASE WHEN type = 'assistant' AND seq % 3 > 0 THEN 'm' || (seq % 5) WHEN type = 'assistant' THEN '' END"
+
+
+@register(f"SELECT session, arg_max({_MODEL}, seq) AS model FROM {{transcript}} WHERE coalesce({_MODEL}, '') <> '' GROUP BY 1")
+def r28_models(transcript):
+    assistant, seq = F.col("type") == "assistant", F.col("seq")
+    model = F.when(assistant & (seq % 3 > 0), F.concat(F.lit("m"), (seq % 5).cast("string"))).when(assistant, "")
+    return foreign.models(transcript.select("session", "seq", seq.alias("created_at"), model.alias("model")))
+
+
+@register("WITH n AS (SELECT session, max(seq) + 1 AS next FROM {transcript} GROUP BY 1) SELECT session, seq, type, next FROM {transcript} JOIN n USING (session) WHERE seq >= CASE WHEN session % 3 = 0 THEN 0 ELSE session % 4 END")
+def r28_from_offsets(transcript):
+    """Each session read on from an offset; every third has none."""
+    offsets = transcript.filter("session % 3 <> 0").select("session", (F.col("session") % 4).alias("offset")).distinct()
+    return foreign.from_offsets(transcript.select("session", "seq", "type"), offsets)
+
+
 def st5_followed(spark, d):
     """The given conversations followed as a stream of files; the path is a pattern since a stream takes no single file."""
     path = f"{shared_folder(spark)}/tail-{uuid.uuid4()}"
