@@ -45,7 +45,7 @@ NARROWEST, WIDEST = 256, 1 << 20
 #: Bits of a block, and the documents that it has at most.
 BLOCK, DOCUMENTS = 1 << 22, 4096
 #: Documents bounded at once; terms of items searched at once; counts of terms that a task holds.
-AT_ONCE, PAIRS, COUNTED = 1024, 1 << 15, 1 << 20
+AT_ONCE, PAIRS, COUNTED = 1024, 1 << 13, 1 << 20
 #: Documents scored first for each wanted one, and texts to score up to which their keys are broadcast.
 PROBES, FEW = 2, 200_000
 TERMS = re.compile(rb"[0-9a-z\x80-\xff]+")
