@@ -93,6 +93,36 @@ def test_hot_words_are_spread(spark):
     assert made.postings(["the"]).select(F.input_file_name()).distinct().count() > 3
 
 
+def test_segments_and_removals(spark):
+    """After adding, removing and adding again an index answers like one that is built of what is left."""
+    frame = lambda rows: spark.createDataFrame(rows, "id long, content string")
+    made = I.build(frame(TEXTS[:30]), buckets=8)
+    made = I.added(made, frame(TEXTS[30:]))
+    assert (made.texts, made.segments) == (len(TEXTS), [0, 1]) and found(I.ranked(made, "the cat", None)) == plain(["the", "cat"])
+    made = I.removed(made, frame([(1, ""), (5, ""), (103, ""), (9999, "")]))
+    made = I.added(made, frame([(5, "the new words of five"), (300, "cat cat")]))
+    left = [(i, t) for i, t in TEXTS if i not in (1, 5, 103)] + [(5, "the new words of five"), (300, "cat cat")]
+    anew = I.build(frame(left), buckets=8)
+    assert (made.texts, made.mean) == (anew.texts, anew.mean)
+    for said in ("the cat", "number", "five dog"):
+        assert found(I.ranked(made, said, None)) == found(I.ranked(anew, said, None)) != []
+    assert sorted(map(tuple, I.phrase(made, "the new").collect())) == [(5, 1, 1)] and I.phrase(made, "the mat the end").collect() == []
+    again = I.removed(I.removed(made, frame([(5, "")])), frame([(5, "")]))
+    assert again.texts == made.texts - 1 and 5 not in {r.id for r in I.ranked(again, "the five", None).collect()}
+
+
+def test_segment_that_failed_is_not_seen(spark):
+    import shutil
+
+    frame = lambda rows: spark.createDataFrame(rows, "id long, content string")
+    made = I.build(frame([(1, "one cat")]), buckets=4)
+    more = I.added(made, frame([(2, "a cat")]))
+    shutil.rmtree(made.path.removeprefix("file:") + "/figures/segment=1")  # lost before its figures were written
+    back = I.opened(spark, made.path)
+    assert back.texts == 1 and [r.id for r in I.ranked(back, "cat").collect()] == [1]
+    assert [r.id for r in I.ranked(I.added(back, frame([(3, "cat cat")])), "cat").collect()] == [3, 1] and more.texts == 2
+
+
 def test_index_of_nothing(spark):
     empty = I.build(spark.createDataFrame([], "id long, content string"))
     assert empty.texts == 0 and I.ranked(empty, "a").collect() == [] and I.phrase(empty, "a b").collect() == []

@@ -5,6 +5,8 @@ and how many words the text has, so that ranking needs nothing else. Postings ar
 their term into ``BUCKETS`` folders and, within one, by id into ``SPREAD`` parts, so that a word of all
 texts makes no task of its own; within a file they are sorted by term, and a search's terms reach the
 scan as partition and row-group filters. Searches return ids, which meet rows and filters by joins on ids.
+Texts that come later are a segment of their own, texts that go a list of ids; both take effect at once
+and leave what is written as it is.
 
 Words are runs of a-z, 0-9 and _ in the lower-cased text. Null texts have no words. Ids must be unique.
 """
@@ -25,6 +27,8 @@ from weir.tables import shared_folder
 
 BUCKETS, SPREAD = 64, 8
 POSTINGS = "term string, id long, tf int, len int, positions array<int>"
+STORED = POSTINGS + ", segment int, bucket int"
+REMOVED = "id long, len int, step int"
 _WORD = re.compile("[a-z0-9_]+")
 
 
@@ -41,13 +45,19 @@ class Index:
     buckets: int
     texts: int
     mean: float
+    segments: list[int]
+    removals: bool
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms: the scan is of their buckets only."""
-        rows = self.spark.read.schema(POSTINGS + ", bucket int").parquet(f"{self.path}/postings")
+        """The postings of some terms: the scan is of their buckets in the segments that are whole."""
         # The driver computes the few terms' buckets, so that the scan has them as constants.
         here = self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), self.buckets).alias("b"))
-        return rows.filter(F.col("bucket").isin([r.b for r in here.distinct().collect()]) & F.col("term").isin(terms)).drop("bucket")
+        rows = self.spark.read.schema(STORED).parquet(f"{self.path}/postings") if self.segments else self.spark.createDataFrame([], STORED)
+        rows = rows.filter(F.col("segment").isin(self.segments) & F.col("bucket").isin([r.b for r in here.distinct().collect()]) & F.col("term").isin(terms))
+        if self.removals:
+            gone = self.spark.read.schema(REMOVED).parquet(f"{self.path}/removed").filter(F.col("step").isin(self.segments)).groupBy(F.col("id").alias("gone")).agg(F.max("step").alias("since"))
+            rows = rows.join(gone, (F.col("id") == F.col("gone")) & (F.col("segment") < F.col("since")), "left_anti")
+        return rows.drop("bucket", "segment")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]):
@@ -74,19 +84,44 @@ def build(docs: DataFrame, path: str | None = None, buckets: int = BUCKETS, spre
     """Writes the index of texts (id, content) to ``path``, by default a folder of its own in the shared one."""
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/index-{uuid.uuid4()}"
+    return added(Index(spark, path, buckets, 0, 0.0, [], False), docs, spread)
+
+
+def added(index: Index, docs: DataFrame, spread: int = SPREAD) -> Index:
+    """The index with more texts, as a segment of its own; ids that it has already must be removed before.
+
+    A segment counts once its figures are written, so one that failed is never seen and is written again
+    in the same place.
+    """
+    step = max(index.segments, default=-1) + 1
     rows = docs.select(F.col("id").cast("long"), F.lower("content")).mapInArrow(_postings, POSTINGS)
-    rows = rows.withColumns({"bucket": bucket_of(F.col("term"), buckets), "part": F.pmod(F.xxhash64("id"), F.lit(spread))})
+    rows = rows.withColumns({"bucket": bucket_of(F.col("term"), index.buckets), "part": F.pmod(F.xxhash64("id"), F.lit(spread))})
     rows = rows.repartition(F.col("bucket"), F.col("part")).drop("part").sortWithinPartitions("bucket", "term", "id")
-    rows.write.partitionBy("bucket").parquet(f"{path}/postings")
-    every = spark.read.schema(POSTINGS + ", bucket int").parquet(f"{path}/postings").filter((F.col("term") == "") & (F.col("bucket") == bucket_of(F.lit(""), buckets)))
-    every.agg(F.count("*").alias("texts"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/figures")
-    return opened(spark, path)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={step}")
+    own = index.spark.read.schema(STORED).parquet(f"{index.path}/postings").filter((F.col("segment") == step) & (F.col("term") == "") & (F.col("bucket") == bucket_of(F.lit(""), index.buckets)))
+    _figures(index, step, own)
+    return opened(index.spark, index.path)
+
+
+def removed(index: Index, ids: DataFrame) -> Index:
+    """The index without some texts (id); they may be added again, with other words, after that."""
+    step = max(index.segments, default=-1) + 1
+    known = index.postings([""]).join(ids.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
+    known.select("id", "len").write.mode("overwrite").parquet(f"{index.path}/removed/step={step}")
+    _figures(index, step, index.spark.read.schema("id long, len int").parquet(f"{index.path}/removed/step={step}"), -1)
+    return opened(index.spark, index.path)
+
+
+def _figures(index: Index, step: int, texts: DataFrame, sign: int = 1) -> None:
+    total = texts.agg((F.count("*") * sign).alias("texts"), (F.coalesce(F.sum(F.col("len").cast("long")), F.lit(0)) * sign).alias("words"), F.lit(index.buckets).alias("buckets"))
+    total.coalesce(1).write.mode("overwrite").parquet(f"{index.path}/figures/segment={step}")
 
 
 def opened(spark: SparkSession, path: str) -> Index:
     """An index that is already written."""
-    figures = spark.read.parquet(f"{path}/figures").first()
-    return Index(spark, path, figures.buckets, figures.texts, figures.mean)
+    steps = spark.read.schema("texts long, words long, buckets int, segment int").parquet(f"{path}/figures").collect()  # a row for each segment
+    texts, words = sum(r.texts for r in steps), sum(r.words for r in steps)
+    return Index(spark, path, steps[0].buckets, texts, words / texts if texts else 0.0, sorted(r.segment for r in steps), any(r.texts < 0 for r in steps))
 
 
 def _terms(words: str | list[str]) -> list[str]:
