@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,11 @@ def test_passages(spark):
     assert tuple(row[0]) == ("the <t>c. dog</t> the <t>one</t><t></t> <t>open the", "the <t>the cat. ...[reasoning elided]</t> the <t>one</t><t></t> <t>open the", "the  the  <t>open the")
     with pytest.raises(ValueError):
         T.thinned(F.col("c"), "t", "none")
+
+
+def test_passages_that_never_end_take_linear_time(spark):
+    began = time.time()
+    for text in ("<t>" * 300_000, "<t>a</t>" * 100_000 + "<t>" * 100_000, "</t>" * 200_000):
+        got = spark.createDataFrame([(text,)], "c string").select(T.thinned(F.col("c"), "t", "all").alias("c")).first().c
+        assert got == text.replace("<t>a</t>", "")
+    assert time.time() - began < 60

@@ -136,9 +136,17 @@ def composed(c: Column) -> Column:
 def passages(c: Column, tag: str, f) -> Column:
     """``c`` with what stands between <tag> and </tag> put through ``f``, which gives the passage that takes its place, marks and all."""
     begin, end = f"<{tag}>", f"</{tag}>"
-    parts = F.regexp_extract_all(c, F.lit(f"(?s){begin}.*?{end}|[^<]+|<"), F.lit(0))
     inner = lambda p: F.substr(p, F.lit(len(begin) + 1), F.length(p) - len(begin) - len(end))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith(begin) & p.endswith(end), f(inner(p))).otherwise(p)), "")
+    # Up to the last end mark every passage that begins also ends, so none is looked for in vain.
+    back = F.instr(F.reverse(c), end[::-1])
+    whole = F.struct(c.alias("c"), F.when(back > 0, F.length(c) - back + 1).otherwise(0).alias("k"))
+
+    def rewritten(s: Column) -> Column:
+        parts = F.regexp_extract_all(F.substr(s["c"], F.lit(1), s["k"]), F.lit(f"(?s){begin}.*?{end}|[^<]+|<"), F.lit(0))
+        done = F.array_join(F.transform(parts, lambda p: F.when(p.startswith(begin) & p.endswith(end), f(inner(p))).otherwise(p)), "")
+        return F.concat(done, F.substr(s["c"], s["k"] + 1, F.length(s["c"])))
+
+    return bound(whole, rewritten)
 
 
 def thinned(c: Column, tag: str, mode: str = "words", stop: tuple[str, ...] = (), instead: dict[str, str] | None = None) -> Column:
