@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weir.llm import exact_dedup, jaccard_join, language, lm_score, packing, quality, url_filter
+from weir.llm import components, exact_dedup, jaccard_join, language, lm_score, packing, quality, url_filter
 
 
 def rows(df, *cols):
@@ -39,6 +39,22 @@ def test_repeats_of_near_copies_cost_no_pairs(spark, make, monkeypatch):
     assert sorted(r.doc_id for r in jaccard_join.keep_one(docs, 5, 80).collect()) == [0, 2]
 
 
+def test_near_copies_in_small_closures(spark, sf, monkeypatch):
+    """No Bloom filter of Spark's goes along in the closures, and no plan holds all that is compared."""
+    plans, own = [], jaccard_join.materialise
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df)
+
+    for module in (jaccard_join, components):
+        monkeypatch.setattr(module, "materialise", planned)
+    jaccard_join.keep_one(spark.read.parquet(f"{sf}/documents.parquet"), 5, 80)
+    assert len(plans) > 10
+    assert not [p for p in plans if "might_contain" in p]
+    assert max(p.count("Exchange ") for p in plans) < 30
+
+
 def test_long_lists_of_hubs_in_parts(make, monkeypatch):
     """Texts that only share a passage, so that one list has many hubs; the parts give the groups that the whole gives."""
     passage = " ".join(f"p{i}" for i in range(60))

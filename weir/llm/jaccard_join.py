@@ -166,7 +166,11 @@ def _prefixes(docs: DataFrame, n: int, percent: int, order) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
-    """cls, frag, keys, task of the classes whose documents are wanted (doc_id), and a few more; a task emits a class once."""
+    """cls, frag, head, keys, task of the classes whose documents are wanted (doc_id), and a few more; a task emits a class once.
+
+    ``head`` marks the first fragment. Asked as ``frag = 0`` of a small table, Spark takes it for a
+    selective filter of a join, whose Bloom filters of megabytes then go along in every closure.
+    """
     key = F.xxhash64(F.col("doc_id").cast("long"))
     ids = wanted.select(key.alias("h")).distinct()
     bits, counters = repeated_filter(ids.unionAll(ids), 2 * ids.count())
@@ -180,9 +184,9 @@ def _sets(docs: DataFrame, n: int, order, wanted: DataFrame) -> DataFrame:
             if rows:
                 seen.update(rows)
                 cut = [x for g in rows.values() for x in order.value.fragments(order.value(g))]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c in rows for _ in range(FRAGMENTS)], pa.int64()), pa.array(list(range(FRAGMENTS)) * len(rows), pa.int32()), pa.array(cut, pa.list_(pa.int64()))], ["cls", "frag", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([c for c in rows for _ in range(FRAGMENTS)], pa.int64()), pa.array(list(range(FRAGMENTS)) * len(rows), pa.int32()), pa.array([k == 0 for k in range(FRAGMENTS)] * len(rows)), pa.array(cut, pa.list_(pa.int64()))], ["cls", "frag", "head", "keys"])
 
-    found = docs.select(key.alias("h"), "text").mapInArrow(run, "cls long, frag int, keys array<long>").withColumn("task", F.spark_partition_id())
+    found = docs.select(key.alias("h"), "text").mapInArrow(run, "cls long, frag int, head boolean, keys array<long>").withColumn("task", F.spark_partition_id())
     found = materialise(found)
     shared.unpersist()
     return found
@@ -194,7 +198,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, difference: bool, frags: str =
     The pairs of a class b that has many are dealt into parts, each of which gets b's fragments. Of a
     class that several tasks have read, the first task's fragments are taken.
     """
-    first = sets.filter("frag = 0").groupBy("cls").agg(F.min("task").alias("task"))
+    first = sets.filter("head").groupBy("cls").agg(F.min("task").alias("task"))
     sets = sets.filter(frags)
     keep = [c for c in pairs.columns if c not in ("a", "b")]
     least = max(64, -(-pairs.count() // HOT_GROUPS))
@@ -257,7 +261,7 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> t
     two = ranked.select("b", F.col("a").alias("y"), F.col("na").alias("ny"), F.col("d").alias("dy"), F.col("es").alias("ey"))
     checked = pairs.join(one.hint("merge"), ["b", "x"]).join(two.hint("merge"), ["b", "y"])
     d = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
-    linked_same = checked.filter(linked(F.col("nx"), F.col("ny"), d)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    linked_same = materialise(checked.filter(linked(F.col("nx"), F.col("ny"), d)).select(F.col("x").alias("a"), F.col("y").alias("b")))
     # Different hubs: lists that have classes of more than one.
     hubs = star.select(F.col("a").alias("cls"), F.col("b").alias("hub"))
     lists = lists.join(hubs.hint("merge"), "cls", "left").withColumn("hub", F.coalesce("hub", "cls"))
@@ -278,11 +282,12 @@ def links(docs: DataFrame, n: int, percent: int, order, classes: DataFrame) -> t
     cross = materialise(cross.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"), (F.col("n") + F.col("nb")).alias("both")).distinct())
     # A pair that differs too much in its first fragment alone needs no other.
     sets = _sets(docs, n, order, of(cross))
-    cross = _overlaps(cross, sets, False, "frag = 0")
+    cross = _overlaps(cross, sets, False, "head")
     cross = cross.filter((F.col("sizes") - 2 * F.col("overlap")) * (100 + percent) <= (100 - percent) * F.col("both"))
     cross = materialise(cross.select("a", "b", "both", F.col("overlap").alias("first")))
-    cross = _overlaps(cross, sets, False, "frag > 0").filter((100 + percent) * (F.col("first") + F.col("overlap")) >= percent * F.col("both"))
-    return star.filter("near").select("a", "b"), linked_same.unionByName(cross.select("a", "b"))
+    cross = _overlaps(cross, sets, False, "not head").filter((100 + percent) * (F.col("first") + F.col("overlap")) >= percent * F.col("both"))
+    # Written one by one, since the driver's memory grows with the largest plan.
+    return star.filter("near").select("a", "b"), linked_same.unionByName(materialise(cross.select("a", "b")))
 
 
 def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
