@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Blocks of authors at least; rows (file, author) that a block has on average at most.
+BLOCKS, BLOCK_ROWS = 16, 1 << 22
+#: Pairs of a file's authors that are counted at once.
+PAIRS = 1 << 20
+
 
 def conflicts(murmurs: DataFrame, least: int = 2) -> DataFrame:
     g = murmurs.groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("author")), ",").alias("authors"), F.count_distinct("author").alias("n_authors"))
@@ -13,9 +22,77 @@ def conflicts(murmurs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def author_pairs(murmurs: DataFrame) -> DataFrame:
-    """Files that two authors share."""
-    own = murmurs.select("file", "author").distinct()
-    return own.join(own.withColumnRenamed("author", "other"), "file").filter("author < other").groupBy("author", "other").agg(F.count("*").alias("files"))
+    """Files that two authors share.
+
+    The pairs within a file are not shuffled: authors are dealt into blocks, and two blocks meet, with the authors that
+    each has in a file as a list, where all pairs between them are counted. So a row (file, author) travels once for each
+    block, however many authors its file has.
+    """
+    own = murmurs.select("file", "author").filter("file is not null and author is not null").distinct()
+    blocks = own.agg(F.greatest(F.lit(BLOCKS), F.ceil(F.count("*") / BLOCK_ROWS)).alias("blocks"))
+    dealt = own.crossJoin(F.broadcast(blocks)).withColumn("block", F.pmod(F.xxhash64("author"), "blocks"))
+    dealt = dealt.withColumn("at", F.dense_rank().over(W.partitionBy("block").orderBy("author")) - 1)
+    lists = dealt.groupBy("block", "file").agg(F.collect_list("at").alias("at"))
+    left, right = (lists.select("file", F.col("block").alias(b), F.col("at").alias(a)) for b, a in (("i", "left"), ("j", "right")))
+    met = left.join(right, "file").filter("i < j or (i = j and size(left) > 1)").select("i", "j", "left", "right", F.lit(None).cast("array<string>").alias("names"))
+    names = dealt.groupBy("block", "blocks").agg(F.array_sort(F.collect_set("author")).alias("names")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    none = F.lit(None).cast("array<int>")
+    names = names.select(F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), F.when(F.col("block") <= F.col("k"), F.array().cast("array<int>")).otherwise(none).alias("left"), none.alias("right"), "names")
+    pairs = met.unionByName(names).groupBy("i", "j").applyInArrow(_shared, "a string, b string, files long")
+    return pairs.select(F.least("a", "b").alias("author"), F.greatest("a", "b").alias("other"), "files")
+
+
+def _shared(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two blocks (one, if they are the same): how many files each two authors share.
+
+    Rows are a file's authors on either side, or the names of a side, the left one's with an empty list.
+    """
+    t = pa.Table.from_batches(list(batches)).combine_chunks()
+    same, said = key[0].as_py() == key[1].as_py(), t.filter(t["names"].is_valid())
+    left, right = (next((said["names"].combine_chunks()[k].values for k in range(len(said)) if said["left"][k].is_valid == first), None) for first in (True, False))
+    t = t.filter(t["names"].is_null())
+    if not len(t):
+        return
+    right = left if same else right
+    sides = [t[c].combine_chunks() for c in ("left", "right")]
+    a, b = (np.asarray(s.flatten()) for s in sides)
+    n = [np.asarray(s.value_lengths(), np.int64) for s in sides]
+    order = np.argsort(a, kind="stable")
+    a, file = a[order], np.repeat(np.arange(len(t)), n[0])[order]
+    start, n = (np.cumsum(n[1]) - n[1])[file], n[1][file]  # of the right authors that a left one meets in a file
+    ends = np.append(np.flatnonzero(np.diff(a)) + 1, len(a))  # of each left author's files
+    done = np.append(0, np.cumsum(n))
+    k = 0
+    while k < len(ends):
+        p = ends[k - 1] if k else 0
+        last = max(k, int(np.searchsorted(done[ends], done[p] + PAIRS, "right")) - 1)
+        x, y, c = _counts(a, b, start, n, done, p, ends[last], a[p], int(a[ends[last] - 1] - a[p]) + 1, len(right))
+        if same:
+            x, y, c = (v[x < y] for v in (x, y, c))
+        yield pa.RecordBatch.from_arrays([left.take(pa.array(x)), right.take(pa.array(y)), pa.array(c)], ["a", "b", "files"])
+        k = last + 1
+
+
+def _counts(a, b, start, n, done, p: int, q: int, base: int, rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left author, right author and count from the left authors' files p to q, some at a time; in a table where that isn't mostly empty."""
+    full = rows * width <= 8 * max(PAIRS, done[q] - done[p])
+    sums, keys = np.zeros(rows * width if full else 0, np.int64), []
+    while p < q:
+        stop = min(q, max(p + 1, int(np.searchsorted(done, done[p] + PAIRS, "right")) - 1))
+        m = n[p:stop]
+        at = np.repeat(start[p:stop] - (done[p:stop] - done[p]), m) + np.arange(done[stop] - done[p])
+        key = np.repeat((a[p:stop].astype(np.int64) - base) * width, m) + b[at]
+        if full:
+            sums += np.bincount(key, minlength=len(sums))
+        else:
+            keys.append(key)
+        p = stop
+    if full:
+        key = np.flatnonzero(sums)
+        count = sums[key]
+    else:
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+    return key // width + base, key % width, count
 
 
 def author_summary(murmurs: DataFrame) -> DataFrame:
