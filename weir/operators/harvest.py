@@ -140,9 +140,13 @@ def diagrams(text: Column) -> Column:
 
 
 def task_calls(calls: DataFrame) -> DataFrame:
-    """Of each session: how many tasks it handed on, with the entries and seconds they took to the next call."""
-    nxt = F.lead("sec").over(W.partitionBy("session").orderBy("seq", "sec"))
-    own = calls.withColumn("took", F.greatest(F.lit(0), F.coalesce(nxt - F.col("sec"), F.lit(0)))).filter(F.lower("tool") == "task")
+    """Of each session: how many tasks it handed on, with the entries and seconds they took to the next call.
+
+    Of calls with the same number and second a task comes last, so that the result doesn't hang on the order of the rows.
+    """
+    task = F.coalesce(F.lower("tool") == "task", F.lit(False))
+    nxt = F.lead("sec").over(W.partitionBy("session").orderBy(F.asc_nulls_last("seq"), F.asc_nulls_last("sec"), task))
+    own = calls.withColumn("took", F.greatest(F.lit(0), F.coalesce(nxt - F.col("sec"), F.lit(0)))).filter(task)
     return own.groupBy("session").agg(F.count("*").alias("n"), F.sum("entries").alias("entries"), F.sum("took").alias("took"))
 
 
